@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, mixing, survivors
+from graphloom.llm import bpe, mixing, near_duplicates, survivors
 from graphloom.plans.registry import Query
 from graphloom.sources.tables import table
 
 
+def _p2_records(spark: SparkSession, d: str) -> DataFrame:
+    nodes = near_duplicates.node_records(table(spark, d, "nodes"))
+    return nodes.unionByName(near_duplicates.pair_records(table(spark, d, "absorb_pairs")))
+
+
 def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = mixing.sized(table(spark, d, "documents"))
     plans = mixing.plan(sizes, table(spark, d, "mix_targets"))
@@ -41,6 +46,8 @@ GROUP BY scope, kind, content_hash, field
 """
 
 QUERIES = {
+    "p2_found": Query(lambda s, d: near_duplicates.similar_pairs(_p2_records(s, d))),
+    "p2_groups": Query(lambda s, d: near_duplicates.similar_groups(_p2_records(s, d))),
     "p5_found": Query(lambda s, d: survivors.last_filled(table(s, d, "nodes")).drop("value"), _P5_SQL),
     "p5_records": Query(lambda s, d: survivors.surviving_records(table(s, d, "nodes"))),
     "p5_fused": Query(lambda s, d: survivors.fused(table(s, d, "nodes"))),

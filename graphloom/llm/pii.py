@@ -63,6 +63,8 @@ def snapped(text: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
         if best is None or best[0] * 2 < b - a:
             return None
         a, b = best[1:]
+        if kind != "email" and (text[b : b + 1].isalnum() or text[max(0, a - 1) : a].isalnum()):
+            return None
         digits = sum(c.isdigit() for c in text[a:b])
         if kind == "phone" and not 7 <= digits <= 16 or kind == "id_number" and not 6 <= digits <= 14:
             return None

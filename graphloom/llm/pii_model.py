@@ -245,11 +245,11 @@ def gradients(model: Model, ids: np.ndarray, tags: np.ndarray) -> tuple[float, d
     return loss, g
 
 
-def train(windows: np.ndarray, tags: np.ndarray, hidden: int = 40, width: int = 20, epochs: int = 12, batch: int = 192, rate: float = 6e-3, seed: int = 7, say=print, seconds: float = 1e9) -> Model:
-    """Fit to (window, time) symbols and tags with Adam and a falling rate."""
+def train(windows: np.ndarray, tags: np.ndarray, hidden: int = 40, width: int = 20, epochs: int = 12, batch: int = 192, rate: float = 6e-3, seed: int = 7, say=print, seconds: float = 1e9, start: Model | None = None) -> Model:
+    """Fit to (window, time) symbols and tags with Adam and a falling rate, from ``start`` or anew."""
     import time
 
-    model, r = Model.fresh(hidden, width, seed), np.random.default_rng(seed)
+    model, r = start or Model.fresh(hidden, width, seed), np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
     total, step, began = epochs * -(-len(windows) // batch), 0, time.time()
     for epoch in range(epochs):

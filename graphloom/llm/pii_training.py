@@ -1,6 +1,6 @@
 """Labelled spans to train the model of personal information, and its training.
 
-    python -m graphloom.llm.pii_training documents.parquet weights.npz [seconds]
+    python -m graphloom.llm.pii_training documents.parquet weights.npz [seconds [start.npz]]
 
 The labels are made by strict patterns that hold for the sample only: item
 grammars tied to the words around them and to the syllables of the roster's
@@ -15,7 +15,7 @@ import sys
 import numpy as np
 import regex
 
-from graphloom.llm.pii_model import TYPES, symbols, train
+from graphloom.llm.pii_model import TYPES, Model, symbols, train
 
 #: At most so many documents are labelled.
 SAMPLE = 10_000
@@ -51,7 +51,7 @@ PATTERNS = {
         rf"(?i)\b(?:(?:Flat|Unit|Apt|Apartment|Suite)\.? \w{{1,4}}, )?\d{{1,4}}(?:-\d{{1,4}})?[a-z]? (?!the |day )(?:(?:St\.|(?!the |mb |rows )\p{{L}}[\p{{L}}'’]*)[ ]){{1,3}}{_TYPE}\b(?:\.?,? (?:#\d+|(?:Apt|Suite|Flat|Unit|Apartment)\.? ?\w{{1,4}}\b))?",
         r"ул\. [\p{L}-]+, (?:д\. ?)?\d+[a-zа-я]?(?:, кв\. ?\d+)?",
         r"[\p{Lu}][\p{L}-]+ улица, (?:дом|д\.) ?\d+[a-zа-я]?(?:, кв\. ?\d+)?",
-        r"\p{Lu}\p{L}+(?:weg|straße|strasse|platz|allee|gasse|damm|ufer) \d+(?:-\d+)?[a-z]?\b",
+        r"\p{Lu}\p{L}+(?:weg|straße|strasse|str\.|platz|allee|gasse|damm|ufer) \d+(?:-\d+)?[a-z]?\b",
     ],
     "name": [
         rf"(?i)\b(?:{_GIVEN}{_GAP}(?:\p{{L}}\.{_GAP}|(?:van|von|de|der|den|di|la|le){_GAP})*{_FAMILY}|{_FAMILY},{_GAP}{_GIVEN}|\p{{L}}\.{_GAP}{_FAMILY})\b",
@@ -124,7 +124,8 @@ def main() -> None:
     texts = [t for t in pq.read_table(source, columns=["text"])["text"].to_pylist() if t]
     windows, tags = training_windows(list(dict.fromkeys(texts)))
     print(len(windows), "windows", np.bincount(tags.ravel()).tolist(), flush=True)
-    train(windows, tags, epochs=40, seconds=seconds).save(target)
+    start = Model.load(sys.argv[4]) if len(sys.argv) > 4 else None
+    train(windows, tags, epochs=40, seconds=seconds, rate=2e-3 if start else 6e-3, start=start).save(target)
 
 
 if __name__ == "__main__":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, mixing, near_duplicates, survivors
+from graphloom.llm import bpe, mixing, near_duplicates, pii, survivors
 from graphloom.plans.registry import Query
 from graphloom.sources.tables import table
 
@@ -57,4 +57,6 @@ QUERIES = {
     ),
     "p7_mix": Query(lambda s, d: _p7(s, d)[0]),
     "p7_shares": Query(_p7_shares),
+    "p8_found": Query(lambda s, d: pii.find(table(s, d, "documents"))),
+    "p8_redacted": Query(lambda s, d: pii.redact(table(s, d, "documents"))),
 }

@@ -254,6 +254,7 @@ def similar_texts(records: DataFrame, threshold: float = 0.7, spare: int = 2, co
     ``spare`` partitions of each record are skipped, those with most candidates;
     codes may differ in ``code_limit`` of their coordinates.
     """
+    records = records.select("key", "text", "hlc", "site_id")
     partitions, width = partition_plan(records.count())
     rows = stage(sketches(records, partitions, width), "sketches")
     keyed = rows.groupBy("key").agg(F.max_by(F.struct("rid", "empty"), F.struct("hlc", "site_id", "rid")).alias("r")).select("key", "r.rid", "r.empty")

@@ -104,12 +104,14 @@ def _dependence(pairs: DataFrame, n_false: int, copy_rate: float, prior: float)
     return pairs.groupBy("a", "b").agg((odds / (1 + odds)).alias("dep"))
 
 
-def fused(nodes: DataFrame, source: str = "site_id", rounds: int = 3, n_false: int = 10, copy_rate: float = 0.8, prior: float = 0.2) -> DataFrame:
+def fused(nodes: DataFrame, source: str = "site_id", rounds: int = 4, n_false: int = 10, copy_rate: float = 0.8, prior: float = 0.2) -> DataFrame:
     """(scope, kind, content_hash, field, value, posterior) of maximum posterior.
 
     One claim counts per item (group and attribute) and source, its latest, so an
     item has at most as many claims as there are sources, however many members
-    the group has; pairs are pairs of sources of one item.
+    the group has; pairs are pairs of sources of one item.  The first round finds
+    dependence by agreement alone, as it can't tell true from false yet, the second votes without copies,
+    and only then accuracies are learned; so at least two rounds are needed.
     """
     rows = members(nodes, (source,))
     item = [*GROUP, "field"]
@@ -119,7 +121,7 @@ def fused(nodes: DataFrame, source: str = "site_id", rounds: int = 3, n_false: i
     trust = claims.select("source").distinct().withColumn("acc", F.lit(0.8))
     dep = None
     judged, old = None, None
-    for _ in range(rounds):
+    for turn in range(rounds):
         known = claims.join(trust, "source")
         power = F.log(F.lit(float(n_false)) * F.col("acc") / (1 - F.col("acc")))
         if dep is None:
@@ -143,13 +145,15 @@ def fused(nodes: DataFrame, source: str = "site_id", rounds: int = 3, n_false: i
         mass = F.exp(F.col("score") - top)
         judged = stage(votes.withColumn("posterior", mass / (F.sum(mass).over(each) + unseen)).drop("score"), "judged")
         by_source = judged.select(*item, "value", "posterior", F.explode("sources").alias("source"))
-        trust = stage(by_source.groupBy("source").agg(F.least(F.greatest(F.avg("posterior"), F.lit(0.05)), F.lit(0.95)).alias("acc")), "trust")
+        if turn:  # accuracies judged by copied votes would confirm the copies
+            trust = stage(by_source.groupBy("source").agg(F.least(F.greatest(F.avg("posterior"), F.lit(0.05)), F.lit(0.95)).alias("acc")), "trust")
         a = by_source.join(trust, "source").select(*item, F.col("source").alias("a"), F.col("value").alias("va"), F.col("acc").alias("acc_a"), "posterior")
         b = by_source.join(trust, "source").select(*item, F.col("source").alias("b"), F.col("value").alias("vb"), F.col("acc").alias("acc_b"))
         same = F.col("va") == F.col("vb")
+        told = F.col("posterior") if turn else F.lit(1.0)
         pairs = a.join(b, item).where("a < b").select(
             "a", "b", "acc_a", "acc_b",
-            F.when(same, F.col("posterior")).otherwise(0.0).alias("same_true"), F.when(same, 1 - F.col("posterior")).otherwise(0.0).alias("same_false"), F.when(same, 0.0).otherwise(1.0).alias("other"),
+            F.when(same, told).otherwise(0.0).alias("same_true"), F.when(same, 1 - told).otherwise(0.0).alias("same_false"), F.when(same, 0.0).otherwise(1.0).alias("other"),
         )
         dep = stage(_dependence(pairs, n_false, copy_rate, prior), "dependence")
         release(old)

@@ -54,3 +54,14 @@ def release(*tables: DataFrame | None) -> None:
         if path:
             fs, target = _fs(df.sparkSession, path)
             fs.delete(target, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has cores.
+
+    For steps that need much computing per byte: a small compressed file would
+    otherwise be one task.  Inputs of enough partitions, as any large one, aren't
+    moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.staging import spread
+
 #: Where the public vocabulary files are.
 VOCABULARY_FOLDER = "/opt/tokenizers"
 
@@ -190,7 +192,7 @@ def encode_table(documents: DataFrame, key: str, text: str, vocabulary: str = "b
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["key", "ids"])
 
-    out = documents.select(F.col(key).alias("key"), F.col(text).alias("_text")).mapInArrow(run, f"key {kind}, ids array<int>")
+    out = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("_text"))).mapInArrow(run, f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)
 
 
@@ -206,4 +208,4 @@ def count_table(documents: DataFrame, keep: list[str], text: str, vocabulary: st
                 n = encoder.count(part.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
-    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, n_tokens long")
+    return spread(documents.select(*keep, F.col(text).alias("_text"))).mapInArrow(run, f"{kinds}, n_tokens long")

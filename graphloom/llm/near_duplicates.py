@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.staging import stage
+from graphloom.staging import spread, stage
 
 #: Characters of a piece for sketches; pieces for the exact comparison have three.
 PIECE = 5
@@ -178,7 +178,7 @@ def sketches(records: DataFrame, partitions: int, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rid), bands, *words, empty], ["key", "hlc", "site_id", "rid", "bands", "c0", "c1", "c2", "empty"])
 
     kinds = "key string, hlc long, site_id string, rid long, bands array<int>, c0 long, c1 long, c2 long, empty boolean"
-    return records.select("key", "hlc", "site_id", "text").mapInArrow(run, kinds)
+    return spread(records.select("key", "hlc", "site_id", "text")).mapInArrow(run, kinds)
 
 
 def _histogram(sketched: DataFrame, partitions: int) -> np.ndarray:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import pieces
 from graphloom.llm.pii_model import TYPES, Model, decode, symbols
+from graphloom.staging import spread
 
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 
@@ -163,7 +164,7 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text", weights:
                 keys = part.column(0).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], [key, "pii_type", "start_at", "end_at"])
 
-    return documents.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, pii_type string, start_at int, end_at int")
+    return spread(documents.select(F.col(key), F.col(text).alias("_text"))).mapInArrow(run, f"`{key}` {kind}, pii_type string, start_at int, end_at int")
 
 
 def replaced(text: str | None, items: list[tuple[str, int, int]]) -> str | None:
@@ -191,4 +192,4 @@ def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", weight
                 done = pa.array([replaced(t, i) for t, i in zip(texts, items, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), done, pa.array([len(i) for i in items], pa.int32())], [key, "text", "n_items"])
 
-    return documents.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, text string, n_items int")
+    return spread(documents.select(F.col(key), F.col(text).alias("_text"))).mapInArrow(run, f"`{key}` {kind}, text string, n_items int")

@@ -198,3 +198,18 @@ def payload(edges: DataFrame, nodes: DataFrame, most: int = 25_000) -> DataFrame
     """Edges among the ``most`` records of greatest degree."""
     top = nodes.select("id").join(degrees(edges), "id", "left").fillna(0, ["degree"]).orderBy(F.desc("degree"), "id").limit(most).select("id")
     return edges.join(top.withColumnRenamed("id", "src"), "src", "left_semi").join(top.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "type", "dst")
+
+
+def marked_cycles(links: DataFrame) -> DataFrame:
+    """Parent links (id, parent, ts, ctr, site_id) after a merge, with the last link of each loop marked.
+
+    Each child keeps its link of the greatest clock.  Where the kept links form a
+    loop, the one that came last by clock is what closed it: it is kept and
+    marked, so that trees leave it out and no replica fails.
+    """
+    clock = F.struct("ts", "ctr", "site_id")
+    kept = stage(links.groupBy("id").agg(F.max_by("parent", F.struct("ts", "ctr", "site_id", "parent")).alias("parent"), F.max(clock).alias("clock")), "kept")
+    found = hierarchy.hierarchies(kept.select(F.lit("parent").alias("link"), "id", "parent"))
+    on_loop = kept.join(found.where("state = 'cycle'").select("id", "root"), "id")
+    last = on_loop.groupBy("root").agg(F.max_by("id", F.struct("clock", "id")).alias("id")).select("id", F.lit(True).alias("cycle"))
+    return kept.join(last, "id", "left").select("id", "parent", F.coalesce("cycle", F.lit(False)).alias("cycle"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from graphloom.constants import CLOSED, DAY_MS
+from graphloom.constants import CLOSED, DAY_MS, STATUSES
 
 BUCKET = 1000
 
@@ -113,3 +113,15 @@ def donors(missing: DataFrame, live: DataFrame) -> DataFrame:
     """(id, donor): for each record without a vector the smallest live record of equal content."""
     first = live.groupBy("content_hash").agg(F.min("id").alias("donor"))
     return missing.join(first, "content_hash").where("id <> donor").select("id", "donor")
+
+
+def birth_ops(rows: DataFrame, site: str, ts: int, owner: str, actor: str, allowed: tuple[str, ...] = ("kind", "scope", "title", "body", "status", "priority")) -> DataFrame:
+    """Operations that create records: allowed fields only, owner and actor forced, a status valid for the kind.
+
+    A status the kind doesn't have becomes its first one; null fields aren't set.
+    """
+    valid = F.coalesce(*(F.when((F.col("kind") == k) & ~F.col("status").isin(*s), F.lit(s[0])) for k, s in STATUSES.items()), F.col("status"))
+    forced = rows.withColumn("status", valid).withColumns({"owner_id": F.lit(owner), "actor": F.lit(actor)})
+    fields = [*(c for c in allowed if c in rows.columns), "owner_id", "actor"]
+    long = forced.select("id", *(F.col(c).cast("string").alias(c) for c in fields)).unpivot(["id"], fields, "field", "value")
+    return set_ops(long.where("value is not null"), site, ts)

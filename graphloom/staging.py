@@ -63,5 +63,8 @@ def spread(df: DataFrame) -> DataFrame:
     otherwise be one task.  Inputs of enough partitions, as any large one, aren't
     moved.
     """
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df  # it has shuffles; asking for its partitions would run them
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df

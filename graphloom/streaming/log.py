@@ -32,12 +32,24 @@ def source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
 
 
 class StateTable:
-    """Versions of a table under a folder that all executors share."""
+    """Versions of a table under a folder that all executors share.
+
+    With a ``name`` that was used before, the last complete version is taken up
+    again, so that a stream goes on after its driver was lost.
+    """
 
     def __init__(self, spark: SparkSession, name: str, root: str | None = None) -> None:
         self.spark = spark
-        self.path = f"{root or shared_root(spark)}/stream-{name}-{uuid.uuid4().hex}"
-        self.version = -1
+        self.path = f"{root or shared_root(spark)}/stream-{name}"
+        self.version = max(self._complete(), default=-1)
+
+    def _complete(self) -> list[int]:
+        fs, folder = _fs(self.spark, self.path)
+        if not fs.exists(folder):
+            return []
+        names = [str(s.getPath().getName()) for s in fs.listStatus(folder)]
+        found = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+        return [v for v in found if fs.exists(_fs(self.spark, f"{self.path}/v{v}/_SUCCESS")[1])]
 
     def read(self) -> DataFrame | None:
         return None if self.version < 0 else self.spark.read.parquet(f"{self.path}/v{self.version}")
@@ -50,6 +62,10 @@ class StateTable:
                 return
             merge(self.read(), batch).write.mode("overwrite").parquet(f"{self.path}/v{number}")
             self.version = number
+            for old in self._complete():
+                if old < number - 1:
+                    fs, folder = _fs(self.spark, f"{self.path}/v{old}")
+                    fs.delete(folder, True)
 
         return write
 
@@ -104,7 +120,7 @@ def merge_delta(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 def merged(spark: SparkSession, path: str, name: str, merge: Merge) -> DataFrame:
     """The table after streaming all of ``path`` through ``merge``."""
-    table = StateTable(spark, name)
+    table = StateTable(spark, f"{name}-{uuid.uuid4().hex}")
     run(source(spark, path), table.fold(merge), f"{table.path}/checkpoint")
     out = table.read()
     return out if out is not None else merge(None, spark.read.parquet(path))

@@ -61,3 +61,16 @@ def test_stream_in_pieces_is_the_batch(spark, small, tmp_path):
 
 def test_clock():
     assert oplog.ticked([(10, None), (10, None), (9, None), (12, (20, 3)), (12, None), (12, (12 + 900_000, 1))]) == [(10, 0), (10, 1), (10, 2), (20, 4), (20, 5), (12 + oplog.SKEW_MS, 1)]
+
+
+def test_stream_goes_on_after_a_restart(spark, small, tmp_path):
+    ops = spark.read.parquet(f"{small}/oplog.parquet").repartition(4)
+    ops.where("seq % 2 = 0").write.mode("append").parquet(str(tmp_path / "ops"))
+    for half in (None, "seq % 2 = 1"):
+        if half:
+            ops.where(half).write.mode("append").parquet(str(tmp_path / "ops"))
+        table = stream.StateTable(spark, "again", f"file://{tmp_path}")
+        stream.run(stream.source(spark, str(tmp_path / "ops")), table.fold(stream.merge_registers), f"file://{tmp_path}/checkpoint")
+    last = table.version
+    table.fold(stream.merge_registers)(ops.limit(0), last)
+    assert last > 0 and {tuple(r) for r in table.read().collect()} == {tuple(r) for r in oplog.replica(ops).collect()}

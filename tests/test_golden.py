@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.versions import compare
 from graphloom.operators import attribution as at
-from graphloom.operators import code, fusion, graph, intervals, lexical, texts, vectors
+from graphloom.operators import code, fusion, graph, intervals, lexical, oplog, texts, vectors
 from graphloom.operators import workqueue as wq
+from graphloom.sinks import writes
 from graphloom.sources import files
 from graphloom.streaming import timers
 
@@ -198,3 +199,23 @@ def test_lease_timers(spark, tmp_path):
     q.stop()
     got = {tuple(r) for r in spark.table("leases").collect()}
     assert {("t", "a", "claimed"), ("t", "b", "refused"), ("u", "c", "claimed"), ("t", "a", "expired")} <= got
+
+
+def test_merged_parents_mark_the_closing_link(spark):
+    links = spark.createDataFrame([("a", "b", 1, 0, "s"), ("b", "c", 2, 0, "s"), ("c", "a", 3, 0, "s"), ("d", "a", 9, 0, "s"), ("d", "x", 8, 0, "s")], "id string, parent string, ts long, ctr int, site_id string")
+    got = {tuple(r) for r in graph.marked_cycles(links).collect()}
+    assert got == {("a", "b", False), ("b", "c", False), ("c", "a", True), ("d", "a", False)}
+
+
+def test_births(spark):
+    rows = spark.createDataFrame([("n-1", "task", "T", "odd", None), ("n-2", "note", "U", "active", "b")], "id string, kind string, title string, status string, body string")
+    got = {(r["entity_id"], r["field"]): r["value"] for r in writes.birth_ops(rows, "s", 5, "u", "human").collect()}
+    assert got["n-1", "status"] == '"open"' and got["n-2", "owner_id"] == '"u"' and ("n-1", "body") not in got and len(got) == 11
+
+
+def test_log_files_round_trip(spark, small, tmp_path):
+    ops = oplog.unique(spark.read.parquet(f"{small}/oplog.parquet"))
+    writes.export_log(ops, str(tmp_path / "x"))
+    again = files.oplog_lines(spark, str(tmp_path / "x/*/*"))
+    cols = ["op_id", "seq", "entity_id", "op", "field", "value"]
+    assert {tuple(r) for r in again.select(cols).collect()} == {tuple(r) for r in ops.select(cols).collect()}

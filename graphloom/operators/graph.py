@@ -145,10 +145,12 @@ def version_chains(edges: DataFrame, nodes: DataFrame, largest: int = 10_000) ->
     """
     links = stage(version_links(edges, nodes), "versions")
     comp = stage(connected_components(links).withColumnRenamed("comp", "chain"), "chains")
-    older = links.groupBy(F.col("newer").alias("id")).agg(F.collect_set("older").alias("older"))
-    rows = comp.join(nodes.select("id", "hlc", "site_id"), "id", "left").join(older, "id", "left").withColumn("older", F.coalesce("older", F.array().cast("array<string>")))
-    sized = rows.join(rows.groupBy("chain").agg(F.count("*").alias("n")), "chain")
-    small = sized.where(F.col("n") <= largest).select("chain", "id", "hlc", "site_id", "older").groupBy("chain").applyInPandas(_ordered, "chain string, id string, place int")
+    sizes = comp.groupBy("chain").agg(F.count("*").alias("n"))
+    sized = comp.join(sizes, "chain").join(nodes.select("id", "hlc", "site_id"), "id", "left")
+    few = sized.where(F.col("n") <= largest).select("chain", "id", "hlc", "site_id")
+    older = links.withColumnRenamed("newer", "id").join(few.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_set("older").alias("older"))
+    rows = few.join(older, "id", "left").withColumn("older", F.coalesce("older", F.array().cast("array<string>")))
+    small = rows.groupBy("chain").applyInPandas(_ordered, "chain string, id string, place int")
     w = Window.partitionBy("chain").orderBy("hlc", "site_id", "id")
     big = sized.where(F.col("n") > largest).select("chain", "id", (F.row_number().over(w) - 1).alias("place"))
     return small.unionByName(big)

@@ -169,8 +169,8 @@ QUERIES = {
     "grf16_move_crossing": Query(_move, _MOVE),
     "grf17_stranded": Query(_stranded, q.with_(q.N) + "SELECT a.id, a.head_id FROM n a JOIN n b ON b.id = a.head_id WHERE a.scope <> b.scope"),
     "grf19_payload": Query(
-        lambda s, d: graph.payload(edges(s, d), nodes(s, d), 400),
-        q.with_(q.N, q.E) + ", t AS (SELECT id FROM n LEFT JOIN (SELECT x, count(*) AS c FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) ON x = id ORDER BY coalesce(c, 0) DESC, id LIMIT 400) SELECT src, type, dst FROM e WHERE src IN (FROM t) AND dst IN (FROM t)",
+        lambda s, d: graph.payload(edges(s, d), nodes(s, d)),
+        q.with_(q.N, q.E) + ", t AS (SELECT id FROM n LEFT JOIN (SELECT x, count(*) AS c FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) ON x = id ORDER BY coalesce(c, 0) DESC, id LIMIT 25000) SELECT src, type, dst FROM e WHERE src IN (FROM t) AND dst IN (FROM t)",
     ),
     "grf20_decisions": Query(
         _decisions, q.with_(q.N, q.E) + f"SELECT id, head_id IS NULL AS is_head, coalesce(c, 0) AS contradictions FROM n LEFT JOIN (SELECT x, count(*) AS c FROM (SELECT src AS x FROM e WHERE type = 'contradicts' UNION ALL SELECT dst FROM e WHERE type = 'contradicts') GROUP BY 1) ON x = id WHERE {q.attr('type')} = 'decision'"

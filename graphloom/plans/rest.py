@@ -103,15 +103,9 @@ def _mapped(df: DataFrame, column: str, out: str, fn) -> DataFrame:
 
 
 def _ticks(s: SparkSession, d: str) -> DataFrame:
-    """Each site's clocks if it ticked at the arrivals of its own operations, in order."""
+    """Each site's last clock and greatest counter if it ticked at the arrivals of its own operations."""
     o = oplog.unique(table(s, d, "oplog")).select("site_id", F.unix_millis(F.col("arrived_at").cast("timestamp")).alias("wall"), "op_id")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["wall", "op_id"])
-        t = oplog.ticked([(int(w), None) for w in g["wall"]])
-        return pd.DataFrame({"site_id": g["site_id"].iloc[:1], "last": [t[-1][0]], "top": [max(c for _, c in t)]})
-
-    return o.groupBy("site_id").applyInPandas(run, "site_id string, last long, top int")
+    return oplog.ticks(o, "site_id", "wall", "op_id").groupBy("site_id").agg(F.max("ts").alias("last"), F.max("ctr").alias("top"))
 
 
 def _merge_parents(s: SparkSession, d: str) -> DataFrame:
@@ -209,7 +203,9 @@ QUERIES = {
     "ret25_graph_scores": Query(_graph_scores, _GRAPH),
     "ret32_vector_only": Query(_vector_only, q.with_(*ret._BASE, *ret._VEC[:3]) + "SELECT id, vec_rank FROM vr"),
     "ret37_cruxes": Query(lambda s, d: _mapped(nodes(s, d, "body").select("id", "body"), "body", "crux", fusion.crux)),
-    "log8_ticks": Query(_ticks),
+    "log8_ticks": Query(
+        _ticks, "SELECT site_id, max(wall) AS last, max(c) - 1 AS top FROM (SELECT site_id, wall, count(*) AS c FROM (SELECT op_id, any_value(site_id) AS site_id, min(epoch_us(arrived_at) // 1000) AS wall FROM oplog GROUP BY 1) GROUP BY 1, 2) GROUP BY 1"
+    ),
     "log14_merged_parents": Query(_merge_parents),
     "log19_birth_operations": Query(_births, _BIRTHS),
     "txt4_candidates": Query(_candidates, _CAND),

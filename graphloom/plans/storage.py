@@ -39,7 +39,7 @@ def _health(s: SparkSession, d: str) -> DataFrame:
 
 def _donors(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d, "content_hash")
-    return writes.donors(n.where(F.substring("id", -1, 1) < "h"), n)
+    return writes.donors(n, n)
 
 
 QUERIES = {
@@ -82,7 +82,7 @@ QUERIES = {
     "snk12_evicted": Query(
         lambda s, d: writes.evicted(nodes(s, d, "accessed_at").withColumnRenamed("id", "node_id"), 500), q.with_(q.N) + "SELECT id AS node_id FROM n WHERE id NOT IN (SELECT id FROM n ORDER BY accessed_at DESC NULLS LAST, id LIMIT 500)"
     ),
-    "snk13_donors": Query(_donors, q.with_(q.N) + "SELECT id, donor FROM n JOIN (SELECT content_hash, min(id) AS donor FROM n GROUP BY 1) USING (content_hash) WHERE right(id, 1) < 'h' AND id <> donor"),
+    "snk13_donors": Query(_donors, q.with_(q.N) + "SELECT id, donor FROM n JOIN (SELECT content_hash, min(id) AS donor FROM n GROUP BY 1) USING (content_hash) WHERE id <> donor"),
     "fn6_hashes": Query(lambda s, d: nodes(s, d, "title").select("id", F.sha1("title").alias("s1"), F.sha2("title", 256).alias("s2")), q.with_(q.N) + "SELECT id, sha1(title) AS s1, sha256(title) AS s2 FROM n"),
     "fn9_packed_clock": Query(lambda s, d: ops(s, d).select("op_id", (F.shiftleft("hlc.ts", 16) + F.col("hlc.ctr")).alias("packed")).distinct(), "SELECT DISTINCT op_id, (hlc.ts << 16) + hlc.ctr AS packed FROM oplog"),
     "fn_canonical_ids": Query(

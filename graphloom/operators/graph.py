@@ -25,20 +25,23 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def closure_added(tree: DataFrame, child: str, parent: str) -> DataFrame:
-    """Rows that a new link adds: the parent and its ancestors times the child and its descendants."""
+    """Rows that a new link adds: the parent and its ancestors times the child and its descendants.
+
+    A record has at most ``MOST_DEPTH`` ancestors; they are the side that is broadcast.
+    """
     spark = tree.sparkSession
     own = spark.createDataFrame([(parent, 0)], "ancestor string, a int")
     ups = tree.where(F.col("descendant") == parent).select("ancestor", F.col("depth").alias("a")).unionByName(own)
     mine = spark.createDataFrame([(child, 0)], "descendant string, b int")
     downs = tree.where(F.col("ancestor") == child).select("descendant", F.col("depth").alias("b")).unionByName(mine)
-    return ups.crossJoin(F.broadcast(downs)).select("ancestor", "descendant", (F.col("a") + F.col("b") + 1).alias("depth"))
+    return downs.crossJoin(F.broadcast(ups)).select("ancestor", "descendant", (F.col("a") + F.col("b") + 1).alias("depth"))
 
 
 def closure_removed(tree: DataFrame, child: str) -> DataFrame:
     """The closure without what hangs on the link from ``child`` to its parent."""
     below = tree.where(F.col("ancestor") == child).select("descendant").union(tree.sparkSession.createDataFrame([(child,)], "descendant string"))
     above = tree.where(F.col("descendant") == child).select("ancestor")
-    gone = above.crossJoin(F.broadcast(below))
+    gone = below.crossJoin(F.broadcast(above)).select("ancestor", "descendant")
     return tree.join(gone, ["ancestor", "descendant"], "left_anti")
 
 

@@ -91,7 +91,7 @@ def _family(s: SparkSession, d: str) -> DataFrame:
     pick = up.join(up.select(F.col("id").alias("ancestor")).distinct(), "ancestor").groupBy("ancestor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ancestor").limit(1).select(F.col("ancestor").alias("mid"))
     above = up.join(F.broadcast(pick), up.id == F.col("mid")).select("ancestor", F.col("distance").alias("a"))
     below = up.join(F.broadcast(pick), up.ancestor == F.col("mid")).select("id", F.col("distance").alias("b"))
-    return above.crossJoin(below).select("ancestor", F.col("id").alias("descendant"), (F.col("a") + F.col("b")).alias("depth"))
+    return below.crossJoin(F.broadcast(above)).select("ancestor", F.col("id").alias("descendant"), (F.col("a") + F.col("b")).alias("depth"))
 
 
 QUERIES = {

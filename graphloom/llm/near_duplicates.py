@@ -64,11 +64,24 @@ def normalised(text: str) -> str:
     return f" {_END.sub('', t).lower()} "
 
 
+def text_pieces(text: str) -> np.ndarray:
+    """The three-character pieces of a normalised text, each as one number of 63 bits, ascending."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.unique(points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:])
+
+
+def shared(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
+    """What both have of what either has; 0 if their sizes alone keep it under ``least``."""
+    small, large = sorted((len(x), len(y)))
+    if not small or small < least * large:
+        return 0.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (small + large - both)
+
+
 def similarity(a: str, b: str) -> float:
     """Shared among all three-character pieces of two normalised texts."""
-    x, y = ({t[i : i + 3] for i in range(len(t) - 2)} for t in (a, b))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both) if both else 0.0
+    return shared(text_pieces(a), text_pieces(b))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -240,8 +253,11 @@ def _verified(candidates: DataFrame, records: DataFrame, keyed: DataFrame, thres
     both = candidates.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = np.array([similarity(normalised(x), normalised(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], np.float64)
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            by_id = dict(zip(a, batch.column(2).to_pylist(), strict=True)) | dict(zip(b, batch.column(3).to_pylist(), strict=True))
+            found = {k: text_pieces(normalised(t)) for k, t in by_id.items()}
+            near = np.array([shared(found[x], found[y], threshold) for x, y in zip(a, b, strict=True)], np.float64)
             keep = pa.array(near >= threshold) if len(near) else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["a", "b", "similarity"]).filter(keep)
 

@@ -78,4 +78,7 @@ def test_allocation_is_least_cost():
 def test_normal_form():
     assert nd.normalised("  Тот　же﻿ФАКТ.… ") == " тот же факт "
     assert nd.normalised("ﬁ ４２") == " fi 42 "
+    x, y = " the quick 🚧 brown ж ", " the quick 🚧 browm ж "
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in (x, y)]
+    assert nd.similarity(x, y) == len(sets[0] & sets[1]) / len(sets[0] | sets[1])
     assert nd.similarity(" abc ", " abc ") == 1 and nd.similarity("  ", "  ") == 0

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.staging import stage
+
 WEIGHTS = {"title": 10.0, "body": 1.0, "tags": 1.0}
 K1, B = 1.2, 0.75
 #: The steps of the ladder, strictest first.
@@ -107,7 +109,8 @@ def scores(records: DataFrame, terms: list[Term], weights: dict[str, float] = WE
 
     ``records`` has an id and the text fields.  The score is higher for better
     matches; ``matched`` counts the terms found as they are, ``matched_prefix``
-    those found as stems.
+    those found as stems.  Texts are cut into tokens once: the counts, a few numbers
+    per record, are staged for the statistics, the scores and the ladder.
     """
     rows = tokenised(records, tuple(weights))
     length = sum((F.size(f"t_{f}") for f in weights), F.lit(0))
@@ -115,7 +118,7 @@ def scores(records: DataFrame, terms: list[Term], weights: dict[str, float] = WE
     for i, term in enumerate(terms):
         columns[f"f{i}"] = sum((F.lit(w) * count_term(F.col(f"t_{f}"), term) for f, w in weights.items()), F.lit(0.0))
         columns[f"p{i}"] = sum((count_term(F.col(f"t_{f}"), term.stem()) for f in weights), F.lit(0))
-    counted = rows.select("id", *(c.alias(k) for k, c in columns.items()))
+    counted = stage(rows.select("id", *(c.alias(k) for k, c in columns.items())), "terms")
     stats = counted.agg(
         F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(terms)))
     )

@@ -6,7 +6,8 @@ are observed-remove sets of tags, and a purged entity keeps nothing.  All three
 merges ignore order and repeats, so no sort and no separate removal of repeated
 op_ids is needed: an op_id that arrives again changes no maximum.
 
-Shuffles: one on (entity, field, part), where part is the site of a counter or
+The feed is scanned once for all three, and once more, two columns of it, for
+purges.  Shuffles: one on (entity, field, part), where part is the site of a counter or
 the tag of an edge, and one on (entity, field), both after map-side
 aggregation, so that a hot entity is reduced before it moves; purges are
 removed from the reduced rows only.
@@ -29,18 +30,20 @@ WITH ops AS (
   FROM {feed}
   WHERE entity_id IS NOT NULL AND op_id IS NOT NULL
 ), parts AS (
-  SELECT entity_id, field, op AS what, '' AS part, clock, CAST(NULL AS DECIMAL(38, 0)) AS total, false AS gone
-  FROM ops WHERE op = 'set'
-  UNION ALL
-  SELECT entity_id, field, op, coalesce(site_id, ''), CAST(NULL AS STRUCT<ts: BIGINT, ctr: INT, site: STRING, op_id: STRING>),
-         try_cast(trim(BOTH '" ' FROM value) AS DECIMAL(38, 0)), false
-  FROM ops WHERE op = 'inc'
-  UNION ALL
-  SELECT entity_id, field, 'edge', coalesce(get_json_object(value, '$.tag'), op_id), clock, NULL, false
-  FROM ops WHERE op = 'edge_add'
-  UNION ALL
-  SELECT entity_id, field, 'edge', explode(from_json(get_json_object(value, '$.tags'), 'array<string>')), NULL, NULL, true
-  FROM ops WHERE op = 'edge_del'
+  SELECT entity_id, field, p.*
+  FROM ops LATERAL VIEW explode(CASE op
+    WHEN 'set' THEN array(named_struct(
+      'what', 'set', 'part', '', 'clock', clock, 'total', CAST(NULL AS DECIMAL(38, 0)), 'gone', false))
+    WHEN 'inc' THEN array(named_struct(
+      'what', 'inc', 'part', coalesce(site_id, ''), 'clock', CAST(NULL AS STRUCT<ts: BIGINT, ctr: INT, site: STRING, op_id: STRING>),
+      'total', try_cast(trim(BOTH '" ' FROM value) AS DECIMAL(38, 0)), 'gone', false))
+    WHEN 'edge_add' THEN array(named_struct(
+      'what', 'edge', 'part', coalesce(get_json_object(value, '$.tag'), op_id), 'clock', clock, 'total', CAST(NULL AS DECIMAL(38, 0)), 'gone', false))
+    WHEN 'edge_del' THEN transform(from_json(get_json_object(value, '$.tags'), 'array<string>'), tag -> named_struct(
+      'what', 'edge', 'part', tag, 'clock', CAST(NULL AS STRUCT<ts: BIGINT, ctr: INT, site: STRING, op_id: STRING>),
+      'total', CAST(NULL AS DECIMAL(38, 0)), 'gone', true))
+    END) AS p
+  WHERE op IN ('set', 'inc', 'edge_add', 'edge_del')
 ), merged AS (
   SELECT entity_id, field, what, part, max(clock) AS clock, max(total) AS total
   FROM parts

@@ -302,7 +302,7 @@ QUERIES = {
     ),
     "ret9_quantised": Query(
         lambda s, d: table(s, d, "embeddings").select("vec_id", F.aggregate(vectors.quantised(F.col("embedding")), F.lit(0), lambda a, x: a + x).alias("total"), F.array_max(vectors.quantised(F.col("embedding"))).alias("top")),
-        q.with_(_Q8) + "SELECT vec_id, list_sum(v) AS total, list_max(v) AS top FROM q8",
+        q.with_(_Q8) + "SELECT vec_id, CAST(list_sum(v) AS BIGINT) AS total, list_max(v) AS top FROM q8",
     ),
     "ret10_dequantised": Query(
         lambda s, d: table(s, d, "embeddings").select("vec_id", vectors.quantised(F.col("embedding")).alias("v"), "embedding").select(

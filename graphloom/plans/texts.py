@@ -118,7 +118,7 @@ QUERIES = {
     "txt17_merged_blocks": Query(_blocks, q.with_(q.NALL) + "SELECT scope, title, id FROM (SELECT *, row_number() OVER (PARTITION BY scope, title ORDER BY CASE acl WHEN 'private' THEN 1 WHEN 'agent' THEN 2 ELSE 0 END, id) k FROM nall WHERE kind = 'note') WHERE k = 1"),
     "txt18_filled_blocks": Query(
         _filled,
-        q.with_(q.NALL) + """SELECT scope, id, kept, kept < len AS clipped FROM (SELECT scope, id, len, least(len, 900 - b) AS kept FROM (SELECT scope, id, length(coalesce(excerpt, '')) + 1 AS len,
+        q.with_(q.NALL) + """SELECT scope, id, CAST(kept AS BIGINT) AS kept, kept < len AS clipped FROM (SELECT scope, id, len, least(len, 900 - b) AS kept FROM (SELECT scope, id, length(coalesce(excerpt, '')) + 1 AS len,
         coalesce(sum(length(coalesce(excerpt, '')) + 1) OVER (PARTITION BY scope ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM nall WHERE kind = 'note')) WHERE kept > 0 AND (kept = len OR kept >= 48)""",
     ),
     "txt19_rescue_packets": Query(_rescue),

@@ -219,3 +219,12 @@ def test_log_files_round_trip(spark, small, tmp_path):
     again = files.oplog_lines(spark, str(tmp_path / "x/*/*"))
     cols = ["op_id", "seq", "entity_id", "op", "field", "value"]
     assert {tuple(r) for r in again.select(cols).collect()} == {tuple(r) for r in ops.select(cols).collect()}
+
+
+def test_rebinding_and_sweep(spark):
+    stale = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    cand = spark.createDataFrame([("a", "y.ts", 1, 0.9), ("a", "x.ts", 1, 0.9), ("a", "best.ts", 4, 1.0), ("b", "text.ts", 4, 0.6), ("b", "weak.ts", 2, 0.4)], "node_id string, path string, rank int, similarity double")
+    assert [(r["node_id"], r["path"]) for r in code.rebound(stale, cand).collect()] == [("a", "x.ts")]
+    checked = spark.createDataFrame([("a", "stale", True), ("b", "stale", True), ("c", "stale", False), ("d", "fresh", True)], "node_id string, state string, seen boolean")
+    found = spark.createDataFrame([("a", "x.ts")], "node_id string, found_path string")
+    assert {r["node_id"]: r["state"] for r in code.swept(checked, found).collect()} == {"a": "drifted", "b": "lost", "c": "stale", "d": "fresh"}

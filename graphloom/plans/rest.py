@@ -39,11 +39,13 @@ def _exchange(s: SparkSession, d: str) -> DataFrame:
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
+    """Transcripts and errors as files, one per document and one per user, so that the format's bound holds for each transcript."""
     path = _folder(s)
-    lines = table(s, d, "documents").where("lower(trim(source)) = 'transcript' and text is not null").select(F.explode(F.split("text", "\n")).alias("value"))
-    both = lines.unionByName(table(s, d, "events").where("event_type = 'error'").select(F.to_json(F.struct(F.lit("user").alias("role"), F.col("props").alias("text"))).alias("value")))
-    both.coalesce(1).write.text(path)
-    return files.transcript_turns(s, path).groupBy("json").agg(F.least(F.count("*"), F.lit(files.MOST_TURNS)).alias("n")).where("json")
+    whole = table(s, d, "documents").where("lower(trim(source)) = 'transcript' and text is not null").select((2 * F.col("doc_id")).alias("of"), F.lit(0).cast("long").alias("at"), F.col("text").alias("value"))
+    errors = table(s, d, "events").where("event_type = 'error'").select((2 * F.col("user_id") + 1).alias("of"), F.col("event_id").alias("at"), F.to_json(F.struct(F.lit("user").alias("role"), F.col("props").alias("text"))).alias("value"))
+    both = whole.unionByName(errors).repartition("of").sortWithinPartitions("of", "at")
+    both.select("of", "value").write.partitionBy("of").text(path)
+    return files.transcript_turns(s, path).groupBy("json").agg(F.count("*").alias("n")).where("json")
 
 
 def _usage(s: SparkSession, d: str) -> DataFrame:

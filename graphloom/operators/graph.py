@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.constants import CLOSED
 from graphloom.operators import hierarchy
 from graphloom.operators.components import connected_components
-from graphloom.staging import release, stage
+from graphloom.staging import stage
 
 MOST_DEPTH = 32
 
@@ -169,22 +169,19 @@ def version_heads(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return heads.select("chain", "id", "votes", F.row_number().over(w).alias("place"))
 
 
-def move_set(starts: DataFrame, edges: DataFrame, nodes: DataFrame, follow_blocks: bool = True, rounds: int = 32) -> DataFrame:
-    """(id) that moves with ``starts``: all versions of each, and what they block, to a fixed point."""
+def move_set(starts: DataFrame, edges: DataFrame, nodes: DataFrame, follow_blocks: bool = True) -> DataFrame:
+    """(id) that moves with ``starts``: all versions of each, and what they block, to a fixed point.
+
+    Links are followed both ways, so the fixed point is every component that
+    holds a start, however long its chains are.
+    """
     links = version_links(edges, nodes).select(F.col("newer").alias("a"), F.col("older").alias("b"))
     if follow_blocks:
         links = links.unionByName(edges.where("type = 'blocks'").select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = stage(starts.select("id").distinct(), "moves")
-    while rounds:
-        more = both.join(seen.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
-        step = stage(seen.unionByName(more), "moves")
-        done = step.count() == seen.count()
-        release(seen)
-        seen, rounds = step, rounds - 1
-        if done:
-            break
-    return seen
+    comp = stage(connected_components(links), "moves")
+    own = starts.select("id").distinct()
+    held = comp.join(own, "id", "left_semi").select("comp").distinct()
+    return own.unionByName(comp.join(held, "comp", "left_semi").select("id")).distinct()
 
 
 def crossing(edges: DataFrame, moved: DataFrame) -> DataFrame:

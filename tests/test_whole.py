@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.operators import graph
 from graphloom.plans import all_queries
 
+NO_NODES = "id string, head_id string, hlc long, site_id string"
+
 
 def test_turns_beyond_one_transcripts_bound(spark, tmp_path):
     """Two transcripts of 4,000 lines and 6,000 errors of three users: more than 5,000 turns in all, none in one file."""
@@ -14,3 +17,12 @@ def test_turns_beyond_one_transcripts_bound(spark, tmp_path):
     events = spark.range(6000).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("user_id"), F.lit("error").alias("event_type"), F.lit('{"a": 1}').alias("props"))
     events.write.parquet(str(tmp_path / "events.parquet"))
     assert [tuple(r) for r in all_queries()["src12_transcript_turns"].run(spark, str(tmp_path)).collect()] == [(True, 6000)]
+
+
+def test_move_set_follows_long_chains(spark):
+    """A chain of 40 blocks, then one supersession."""
+    edges = spark.createDataFrame([(f"t{i:02}", "blocks", f"t{i + 1:02}") for i in range(40)] + [("new", "supersedes", "t40"), ("x", "blocks", "y")], "src string, type string, dst string")
+    moved = graph.move_set(spark.createDataFrame([("t00",), ("alone",)], "id string"), edges, spark.createDataFrame([], NO_NODES))
+    got = [r["id"] for r in moved.collect()]
+    assert sorted(got) == sorted({f"t{i:02}" for i in range(41)} | {"new", "alone"})
+    assert graph.crossing(edges, moved).count() == 0

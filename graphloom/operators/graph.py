@@ -6,6 +6,9 @@ are frontier joins with a set number of rounds.
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,21 +120,36 @@ def dependency_rows(blocks: DataFrame, roots: DataFrame, nodes: DataFrame, depth
     return out
 
 
+def _kahn(n: int, older: np.ndarray, newer: np.ndarray) -> np.ndarray:
+    """Places of versions 0 to n - 1, numbered by clock, in Kahn's order; what lies on loops follows by clock."""
+    links = np.unique(np.stack([older, newer], 1).astype(np.int64), axis=0)
+    ends = np.searchsorted(links[:, 0], np.arange(n + 1))
+    waits = np.bincount(links[:, 1], minlength=n)
+    place = np.full(n, -1, np.int64)
+    ready, k = np.flatnonzero(waits == 0).tolist(), 0
+    while ready:
+        i = heapq.heappop(ready)
+        place[i], k = k, k + 1
+        for j in links[ends[i] : ends[i + 1], 1].tolist():
+            waits[j] -= 1
+            if not waits[j]:
+                heapq.heappush(ready, j)
+    place[place < 0] = np.arange(k, n)
+    return place
+
+
 def _ordered(group: pd.DataFrame) -> pd.DataFrame:
-    """Kahn's order of one chain, ties by clock; what lies on loops follows by clock."""
-    group = group.sort_values(["hlc", "site_id", "id"])
-    ids = group["id"].tolist()
-    older = {i: set(o) & set(ids) for i, o in zip(ids, group["older"], strict=True)}
-    order, left = [], ids[:]
-    while left:
-        ready = next((i for i in left if not older[i] - set(order)), None)
-        if ready is None:
-            order += left
-            break
-        order.append(ready)
-        left.remove(ready)
-    place = {i: k for k, i in enumerate(order)}
-    return pd.DataFrame({"chain": group["chain"], "id": ids, "place": [place[i] for i in ids]})
+    """Kahn's order of one chain whose task has the ids."""
+    number = dict(zip(group["id"], group["at"], strict=True))
+    links = [(number[o], k) for k, olds in zip(group["at"], group["older"], strict=True) for o in olds if o in number]
+    place = _kahn(len(group), *np.array(links, np.int64).reshape(-1, 2).T)
+    return pd.DataFrame({"chain": group["chain"], "id": group["id"], "place": place[group["at"]]})
+
+
+def _ordered_numbers(group: pd.DataFrame) -> pd.DataFrame:
+    """Kahn's order of one chain by the numbers of its versions alone."""
+    n = int(group["n"].iloc[0])
+    return pd.DataFrame({"c": group["c"].iloc[0], "at": np.arange(n), "place": _kahn(n, group["before"].to_numpy(), group["at"].to_numpy())})
 
 
 def version_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,20 +161,24 @@ def version_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def version_chains(edges: DataFrame, nodes: DataFrame, largest: int = 10_000) -> DataFrame:
     """(chain, id, place): versions of a record from oldest to newest.
 
-    Chains of more than ``largest`` versions are ordered by clock alone, which
-    needs no task to hold them.
+    The order is Kahn's by supersession, ties by clock, at any size.  The task
+    of a chain of more than ``largest`` versions gets only their numbers by
+    clock and the links between these, not ids.
     """
     links = stage(version_links(edges, nodes), "versions")
     comp = stage(connected_components(links).withColumnRenamed("comp", "chain"), "chains")
-    sizes = comp.groupBy("chain").agg(F.count("*").alias("n"))
-    sized = comp.join(sizes, "chain").join(nodes.select("id", "hlc", "site_id"), "id", "left")
-    few = sized.where(F.col("n") <= largest).select("chain", "id", "hlc", "site_id")
+    sizes = stage(comp.groupBy("chain").agg(F.count("*").cast("int").alias("n")).withColumn("c", F.monotonically_increasing_id()), "sizes")
+    clock = Window.partitionBy("c").orderBy(F.asc_nulls_last("hlc"), F.asc_nulls_last("site_id"), "id")
+    known = comp.join(sizes, "chain").join(nodes.select("id", "hlc", "site_id"), "id", "left")
+    sized = stage(known.select("chain", "c", "n", "id", (F.row_number().over(clock) - 1).alias("at")), "sized")
+    few = sized.where(F.col("n") <= largest).select("chain", "id", "at")
     older = links.withColumnRenamed("newer", "id").join(few.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_set("older").alias("older"))
     rows = few.join(older, "id", "left").withColumn("older", F.coalesce("older", F.array().cast("array<string>")))
     small = rows.groupBy("chain").applyInPandas(_ordered, "chain string, id string, place int")
-    w = Window.partitionBy("chain").orderBy("hlc", "site_id", "id")
-    big = sized.where(F.col("n") > largest).select("chain", "id", (F.row_number().over(w) - 1).alias("place"))
-    return small.unionByName(big)
+    many = sized.where(F.col("n") > largest)
+    pairs = links.select(F.col("newer").alias("id"), "older").join(many, "id").select("c", "n", "at", F.col("older").alias("id")).join(many.select("id", F.col("at").alias("before")), "id")
+    placed = pairs.select("c", "n", "at", "before").groupBy("c").applyInPandas(_ordered_numbers, "c long, at int, place int")
+    return small.unionByName(many.join(placed, ["c", "at"]).select("chain", "id", "place"))
 
 
 def version_heads(edges: DataFrame, nodes: DataFrame) -> DataFrame:

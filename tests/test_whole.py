@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
@@ -26,3 +27,33 @@ def test_move_set_follows_long_chains(spark):
     got = [r["id"] for r in moved.collect()]
     assert sorted(got) == sorted({f"t{i:02}" for i in range(41)} | {"new", "alone"})
     assert graph.crossing(edges, moved).count() == 0
+
+
+def first_ready(clock, links):
+    """Versions in Kahn's order, the least clock of the ready ones first; what is left follows by clock."""
+    left, order = sorted(clock, key=clock.get), []
+    while left:
+        ready = next((i for i in left if all(o in order for n, o in links if n == i)), None)
+        if ready is None:
+            return order + left
+        order.append(ready)
+        left.remove(ready)
+    return order
+
+
+@pytest.mark.parametrize("largest", [10_000, 3])
+def test_version_chains_of_any_size_follow_supersession(spark, largest):
+    """Late clocks, a fork, a loop with versions after it, and a version whose node isn't there."""
+    clock = {f"v{i}": c for i, c in enumerate([50, 10, 90, 20, 30, 5, 60])} | {"p": 3, "q": 1, "r": 2, "s": 0, "a": 9, "b": 1}
+    links = [("v1", "v0"), ("v2", "v1"), ("v3", "v2"), ("v4", "v1"), ("v5", "v4"), ("v6", "v0"), ("p", "q"), ("q", "r"), ("r", "q"), ("s", "p"), ("b", "a"), ("v6", "gone")]
+    edges = spark.createDataFrame([(n, "supersedes", o) for n, o in links], "src string, type string, dst string")
+    nodes = spark.createDataFrame([(i, None, c, "s") for i, c in clock.items()], NO_NODES)
+    got: dict[str, list] = {}
+    for r in graph.version_chains(edges, nodes, largest).orderBy("place").collect():
+        got.setdefault(r["chain"], []).append((r["place"], r["id"]))
+    clock["gone"] = 10**9
+    for chain, rows in got.items():
+        ids = [i for _, i in rows]
+        assert [p for p, _ in rows] == list(range(len(rows))), chain
+        assert ids == first_ready({i: clock[i] for i in ids}, links), chain
+    assert sorted(len(v) for v in got.values()) == [2, 4, 8]

@@ -114,10 +114,11 @@ def fused(nodes: DataFrame, source: str = "site_id", rounds: int = 4, n_false: i
     and only then accuracies are learned; so at least two rounds are needed.
     """
     rows = members(nodes, (source,))
-    item = [*GROUP, "field"]
-    size = rows.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n >= 2").drop("n")
-    claims = _fields(rows, source).where(F.col(source).isNotNull()).groupBy(*item, F.col(source).alias("source")).agg(F.min_by("value", F.struct(-F.coalesce("instant", F.lit(-(2**62))), "id")).alias("value"))
-    claims = stage(claims.join(size, GROUP, "left_semi"), "claims")
+    key = F.to_json(F.struct(*GROUP)).alias("group")  # one key that isn't null, so that joins keep null scopes and kinds
+    item = ["group", "field"]
+    size = rows.groupBy(key).agg(F.count("*").alias("n")).where("n >= 2").drop("n")
+    claims = _fields(rows, source).where(F.col(source).isNotNull()).groupBy(key, "field", F.col(source).alias("source")).agg(F.min_by("value", F.struct(-F.coalesce("instant", F.lit(-(2**62))), "id")).alias("value"))
+    claims = stage(claims.join(size, "group", "left_semi"), "claims")
     trust = claims.select("source").distinct().withColumn("acc", F.lit(0.8))
     dep = None
     judged, old = None, None
@@ -159,4 +160,4 @@ def fused(nodes: DataFrame, source: str = "site_id", rounds: int = 4, n_false: i
         release(old)
         old = judged
     best = F.row_number().over(Window.partitionBy(*item).orderBy(F.desc("posterior"), "value"))
-    return judged.withColumn("best", best).where("best = 1").select(*item, "value", "posterior")
+    return judged.withColumn("best", best).where("best = 1").select(*(F.get_json_object("group", f"$.{c}").alias(c) for c in GROUP), "field", "value", "posterior")

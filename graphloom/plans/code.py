@@ -89,11 +89,8 @@ def _line_anchor(s: SparkSession, d: str) -> DataFrame:
 
 
 def _copies(s: SparkSession, d: str) -> DataFrame:
-    """Documents that share a least hash, compared by fingerprints with the first of them."""
-    fp = stage(code.fingerprints(docs(s, d), "doc_id", "text"), "fp")
-    keyed = fp.withColumn("h", F.get("fp", F.lit(0))).where("h is not null")
-    first = keyed.groupBy("h").agg(F.min(F.struct("doc_id", "fp")).alias("f"))
-    return keyed.join(first, "h").where(F.col("doc_id") != F.col("f.doc_id")).select("doc_id", F.col("f.doc_id").alias("first_id"), F.round(code.fingerprint_share(F.col("fp"), F.col("f.fp")), 4).alias("share"))
+    """Documents of one fingerprint with the first of them, and every two such firsts that share a hash."""
+    return code.shared_prints(stage(code.fingerprints(docs(s, d), "doc_id", "text"), "fp"), "doc_id").withColumn("share", F.round("share", 4))
 
 
 _CRUX = r"list_sort(list_transform(list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\p{L}_][\p{L}\p{N}_]{2,}'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in code.STOP_WORDS) + "))), lambda w: {'n': -length(w), 'w': w}))"

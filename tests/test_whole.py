@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph
+from graphloom.operators import code, graph
 from graphloom.plans import all_queries
 
 NO_NODES = "id string, head_id string, hlc long, site_id string"
@@ -57,3 +59,18 @@ def test_version_chains_of_any_size_follow_supersession(spark, largest):
         assert [p for p, _ in rows] == list(range(len(rows))), chain
         assert ids == first_ready({i: clock[i] for i in ids}, links), chain
     assert sorted(len(v) for v in got.values()) == [2, 4, 8]
+
+
+def test_shared_prints_of_all_pairs(spark, tmp_path):
+    """Equal texts behind an unrelated first document, and pairs whose least hashes differ."""
+    words = [f"name_{i * 7919 % 1000} = call_{i * 31 % 97}(value);" for i in range(60)]
+    texts = [" ".join(words[a : a + 3]) for a in (0, 20, 1, 20, 40, 41, 2, 20)] + [None, ""]
+    spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, created_at long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["first_id"]): r["share"] for r in all_queries()["cod16_shared_prints"].run(spark, str(tmp_path)).collect()}
+    prints = {i: code.fingerprint(code.stream(t)) for i, t in enumerate(texts) if t}
+    want = {(3, 1): 1.0, (7, 1): 1.0}
+    for a, b in itertools.combinations([i for i in prints if i not in (3, 7)], 2):
+        share = code.fingerprint_similarity(prints[a], prints[b])
+        if share > 0:
+            want[b, a] = round(share, 4)
+    assert got == pytest.approx(want, abs=1.1e-4) and len({prints[i][0] for i in (0, 2, 6)}) > 1

@@ -8,7 +8,7 @@ read off the one tag sequence that results.  An exact check then sets each item'
 ends to whole words and to the item's own grammar, and rejects what can't be an
 item of its type.
 
-The weights are a file of the package (about 100 kB), trained by
+The weights are a file of the package (about 30 kB), trained by
 :mod:`pii_training`; the driver reads them and executors get them once.
 
 Defined results: null, empty and blank texts have no items and stay as they are;
@@ -34,13 +34,13 @@ from graphloom.staging import spread
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 
 #: Characters of a window, and of those at each end that another window decides.
-LENGTH, MARGIN = 256, 24
+LENGTH, MARGIN = 512, 24
 _STEP = LENGTH - 2 * MARGIN
-_AT_ONCE = 384
+_AT_ONCE = 640
 
 _DOT = r"(?: ?[\[(]dot[\])] ?| dot |\.)"
 _GRAMMAR = {
-    "email": regex.compile(rf"(?i)[\p{{L}}\d](?:[\p{{L}}\d._+-]*[\p{{L}}\d_])?(?:@| ?[\[(]at[\])] ?| at )[\p{{L}}\d-]+(?:{_DOT}[\p{{L}}\d-]+)*{_DOT}\p{{L}}{{2,}}"),
+    "email": regex.compile(rf"(?i)[\p{{L}}\d](?:[\p{{L}}\d._+'-]*[\p{{L}}\d_])?(?:@| ?[\[(]at[\])] ?| at )[\p{{L}}\d-]+(?:{_DOT}[\p{{L}}\d-]+)*{_DOT}\p{{L}}{{2,}}"),
     "phone": regex.compile(r"(?:[+＋]|\b|(?<!\w)\()\d[\d\s().‑–-]*\d"),
     "id_number": regex.compile(r"(?i)\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]\b|(?:\b[A-Z]{1,2}-?)?\d[\d  -]*\d"),
 }

@@ -1,7 +1,8 @@
 """A character-level bidirectional LSTM with a CRF on top, in numpy.
 
-Training and decoding work on windows of equal length, time first.  The weights
-of the sigmoid gates are halved in place, so that one tanh serves all gates.
+Training and decoding work on windows of equal length, time first.  Gates and
+candidates are piecewise linear, which costs a tenth of exponentials; decoding
+looks for the best path only where an exact bound doesn't show it to be outside.
 """
 
 from __future__ import annotations
@@ -89,8 +90,8 @@ class Model:
 
         w = {"emb": (r.standard_normal((N_SYMBOLS, width)) * 0.3).astype(np.float32)}
         for d in "fb":
-            w["x" + d], w["h" + d], w["b" + d] = m(width, 4 * hidden), m(hidden, 4 * hidden), np.zeros(4 * hidden, np.float32)
-            w["b" + d][hidden : 2 * hidden] = 0.5
+            w["x" + d], w["h" + d], w["b" + d] = 0.4 * m(width, 4 * hidden), 0.4 * m(hidden, 4 * hidden), np.full(4 * hidden, 0.5, np.float32)
+            w["b" + d][hidden : 2 * hidden], w["b" + d][3 * hidden :] = 0.8, 0
         w["out"], w["bias"] = m(2 * hidden, N_TAGS), np.zeros(N_TAGS, np.float32)
         w["trans"] = np.zeros((N_TAGS, N_TAGS), np.float32)
         return cls(w)
@@ -106,66 +107,143 @@ def allowed() -> np.ndarray:
     return t
 
 
-def _run(ids: np.ndarray, mask: np.ndarray, w: dict[str, np.ndarray], d: str, keep: bool):
-    """One direction over (time, batch) symbols; for ``b`` the caller reverses time."""
+def _run(ids: np.ndarray, w: dict[str, np.ndarray], d: str, keep: bool):
+    """One direction over (time, batch) symbols; for ``b`` the caller reverses time.
+
+    Gates are sums clipped to 0 and 1, candidates to -1 and 1, and the cell is
+    read through x / (1 + abs(x)).  The input gate of padding is shut, so that
+    padding before a text leaves the state at zero.
+    """
     steps, batch = ids.shape
-    hidden = w["h" + d].shape[0]
-    table = w["emb"] @ w["x" + d] + w["b" + d]
     wh = w["h" + d]
-    h = np.zeros((batch, hidden), np.float32)
-    c = np.zeros((batch, hidden), np.float32)
-    hs = np.empty((steps, batch, hidden), np.float32)
+    n, kind = wh.shape[0], wh.dtype
+    table = w["emb"] @ w["x" + d] + w["b" + d]
+    table[0, :n] = _NEVER
+    least = np.r_[np.zeros(3 * n), -np.ones(n)].astype(kind)
+    h, c = np.zeros((batch, n), kind), np.zeros((batch, n), kind)
+    z, x, part = np.empty((batch, 4 * n), kind), np.empty((batch, 4 * n), kind), np.empty((batch, n), kind)
+    hs = np.empty((steps, batch, n), kind)
     saved = []
-    three = 3 * hidden
     for t in range(steps):
-        z = h @ wh
-        z += table[ids[t]]
-        np.tanh(z, out=z)
-        z[:, :three] *= 0.5
-        z[:, :three] += 0.5
-        i, f, o, g = z[:, :hidden], z[:, hidden : 2 * hidden], z[:, 2 * hidden : three], z[:, three:]
-        c_old, h_old = c, h
-        c = f * c
-        c += i * g
-        tc = np.tanh(c)
-        h = o * tc
-        live = mask[t]
-        if not live.all():
-            c *= live[:, None]
-            h *= live[:, None]
-        hs[t] = h
         if keep:
-            saved.append((z, c_old, h_old, tc))
+            z = np.empty_like(x)
+        np.matmul(h, wh, out=z)
+        np.take(table, ids[t], 0, out=x, mode="clip")
+        z += x
+        np.maximum(z, least, out=z)
+        np.minimum(z, 1, out=z)
+        if keep:
+            saved.append((z, c.copy(), h))
+        c *= z[:, n : 2 * n]
+        np.multiply(z[:, :n], z[:, 3 * n :], out=part)
+        c += part
+        np.abs(c, out=part)
+        part += 1
+        np.divide(c, part, out=part)
+        if keep:
+            saved[-1] += (part.copy(),)
+        h = np.multiply(z[:, 2 * n : 3 * n], part, out=hs[t])
     return hs, saved
 
 
+def _scores(model: Model, ids: np.ndarray) -> np.ndarray:
+    """(tag, time, batch) scores of (time, batch) symbols; 0 is padding."""
+    hf, _ = _run(ids, model.w, "f", False)
+    hb, _ = _run(ids[::-1], model.w, "b", False)
+    n, out = model.hidden, model.w["out"]
+    e = out[:n].T @ hf.reshape(-1, n).T
+    e = e.reshape(N_TAGS, *ids.shape)
+    e += (out[n:].T @ hb.reshape(-1, n).T).reshape(e.shape)[:, ::-1]
+    e += model.w["bias"][:, None, None]
+    return e
+
+
 def emissions(model: Model, ids: np.ndarray) -> np.ndarray:
-    """(time, batch, tag) scores of (time, batch) symbols; 0 is padding."""
-    mask = (ids > 0).astype(np.float32)
-    hf, _ = _run(ids, mask, model.w, "f", False)
-    hb, _ = _run(ids[::-1], mask[::-1], model.w, "b", False)
-    n = model.hidden
-    return hf @ model.w["out"][:n] + hb[::-1] @ model.w["out"][n:] + model.w["bias"]
+    """(time, batch, tag) scores of (time, batch) symbols."""
+    return _scores(model, ids).transpose(1, 2, 0)
+
+
+def _open_places(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """(time, batch): False where the best path is surely outside.
+
+    A stretch of items that isn't better than staying outside isn't on the best
+    path.  What a stretch gains is at most the sum over its places of its tag's
+    score less that of outside, plus for each transition the most that one may
+    give over staying outside.  The best stretch through each place and tag is
+    bounded by the best one that comes to it and the best one that goes on from
+    it; in both an item is continued only if it began.
+    """
+    rest = trans.copy()
+    rest[0, 0] = _NEVER
+    most = max(0.0, float(rest.max() - trans[0, 0]))
+    gain = e[1:] - e[0]
+    gain += np.asarray(most, e.dtype)
+    begin, inside = gain[0::2], gain[1::2]
+    come_b, come_i, go_b, go_i = begin.copy(), inside.copy(), begin.copy(), inside.copy()
+    for t in range(1, gain.shape[1]):
+        best = np.maximum(come_b[:, t - 1], come_i[:, t - 1])
+        come_i[:, t] += best
+        come_b[:, t] += np.maximum(best.max(0), 0)
+        best = np.maximum(go_i[:, -t], np.maximum(go_b[:, -t].max(0), 0))
+        go_b[:, -t - 1] += best
+        go_i[:, -t - 1] += best
+    come_b += go_b
+    come_b -= begin
+    come_i += go_i
+    come_i -= inside
+    return np.maximum(come_b, come_i, out=come_b).max(0) >= -most
+
+
+def _best_tags(e: np.ndarray, sizes: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(time, run) best tags of runs of ``sizes`` places; ``first`` and ``last`` are (tag, run) scores of coming from and going to what is beside them."""
+    k, steps, runs = e.shape
+    scores = np.empty((steps, k, runs), e.dtype)
+    scores[0] = e[:, 0] + first
+    for t in range(1, steps):
+        np.max(scores[t - 1][:, None, :] + trans[:, :, None], axis=0, out=scores[t])
+        scores[t] += e[:, t]
+    tags, each = np.zeros((steps, runs), np.int8), np.arange(runs)
+    now = (scores[sizes - 1, :, each].T + last).argmax(0)
+    for t in range(steps - 1, -1, -1):
+        back = t < sizes - 1
+        if back.any():
+            came = (scores[t] + trans[:, now]).argmax(0)
+            now = np.where(back, came, now)
+        tags[t] = np.where(t < sizes, now, 0)
+    return tags
 
 
-def decode(model: Model, ids: np.ndarray) -> np.ndarray:
-    """The best tags, (time, batch)."""
-    e = emissions(model, ids)
-    steps, batch, _ = e.shape
+def decode(model: Model, ids: np.ndarray, at_once: int = 512) -> np.ndarray:
+    """The best tags, (time, batch): outside where that is sure, the best path through each run of other places."""
+    e = _scores(model, ids)
+    real = ids > 0
     trans = model.w["trans"] + allowed()
-    start = np.where(np.arange(N_TAGS) % 2 == 0, np.float32(0), np.float32(0))
-    score = e[0] + start
-    back = np.empty((steps, batch, N_TAGS), np.int8)
-    for t in range(1, steps):
-        s = score[:, :, None] + trans
-        back[t] = s.argmax(1)
-        score = s.max(1)
-        score += e[t]
-    tags = np.empty((steps, batch), np.int8)
-    tags[-1] = score.argmax(1)
-    rows = np.arange(batch)
-    for t in range(steps - 1, 0, -1):
-        tags[t - 1] = back[t, rows, tags[t]]
+    whole = int(np.argmin(real.all(1))) if not real.all() else len(real)
+    e[0, whole:][~real[whole:]] = 0
+    np.copyto(e[1:, whole:], _NEVER, where=~real[None, whole:])
+    places = (_open_places(e, trans) & real).T
+    tags = np.zeros(ids.shape, np.int8)
+    flat = places.ravel()
+    if not flat.any():
+        return tags
+    steps = ids.shape[0]
+    at = np.flatnonzero(flat)
+    new = np.r_[True, (np.diff(at) > 1) | (at[1:] % steps == 0)]
+    starts = at[new]
+    sizes = np.diff(np.r_[np.flatnonzero(new), len(at)])
+    column, time = starts // steps, starts % steps
+    ends = time + sizes
+    final = (ends == steps) | ~real[np.minimum(ends, steps - 1), column]
+    order, wide, flat_e, flat_tags = np.argsort(sizes, kind="stable"), ids.shape[1], e.reshape(N_TAGS, -1), tags.reshape(-1)
+    for k in range(0, len(order), at_once):
+        some = order[k : k + at_once]
+        n = sizes[some]
+        where = np.minimum(time[some] + np.arange(n[-1])[:, None], steps - 1) * wide + column[some]
+        first = np.where(time[some] == 0, 0, trans[0][:, None])
+        last = np.where(final[some], 0, trans[:, 0][:, None])
+        got = _best_tags(np.take(flat_e, where, 1), n, trans, first, last)
+        inside = np.arange(n[-1])[:, None] < n
+        flat_tags[where[inside]] = got[inside]
     return tags
 
 
@@ -207,35 +285,35 @@ def gradients(model: Model, ids: np.ndarray, tags: np.ndarray) -> tuple[float, d
     """The summed loss of a batch of windows and its gradients."""
     w, n = model.w, model.hidden
     mask = (ids > 0).astype(np.float32)
-    hf, sf = _run(ids, mask, w, "f", True)
-    hb, sb = _run(ids[::-1], mask[::-1], w, "b", True)
+    hf, sf = _run(ids, w, "f", True)
+    hb, sb = _run(ids[::-1], w, "b", True)
     both = np.concatenate([hf, hb[::-1]], 2)
     e = both @ w["out"] + w["bias"]
     loss, de, dt = _crf(e, tags, mask, w["trans"] + allowed())
     g = {"out": both.reshape(-1, 2 * n).T @ de.reshape(-1, N_TAGS), "bias": de.sum((0, 1)), "trans": dt, "emb": np.zeros_like(w["emb"])}
     dboth = de @ w["out"].T
     for d, saved, seq, dh_all in (("f", sf, ids, dboth[:, :, :n]), ("b", sb, ids[::-1], dboth[::-1, :, n:])):
-        live = mask if d == "f" else mask[::-1]
-        dz_all = np.empty((*seq.shape, 4 * n), np.float32)
+        dz_all = np.empty((*seq.shape, 4 * n), e.dtype)
         gh = np.zeros_like(w["h" + d])
         dh, dc = np.zeros_like(dh_all[0]), np.zeros_like(dh_all[0])
         for t in range(len(saved) - 1, -1, -1):
-            z, c_old, h_old, tc = saved[t]
+            z, c_old, h_old, read = saved[t]
             i, f, o, gg = z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
-            m = live[t][:, None]
-            dh = (dh + dh_all[t]) * m
-            dc = dc * m + dh * o * (1 - tc * tc)
+            dh = dh + dh_all[t]
+            dc = dc + dh * o * (1 - np.abs(read)) ** 2
             dz = dz_all[t]
-            # sigmoid gates are 0.5 * tanh + 0.5, so their slope by the tanh's input is 2 * s * (1 - s)
-            dz[:, :n] = dc * gg * 2 * i * (1 - i)
-            dz[:, n : 2 * n] = dc * c_old * 2 * f * (1 - f)
-            dz[:, 2 * n : 3 * n] = dh * tc * 2 * o * (1 - o)
-            dz[:, 3 * n :] = dc * i * (1 - gg * gg)
+            dz[:, :n] = dc * gg
+            dz[:, n : 2 * n] = dc * c_old
+            dz[:, 2 * n : 3 * n] = dh * read
+            dz[:, 3 * n :] = dc * i
+            dz[:, : 3 * n] *= z[:, : 3 * n] > 0
+            dz[:, 3 * n :] *= gg > -1
+            dz *= z < 1
             gh += h_old.T @ dz
             dh = dz @ w["h" + d].T
             dc = dc * f
         flat, sym = dz_all.reshape(-1, 4 * n), seq.reshape(-1)
-        by_symbol = np.zeros((N_SYMBOLS, 4 * n), np.float32)
+        by_symbol = np.zeros((N_SYMBOLS, 4 * n), e.dtype)
         order = np.argsort(sym, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(sym[order]) != 0])
         by_symbol[sym[order][starts]] = np.add.reduceat(flat[order], starts, 0)
@@ -245,32 +323,54 @@ def gradients(model: Model, ids: np.ndarray, tags: np.ndarray) -> tuple[float, d
     return loss, g
 
 
-def train(windows: np.ndarray, tags: np.ndarray, hidden: int = 40, width: int = 20, epochs: int = 12, batch: int = 192, rate: float = 6e-3, seed: int = 7, say=print, seconds: float = 1e9, start: Model | None = None) -> Model:
-    """Fit to (window, time) symbols and tags with Adam and a falling rate, from ``start`` or anew."""
+def _worker(pipe, windows: np.ndarray, tags: np.ndarray) -> None:
+    """Sends back the loss and gradients of the windows it is told, until told nothing."""
+    while (told := pipe.recv()) is not None:
+        w, pick = told
+        pipe.send(gradients(Model(w), windows[pick].T.astype(np.int64), tags[pick].T.astype(np.int64)))
+
+
+def train(windows: np.ndarray, tags: np.ndarray, hidden: int = 24, width: int = 20, epochs: int = 40, batch: int = 96, workers: int = 8, rate: float = 1e-2, seed: int = 7, say=print, seconds: float = 1e9, start: Model | None = None) -> Model:
+    """Fit to (window, time) symbols and tags with Adam and a falling rate, from ``start`` or anew; each worker takes ``batch`` windows a step."""
+    import multiprocessing
     import time
 
+    fork = multiprocessing.get_context("fork")
+    pipes, hands = [], []
+    for _ in range(workers):
+        here, there = fork.Pipe()
+        hands.append(fork.Process(target=_worker, args=(there, windows, tags), daemon=True))
+        hands[-1].start()
+        pipes.append(here)
     model, r = start or Model.fresh(hidden, width, seed), np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
-    total, step, began = epochs * -(-len(windows) // batch), 0, time.time()
+    whole = batch * workers
+    total, step, began, done = epochs * -(-len(windows) // whole), 0, time.time(), 0.0
     for epoch in range(epochs):
-        order, losses = r.permutation(len(windows)), 0.0
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            loss, g = gradients(model, windows[pick].T.astype(np.int64), tags[pick].T.astype(np.int64))
-            losses += loss
+        order, losses, n = r.permutation(len(windows)), 0.0, 0
+        for at in range(0, len(order), whole):
+            pick = order[at : at + whole]
+            parts = [p for p in np.array_split(pick, workers) if len(p)]
+            for pipe, part in zip(pipes, parts, strict=False):
+                pipe.send((model.w, part))
+            got = [pipe.recv() for pipe, _ in zip(pipes, parts, strict=False)]
+            losses, n = losses + sum(x for x, _ in got), n + len(pick)
+            g = {k: sum(x[k] for _, x in got) / len(pick) for k in model.w}
             step += 1
-            norm = np.sqrt(sum(float((x / len(pick)) .ravel() @ (x / len(pick)).ravel()) for x in g.values()))
-            scale = min(1.0, 5.0 / max(norm, 1e-9)) / len(pick)
+            norm = np.sqrt(sum(float(x.ravel() @ x.ravel()) for x in g.values()))
+            scale = min(1.0, 5.0 / max(norm, 1e-9))
             done = min(1.0, max(step / total, (time.time() - began) / seconds))
             now = rate * min(1.0, step / 100) * (0.5 + 0.5 * np.cos(np.pi * done)) + 1e-5
             for k, x in g.items():
                 x = x * scale
                 first[k] = 0.9 * first[k] + 0.1 * x
                 second[k] = 0.99 * second[k] + 0.01 * x * x
-                model.w[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                model.w[k] = model.w[k] - (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             if done >= 1:
                 break
-        say(f"epoch {epoch}: loss per window {losses / len(windows):.4f}, {time.time() - began:.0f} s", flush=True)
+        say(f"epoch {epoch}: loss per window {losses / n:.4f}, {n} windows, {time.time() - began:.0f} s", flush=True)
         if done >= 1:
             break
+    for pipe in pipes:
+        pipe.send(None)
     return model

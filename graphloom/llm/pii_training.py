@@ -4,8 +4,9 @@
 
 The labels are made by strict patterns that hold for the sample only: item
 grammars tied to the words around them and to the syllables of the roster's
-names.  The model learns the shapes and contexts and replaces them; the patterns
-take no part in the operator.  The sample is bounded by ``SAMPLE`` documents.
+names.  So that the model doesn't learn these syllables and number ranges, most
+copies of a text have their items replaced by invented ones and sentences put in
+(:mod:`pii_shapes`).  The sample is bounded by ``SAMPLE`` documents.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import regex
 
 from graphloom.llm.pii_model import TYPES, Model, symbols, train
+from graphloom.llm.pii_shapes import Shapes
 
 #: At most so many documents are labelled.
 SAMPLE = 10_000
@@ -90,28 +92,47 @@ def varied(text: str, items: list[tuple[str, int, int]], rng: np.random.Generato
     return "".join(chars)
 
 
-def training_windows(texts: list[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with items, and half as many without."""
+def _windows(told: tuple[list[str], int, int]) -> tuple[list, list]:
+    """(windows with items, windows without) of some texts: as they are, varied, and ``copies`` times rewritten."""
+    texts, seed, copies = told
     rng = np.random.default_rng(seed)
-    rich, poor, seen = [], [], set()
-    for text in [*texts[:SAMPLE], *texts[:SAMPLE]]:
-        items = label(text)
-        again = text in seen
-        if again and not items:
-            continue
-        seen.add(text)
-        ids, tags = symbols(varied(text, items, rng) if again else text), np.zeros(len(text), np.int8)
+    shapes, rich, poor = Shapes(rng), [], []
+
+    def cut(text: str, items: list[tuple[str, int, int]]) -> None:
+        ids, tags = symbols(text), np.zeros(len(text), np.int8)
         for kind, a, b in items:
             k = TYPES.index(kind)
             tags[a], tags[a + 1 : b] = 1 + 2 * k, 2 + 2 * k
-        shift = int(rng.integers(0, STRIDE))
-        for at in range(-shift, len(text), STRIDE):
+        for at in range(-int(rng.integers(0, STRIDE)), len(text), STRIDE):
             a, b = max(0, at), at + LENGTH
             w, t = np.zeros(LENGTH, np.int16), np.zeros(LENGTH, np.int8)
             part = ids[a:b]
             w[: len(part)], t[: len(part)] = part, tags[a:b]
             (rich if t.any() else poor).append((w, t))
-    few = [poor[i] for i in rng.permutation(len(poor))[: len(rich) // 2]]
+
+    for text in texts:
+        items = label(text)
+        cut(text, items)
+        if items:
+            cut(varied(text, items, rng), items)
+        for _ in range(copies if items else 1):
+            cut(*shapes.rewritten(text, items))
+        if rng.random() < 0.5:
+            cut(*shapes.sentence())
+    return rich, poor
+
+
+def training_windows(texts: list[str], seed: int = 7, copies: int = 2, workers: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with items, and half as many without."""
+    import multiprocessing
+
+    texts = texts[:SAMPLE]
+    parts = [(texts[k :: 4 * workers], seed * 1000 + k, copies) for k in range(4 * workers)]
+    with multiprocessing.get_context("fork").Pool(workers) as pool:
+        got = pool.map(_windows, parts, chunksize=1)
+    rich = [w for r, _ in got for w in r]
+    poor = [w for _, p in got for w in p]
+    few = [poor[i] for i in np.random.default_rng(seed).permutation(len(poor))[: len(rich) // 2]]
     both = rich + few
     return np.stack([w for w, _ in both]), np.stack([t for _, t in both])
 
@@ -125,7 +146,7 @@ def main() -> None:
     windows, tags = training_windows(list(dict.fromkeys(texts)))
     print(len(windows), "windows", np.bincount(tags.ravel()).tolist(), flush=True)
     start = Model.load(sys.argv[4]) if len(sys.argv) > 4 else None
-    train(windows, tags, epochs=40, seconds=seconds, rate=2e-3 if start else 6e-3, start=start).save(target)
+    train(windows, tags, seconds=seconds, rate=3e-3 if start else 1e-2, start=start).save(target)
 
 
 if __name__ == "__main__":

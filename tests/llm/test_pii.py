@@ -86,6 +86,39 @@ def test_held_out_accuracy(finder):
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
 
 
+def test_written_by_hand(finder):
+    """Ordinary sentences that neither the sample nor the training's frames hold."""
+    from tests.llm.pii_written import WRITTEN, parsed
+
+    rows = [parsed(x) for x in WRITTEN]
+    got = finder.items([t for t, _ in rows])
+    wanted = sum(len(w) for _, w in rows)
+    right = sum(len(set(w) & set(g)) for (_, w), g in zip(rows, got, strict=True))
+    assert len(rows) >= 100 and right / wanted >= 0.8 and right / sum(map(len, got)) >= 0.8
+
+
+def test_pruned_decoding_is_the_best_path(finder):
+    """On real weights, where most places are ruled out by the bound."""
+    from graphloom.llm.pii_model import allowed
+
+    texts = ["Spoke with Dreolda Inkström. Call (934) 555-0181 after the rollout.", "nothing here", "We merge the rest. " * 9 + "Ship it to 86 Maplecombe Road, Dunmere."]
+    n = max(map(len, texts))
+    ids = np.zeros((n, len(texts)), np.int64)
+    for i, t in enumerate(texts):
+        ids[: len(t), i] = symbols(t)
+    e, got, trans = emissions(finder.model, ids), decode(finder.model, ids), finder.model.w["trans"] + allowed()
+    for i, t in enumerate(texts):
+        score, back = e[0, i], []
+        for k in range(1, len(t)):
+            z = score[:, None] + trans
+            back.append(z.argmax(0))
+            score = z.max(0) + e[k, i]
+        path = [int(score.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        assert path[::-1] == got[: len(t), i].tolist()
+
+
 def test_tables(spark):
     text = "cc Ilmika Thrapovitz\nmobile=+44 7700 900556;"
     rows = [(1, text, "clash"), (2, None, ""), (3, "", ""), (4, " ", ""), (5, text, ""), (6, "🚧 " + text, "")]

@@ -1,27 +1,32 @@
 """Near-duplicate records by generalised pigeonhole over sketch codes.
 
-Texts are normalised and sketched: each coordinate of the code holds the bits of
-one minimum over the hashes of the text's five-character pieces, which is equal
-in two texts with the probability of their similarity.
-
-1. Grouping.  Bits of one coordinate differ together, so they stay in one
-   partition; a partition has ``width`` coordinates.
-2. Allocation.  By the pigeonhole principle two codes that differ in at most
-   ``tau`` partitions agree in one of any ``tau + 1`` of them.  Each record gets
-   thresholds -1 (skipped) or 0 (probed) that sum to this at the least estimated
-   number of candidates, by dynamic programming over the partitions; the
-   estimates are a histogram of bucket sizes over all records.
-3. Probing.  Every record is in the index in all partitions and probes those
-   with threshold 0.  A hit counts only if the whole codes are near enough.
-4. Verifying.  Hits are compared by their exact three-character pieces.
+Texts are normalised and sketched: each coordinate of the code holds sixteen bits
+of one minimum over the hashes of the text's five-character pieces, which is
+equal in two texts with the probability of their similarity.
+
+1. Grouping.  The bits of a coordinate come from one minimum and so stay
+   together; coordinates are grouped by the association of their bits, measured
+   over all texts, ``width`` to a partition.
+2. Allocation.  With threshold t a partition is hit by two texts that differ in at
+   most t of its coordinates; -1 leaves it out.  A threshold adds to the chance
+   that two similar texts meet and costs candidates, whose number is estimated
+   from counts of fixed size over all texts.  A dynamic program picks for each
+   partition the threshold so that the chance to miss a pair stays below ``miss``
+   at the least estimated cost.
+3. Probing.  A text has a key for each way to leave out as many coordinates of a
+   partition as its threshold allows; texts that share a key meet.  Keys of cells
+   that hold very many texts are extended by further coordinates, two at a time
+   in sixteen ways.  A meeting counts only if the codes are near enough.
+4. Verifying.  Candidates are compared by their exact three-character pieces.
 
 Copies are collapsed before and put back after, so that a group of equal texts
 is one record to steps 1 to 4.
 
-Recall: five-character similarity is at least 0.6 where that of three characters
-is 0.76 on natural text, for which the chance to be missed is below 0.001, and
-below 0.00001 at 0.75; README has measured figures.  There is no cap on buckets,
-candidates or partners.
+Recall: a pair of five-character similarity 0.6 is missed with a chance of at most
+``miss`` (0.005), of 0.7 with 0.0001; the limit on codes adds 0.0002 at 0.6.  Pairs of
+three-character similarity 0.76 were seen from 0.61 on; README has measured
+figures for each width.  There is no cap on buckets, candidates or partners.
+Texts are taken as equal if 64-bit hashes of their normalised forms are.
 
 Defined results: records with null text are left out; a text with nothing but
 blanks and end marks has no pieces and no partner but is a copy of the like in
@@ -32,9 +37,12 @@ give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +51,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.staging import spread, stage
+from graphloom.staging import release, spread, stage
 
 #: Characters of a piece for sketches; pieces for the exact comparison have three.
 PIECE = 5
-#: Coordinates that a code keeps four bits of, sixteen to a long.
+#: Coordinates of which a candidate row keeps four bits, sixteen to a long.
 CODED = 48
-_CELLS = 1 << 15
+#: Counters of an estimate: cells, and two signs in each.
+_BINS = 1 << 13
+#: A cell of a key counts as hot beyond so many texts and so many times the mean.
+_HOT, _TIMES = 2000, 8
+#: Ways in which the keys of hot cells are extended, by two coordinates each.
+_WAYS = 16
 #: Up to so many needed keys are broadcast to pick their texts.
 _FEW_KEYS = 200_000
 
@@ -90,14 +103,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Sketcher:
-    """Minima, partition buckets and codes of lists of normalised texts."""
+    """Codes of lists of normalised texts."""
 
-    def __init__(self, partitions: int, width: int, seed: int = 11) -> None:
-        self.partitions, self.width = partitions, width
-        n = max(partitions * width, CODED)
+    def __init__(self, coordinates: int, seed: int = 11) -> None:
         r = np.random.default_rng(seed)
-        self.a = r.integers(1, 2**32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        self.b = r.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
+        self.a = r.integers(1, 2**32, coordinates, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.b = r.integers(0, 2**32, coordinates, dtype=np.uint64).astype(np.uint32)
         self.power = _mix(np.arange(1, PIECE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def minima(self, texts: list[str]) -> np.ndarray:
@@ -120,45 +131,115 @@ class Sketcher:
             out[:, j] = np.minimum.reduceat(h * self.a[j] + self.b[j], starts)
         return out
 
-    def sketch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, partition) bucket numbers of 32 bits, and (text, 3) code words."""
-        low = self.minima(texts)
-        used = low[:, : self.partitions * self.width].reshape(len(texts), self.partitions, self.width)
-        bucket = np.zeros((len(texts), self.partitions), np.uint64)
-        for k in range(self.width):
-            bucket = _mix(bucket * np.uint64(0x9E3779B97F4A7C15) + used[:, :, k].astype(np.uint64) + np.uint64(1))
-        nibbles = (low[:, :CODED] >> np.uint32(8) & np.uint32(15)).astype(np.uint64).reshape(len(texts), CODED // 16, 16)
-        code = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
-        return (bucket >> np.uint64(32)).astype(np.uint32), code
+    def codes(self, texts: list[str]) -> np.ndarray:
+        """(text, coordinate) codes of 16 bits."""
+        return ((self.minima(texts) * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def partition_plan(records: int, recall: float = 0.9999, similar: float = 0.7) -> tuple[int, int]:
-    """Number and width of partitions: wider ones for more records, as many as recall asks for."""
-    width = 3 if records <= 1_000_000 else 4 if records <= 100_000_000 else 5
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - similar**width))), width
+def meeting_chance(width: int, threshold: int, similar: float) -> float:
+    """Chance that at most ``threshold`` of ``width`` coordinates differ."""
+    return sum(math.comb(width, j) * similar ** (width - j) * (1 - similar) ** j for j in range(threshold + 1))
 
 
-def allocate(costs: np.ndarray, probes: int) -> np.ndarray:
-    """(record, partition) thresholds, -1 or 0, that sum to ``probes`` zeros at least cost.
+def allocate(costs: np.ndarray, gains: np.ndarray, need: float, steps: int = 1000) -> np.ndarray:
+    """The threshold of each partition, from -1, so that gains add up to ``need`` at the least cost.
 
-    ``best[k]`` is the least cost of k probes among the partitions so far.
+    ``costs`` is (partition, threshold), ``gains`` by threshold, both from 0 on;
+    a threshold of -1 costs and gives nothing.  ``best[k]`` is the least cost of k of
+    ``steps`` parts of the need with the partitions so far; gains are rounded down.
     """
-    n, m = costs.shape
-    best = np.full((n, probes + 1), np.inf)
-    best[:, 0] = 0
-    took = np.zeros((m, n, probes + 1), bool)
-    for i in range(m):
-        with_it = best[:, :-1] + costs[:, i : i + 1]
-        took[i, :, 1:] = with_it < best[:, 1:]
-        best[:, 1:] = np.minimum(best[:, 1:], with_it)
-    left, out, rows = np.full(n, probes), np.full((n, m), -1, np.int8), np.arange(n)
-    for i in range(m - 1, -1, -1):
-        hit = took[i, rows, left]
-        out[hit, i] = 0
-        left = left - hit
+    parts = np.minimum(np.floor(gains / need * steps).astype(int), steps)
+    best, trail = np.full(steps + 1, np.inf), []
+    best[0] = 0
+    for row in costs:
+        now, came, pick = best.copy(), np.arange(steps + 1), np.full(steps + 1, -1)
+        for k in np.flatnonzero(np.isfinite(best)):
+            for t, part in enumerate(parts):
+                to = min(k + part, steps)
+                if best[k] + row[t] < now[to]:
+                    now[to], came[to], pick[to] = best[k] + row[t], k, t
+        trail.append((came, pick))
+        best = now
+    if not np.isfinite(best[steps]):
+        raise ValueError("the partitions can't give the recall asked for")
+    out, at = np.full(len(costs), -1), steps
+    for i in range(len(costs) - 1, -1, -1):
+        came, pick = trail[i]
+        out[i], at = pick[at], came[at]
     return out
 
 
+def grouped(association: np.ndarray, width: int) -> np.ndarray:
+    """(partition, width) coordinates: each partition begins with the one of most association and takes its nearest."""
+    a = association.copy()
+    np.fill_diagonal(a, 0)
+    left, out = list(range(len(a))), []
+    while left:
+        first = left[int(np.argmax(a[np.ix_(left, left)].sum(1)))]
+        mine = [first]
+        left.remove(first)
+        while len(mine) < width:
+            near = left[int(np.argmax(a[np.ix_(left, mine)].sum(1)))]
+            mine.append(near)
+            left.remove(near)
+        out.append(sorted(mine))
+    return np.array(out)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How many coordinates a partition has, how many partitions there are, and the greatest threshold."""
+
+    width: int
+    partitions: int
+    greatest: int = 1
+
+    @classmethod
+    def for_records(cls, records: int) -> Layout:
+        """Keys of three, four or five coordinates, so that chance meetings don't grow with the square."""
+        return cls(4, 18) if records <= 1_000_000 else cls(5, 26) if records <= 100_000_000 else cls(6, 36)
+
+    @property
+    def coordinates(self) -> int:
+        return max(CODED, self.width * self.partitions)
+
+    def ways(self, threshold: int) -> list[tuple[int, ...]]:
+        """The coordinates of a partition that keys of a threshold keep."""
+        return list(combinations(range(self.width), self.width - threshold))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """The partitions' coordinates and thresholds, the estimated candidates, and (key set, bin) marks of hot cells."""
+
+    layout: Layout
+    groups: np.ndarray
+    thresholds: np.ndarray
+    estimated: np.ndarray
+    hot: np.ndarray
+
+    def key_sets(self) -> list[tuple[int, int, tuple[int, ...]]]:
+        """(number, partition, coordinates) of the keys that are probed."""
+        return [(n, i, c) for n, i, t, c in _all_key_sets(self.layout, self.groups) if t == self.thresholds[i]]
+
+
+def _all_key_sets(layout: Layout, groups: np.ndarray) -> list[tuple[int, int, int, tuple[int, ...]]]:
+    """(number, partition, threshold, coordinates) of all keys that thresholds may need."""
+    sets = [(i, t, tuple(int(x) for x in group[list(way)])) for i, group in enumerate(groups) for t in range(layout.greatest + 1) for way in layout.ways(t)]
+    return [(n, *x) for n, x in enumerate(sets)]
+
+
+def _keys(codes: np.ndarray, number: int, coordinates: tuple[int, ...]) -> np.ndarray:
+    h = np.full(len(codes), number + 1, np.uint64)
+    for c in coordinates:
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[:, c].astype(np.uint64) + np.uint64(1))
+    return h
+
+
+def _matrix(column: pa.Array, coordinates: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, coordinates)
+
+
 def node_records(nodes: DataFrame) -> DataFrame:
     """(key, text, hlc, site_id) of the node rows with a body."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), "body")
@@ -174,61 +255,111 @@ def pair_records(pairs: DataFrame) -> DataFrame:
     return texts.select(F.concat(F.lit("pair:"), F.col("pair_id").cast("string")).alias("key"), F.col("new").alias("text"), F.lit(0).cast("long").alias("hlc"), F.lit("").alias("site_id"))
 
 
-def sketches(records: DataFrame, partitions: int, width: int) -> DataFrame:
-    """key, hlc, site_id, rid (hash of the normalised text), buckets and code of every row."""
+def sketches(records: DataFrame, coordinates: int) -> DataFrame:
+    """key, hlc, site_id, rid (hash of the normalised text), code and whether the text is empty, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(partitions, width)
+        sketcher = Sketcher(coordinates)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [normalised(t) for t in part.column(3).to_pylist()]
                 rid = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
-                bucket, code = sketcher.sketch(texts)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, bucket.size + 1, partitions), pa.int32()), pa.array(bucket.ravel().view(np.int32)))
-                words = [pa.array(np.ascontiguousarray(code[:, k]).view(np.int64)) for k in range(3)]
-                empty = pa.array([len(t) < 3 for t in texts])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rid), bands, *words, empty], ["key", "hlc", "site_id", "rid", "bands", "c0", "c1", "c2", "empty"])
+                codes = sketcher.codes(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(rid), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([len(t) < 3 for t in texts])], ["key", "hlc", "site_id", "rid", "code", "empty"]
+                )
 
-    kinds = "key string, hlc long, site_id string, rid long, bands array<int>, c0 long, c1 long, c2 long, empty boolean"
-    return spread(records.select("key", "hlc", "site_id", "text")).mapInArrow(run, kinds)
+    return spread(records.select("key", "hlc", "site_id", "text")).mapInArrow(run, "key string, hlc long, site_id string, rid long, code binary, empty boolean")
 
 
-def _histogram(sketched: DataFrame, partitions: int) -> np.ndarray:
-    """(partition, cell) bucket sizes over all records: a table of fixed size."""
+def _summed(rows: DataFrame, size: int, count) -> np.ndarray:
+    """The sum over all batches of ``count(batch)``, an array of a fixed size."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(partitions * _CELLS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size)
         for batch in batches:
-            flat = batch.column(0).flatten().to_numpy().view(np.uint32).reshape(-1, partitions)
-            cell = (flat % _CELLS).astype(np.int64) + np.arange(partitions) * _CELLS
-            sums += np.bincount(cell.ravel(), minlength=len(sums))
+            if batch.num_rows:
+                sums += count(batch)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["cell", "n"])
 
-    total = np.zeros(partitions * _CELLS, np.int64)
-    rows = sketched.select("bands").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    total[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return total.reshape(partitions, _CELLS)
+    total = np.zeros(size)
+    found = rows.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    total[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return total
 
 
-def _probes(sketched: DataFrame, sizes: np.ndarray, probes: int) -> DataFrame:
-    """A row per record and partition: bucket key, rid, code, and whether the record probes it."""
-    partitions = len(sizes)
-    shared = sketched.sparkSession.sparkContext.broadcast(sizes)
+def association(single: DataFrame, coordinates: int, bits: int = 2) -> np.ndarray:
+    """(coordinate, coordinate) mean squared correlation of their lowest bits, over all texts."""
+    wide = coordinates * bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(1).flatten().to_numpy().view(np.uint32).reshape(-1, partitions)
-            costs = shared.value[np.arange(partitions), flat % _CELLS].astype(np.float64)
-            chosen = allocate(costs, probes) == 0
-            keys = flat.astype(np.int64) | np.arange(partitions, dtype=np.int64) << 32
-            each = [pa.array(np.repeat(batch.column(c).to_numpy(), partitions)) for c in (0, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *each, pa.array(chosen.ravel())], ["bucket", "rid", "c0", "c1", "c2", "probe"])
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        codes = _matrix(batch.column(0), coordinates)
+        x = np.concatenate([np.where(codes >> np.uint16(k) & np.uint16(1), 1, -1).astype(np.float32) for k in range(bits)], 1)
+        return np.r_[(x.T @ x).ravel(), x.sum(0), len(x)].astype(np.float64)
+
+    total = _summed(single.select("code"), wide * wide + wide + 1, count)
+    n, mean = max(total[-1], 1.0), total[wide * wide : -1] / max(total[-1], 1.0)
+    cov = total[: wide * wide].reshape(wide, wide) / n - np.outer(mean, mean)
+    spread_ = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    r2 = (cov / np.outer(spread_, spread_)) ** 2
+    return r2.reshape(bits, coordinates, bits, coordinates).sum((0, 2)) / bits
 
-    return sketched.select("rid", "bands", "c0", "c1", "c2").mapInArrow(run, "bucket long, rid long, c0 long, c1 long, c2 long, probe boolean")
+
+def make_plan(single: DataFrame, layout: Layout, similar: float = 0.6, miss: float = 0.005, row_cost: float = 2.0) -> Plan:
+    """Groups and thresholds for the texts of ``single`` (rid, code); a key of a text costs as much as ``row_cost`` candidates."""
+    n_coordinates = layout.coordinates
+    groups = grouped(association(single, n_coordinates)[: layout.width * layout.partitions, : layout.width * layout.partitions], layout.width)
+    sets = _all_key_sets(layout, groups)
+
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        codes = _matrix(batch.column(0), n_coordinates)
+        return np.concatenate([np.bincount((_keys(codes, n, c) >> np.uint64(64 - 13)).astype(np.int64), minlength=_BINS) for n, _, _, c in sets]).astype(np.float64)
+
+    bins = _summed(single.select("code"), len(sets) * _BINS, count).reshape(len(sets), _BINS)
+    texts = bins[0].sum()
+    # the sum of squares of signed cells estimates that of the buckets' sizes
+    squares = ((bins[:, 0::2] - bins[:, 1::2]) ** 2).sum(1)
+    pairs = np.maximum(squares - texts, 0) / 2
+    costs = np.zeros((layout.partitions, layout.greatest + 1))
+    for n, i, t, _ in sets:
+        costs[i, t] += pairs[n] + row_cost * texts
+    gains = np.array([-np.log1p(-meeting_chance(layout.width, t, similar)) for t in range(layout.greatest + 1)])
+    thresholds = allocate(costs, gains, -np.log(miss))
+    return Plan(layout, groups, thresholds, costs - row_cost * texts * np.array([len(layout.ways(t)) for t in range(layout.greatest + 1)]), bins > max(_HOT, _TIMES * texts / _BINS))
+
+
+def probes(single: DataFrame, plan: Plan) -> DataFrame:
+    """(bucket, rid, c0, c1, c2): a row per text and key."""
+    shared_plan = single.sparkSession.sparkContext.broadcast(plan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared_plan.value
+        sets, wide = p.key_sets(), p.layout.coordinates
+        order = np.random.default_rng(5).permutation(wide)
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
+            rid, codes = batch.column(0).to_numpy(), _matrix(batch.column(1), wide)
+            nibbles = (codes[:, :CODED] & np.uint16(15)).astype(np.uint64).reshape(len(codes), CODED // 16, 16)
+            words = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+            rows, keys = [], []
+            for n, _, coordinates in sets:
+                key = _keys(codes, n, coordinates)
+                hot = p.hot[n][(key >> np.uint64(64 - 13)).astype(np.int64)]
+                calm = np.flatnonzero(~hot)
+                rows.append(calm)
+                keys.append(key[calm])
+                if len(busy := np.flatnonzero(hot)):
+                    other = [c for c in order if c not in coordinates]
+                    for way in range(_WAYS):
+                        pair = (other[2 * way % len(other)], other[(2 * way + 1) % len(other)])
+                        more = _keys(codes[busy], way, pair)
+                        rows.append(busy)
+                        keys.append(_mix(key[busy] * np.uint64(0x9E3779B97F4A7C15) + more))
+            at, flat = np.concatenate(rows), np.concatenate(keys).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(rid[at]), *(pa.array(words[at, k]) for k in range(3))], ["bucket", "rid", "c0", "c1", "c2"])
+
+    return single.select("rid", "code").mapInArrow(run, "bucket long, rid long, c0 long, c1 long, c2 long")
 
 
 def _coordinates_apart(a: str, b: str) -> Column:
@@ -264,27 +395,27 @@ def _verified(candidates: DataFrame, records: DataFrame, keyed: DataFrame, thres
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_texts(records: DataFrame, threshold: float = 0.7, spare: int = 2, code_limit: int = 30) -> tuple[DataFrame, DataFrame]:
+def similar_texts(records: DataFrame, threshold: float = 0.7, layout: Layout | None = None, code_limit: int = 30) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) of different texts, a < b, and (key, rid, empty) of every key.
 
-    ``spare`` partitions of each record are skipped, those with most candidates;
-    codes may differ in ``code_limit`` of their coordinates.
+    Codes of a candidate may differ in ``code_limit`` of their coordinates.
     """
     records = records.select("key", "text", "hlc", "site_id")
-    partitions, width = partition_plan(records.count())
-    rows = stage(sketches(records, partitions, width), "sketches")
+    layout = layout or Layout.for_records(records.count())
+    rows = stage(sketches(records, layout.coordinates), "sketches")
     keyed = rows.groupBy("key").agg(F.max_by(F.struct("rid", "empty"), F.struct("hlc", "site_id", "rid")).alias("r")).select("key", "r.rid", "r.empty")
     keyed = stage(keyed, "keys")
-    single = rows.where("not empty").groupBy("rid").agg(F.first(F.struct("bands", "c0", "c1", "c2")).alias("s")).select("rid", "s.*")
-    index = _probes(single, _histogram(rows, partitions), partitions - spare)
+    single = stage(rows.where("not empty").groupBy("rid").agg(F.first("code").alias("code")), "codes")
+    met = probes(single, make_plan(single, layout))
     hits = (
-        index.alias("x")
-        .join(index.alias("y"), "bucket")
-        .where((F.col("x.rid") < F.col("y.rid")) & (F.col("x.probe") | F.col("y.probe")) & (_coordinates_apart("x", "y") <= code_limit))
+        met.alias("x")
+        .join(met.alias("y"), "bucket")
+        .where((F.col("x.rid") < F.col("y.rid")) & (_coordinates_apart("x", "y") <= code_limit))
         .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
         .distinct()
     )
     candidates = stage(hits, "candidates")
+    release(single)
     return _verified(candidates, records, rows.select("key", "hlc", "site_id", "rid"), threshold), keyed
 
 

@@ -68,11 +68,75 @@ def test_records_of_tables(spark):
 
 
 def test_allocation_is_least_cost():
+    """Against all ways to set the thresholds."""
+    from itertools import product
+
     rng = np.random.default_rng(0)
-    costs = rng.integers(0, 100, (50, 7)).astype(float)
-    t = nd.allocate(costs, 4)
-    assert ((t == 0).sum(1) == 4).all()
-    assert np.allclose((costs * (t == 0)).sum(1), np.sort(costs, 1)[:, :4].sum(1))
+    gains, seen = np.array([0.14, 0.64]), set()
+    for _ in range(20):
+        costs = rng.integers(1, 100, (6, 2)).astype(float)
+        need = 1.5
+        t = nd.allocate(costs, gains, need)
+        parts = np.floor(gains / need * 1000)
+
+        def value(ways, costs=costs, parts=parts):
+            return sum(costs[i, x] for i, x in enumerate(ways) if x >= 0), sum(parts[x] for x in ways if x >= 0)
+
+        best = min(value(w)[0] for w in product((-1, 0, 1), repeat=6) if value(w)[1] >= 1000)
+        assert value(t)[0] == best and value(t)[1] >= 1000
+        seen |= set(t.tolist())
+    assert seen == {-1, 0, 1}
+    with pytest.raises(ValueError):
+        nd.allocate(np.ones((2, 2)), gains, 5.0)
+
+
+def test_grouping_follows_association():
+    a = np.full((6, 6), 0.01)
+    for i, j in ((0, 4), (1, 3), (2, 5)):
+        a[i, j] = a[j, i] = 0.9
+    assert sorted(nd.grouped(a, 2).tolist()) == [[0, 4], [1, 3], [2, 5]]
+
+
+def test_association_and_estimates(spark):
+    """The measured association is that of the codes, and estimated candidates are near the true number."""
+    rng = np.random.default_rng(3)
+    layout = nd.Layout(4, 12)
+    codes = rng.integers(0, 2**16, (3000, layout.coordinates)).astype(np.uint16)
+    codes[:, 7] = codes[:, 2]
+    codes[:900, 20:24] = codes[0, 20:24]
+    single = spark.createDataFrame([(i, bytearray(c.tobytes())) for i, c in enumerate(codes)], "rid long, code binary")
+    a = nd.association(single, layout.coordinates)
+    assert a[2, 7] > 0.99 and a[2, 8] < 0.01
+    plan = nd.make_plan(single, layout, miss=0.05)
+    assert any({2, 7} <= set(g) for g in plan.groups.tolist())
+    for i, g in enumerate(plan.groups):
+        _, n = np.unique(codes[:, g], axis=0, return_counts=True)
+        true = (n * (n - 1) // 2).sum()
+        assert abs(plan.estimated[i, 0] - true) <= 0.15 * true + 3000, (i, true, plan.estimated[i])
+
+
+@pytest.mark.parametrize("layout", [nd.Layout(4, 18), nd.Layout(5, 26), nd.Layout(6, 36)])
+def test_every_width_finds_the_pairs(spark, layout, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"k{i:04d}", t) for i, t in enumerate(texts(rng, 120))]
+    df = spark.createDataFrame([(k, t, 1, "s", "", "") for k, t in rows], REC)
+    want = brute(rows)
+    near, keyed = nd.similar_texts(df, layout=layout)
+    by = {r["rid"]: r["key"] for r in keyed.orderBy(keyed["key"].desc()).collect()}
+    got = {tuple(sorted((by[r["a"]], by[r["b"]]))) for r in near.collect()}
+    clear = {tuple(p) for p in want if nd.similarity(*(nd.normalised(dict(rows)[k]) for k in p)) >= 0.76 and nd.normalised(dict(rows)[p[0]]) != nd.normalised(dict(rows)[p[1]])}
+    assert got <= want and len(clear - got) <= 0.01 * len(clear)
+
+
+def test_hot_cells_lose_no_pair(spark, monkeypatch):
+    """With every cell taken as hot, pairs are found by the extended keys."""
+    rng = random.Random(8)
+    rows = [(f"k{i:04d}", t) for i, t in enumerate(texts(rng, 60))]
+    df = spark.createDataFrame([(k, t, 1, "s", "", "") for k, t in rows], REC)
+    want = {tuple(r) for r in nd.similar_pairs(df).collect()}
+    monkeypatch.setattr(nd, "_HOT", 0)
+    monkeypatch.setattr(nd, "_TIMES", 0)
+    assert {tuple(r) for r in nd.similar_pairs(df).collect()} == want
 
 
 def test_normal_form():

@@ -23,7 +23,7 @@ Copies are collapsed before and put back after, so that a group of equal texts
 is one record to steps 1 to 4.
 
 Recall: a pair of five-character similarity 0.6 is missed with a chance of at most
-``miss`` (0.005), of 0.7 with 0.0001; the limit on codes adds 0.0002 at 0.6.  Pairs of
+``miss`` (0.005), of 0.7 with 0.0001; the limit on codes adds 0.0001 at 0.6.  Pairs of
 three-character similarity 0.76 were seen from 0.61 on; README has measured
 figures for each width.  There is no cap on buckets, candidates or partners.
 Texts are taken as equal if 64-bit hashes of their normalised forms are.
@@ -46,6 +46,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +56,8 @@ from graphloom.staging import release, spread, stage
 
 #: Characters of a piece for sketches; pieces for the exact comparison have three.
 PIECE = 5
-#: Coordinates of which a candidate row keeps four bits, sixteen to a long.
-CODED = 48
+#: Coordinates of which a candidate row keeps three bits, 21 to a long.
+CODED = 63
 #: Counters of an estimate: cells, and two signs in each.
 _BINS = 1 << 13
 #: A cell of a key counts as hot beyond so many texts and so many times the mean.
@@ -97,6 +98,12 @@ def similarity(a: str, b: str) -> float:
     return shared(text_pieces(a), text_pieces(b))
 
 
+def _rid(text: str) -> int:
+    """The 64-bit hash of a normalised text, as a signed number."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
@@ -264,7 +271,7 @@ def sketches(records: DataFrame, coordinates: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [normalised(t) for t in part.column(3).to_pylist()]
-                rid = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+                rid = np.array([_rid(t) for t in texts], np.int64)
                 codes = sketcher.codes(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:3], pa.array(rid), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([len(t) < 3 for t in texts])], ["key", "hlc", "site_id", "rid", "code", "empty"]
@@ -340,8 +347,8 @@ def probes(single: DataFrame, plan: Plan) -> DataFrame:
         order = np.random.default_rng(5).permutation(wide)
         for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             rid, codes = batch.column(0).to_numpy(), _matrix(batch.column(1), wide)
-            nibbles = (codes[:, :CODED] & np.uint16(15)).astype(np.uint64).reshape(len(codes), CODED // 16, 16)
-            words = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+            bits = (codes[:, :CODED] & np.uint16(7)).astype(np.uint64).reshape(len(codes), 3, CODED // 3)
+            words = (bits << (np.arange(CODED // 3, dtype=np.uint64) * np.uint64(3))).sum(2, dtype=np.uint64).view(np.int64)
             rows, keys = [], []
             for n, _, coordinates in sets:
                 key = _keys(codes, n, coordinates)
@@ -363,31 +370,52 @@ def probes(single: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _coordinates_apart(a: str, b: str) -> Column:
-    """Of the coded coordinates those whose four bits differ."""
+    """Of the coded coordinates those whose three bits differ."""
     out = None
     for k in range(3):
         x = F.col(f"{a}.c{k}").bitwiseXOR(F.col(f"{b}.c{k}"))
-        folded = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        folded = folded.bitwiseOR(F.shiftrightunsigned(folded, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        n = F.bit_count(folded)
+        folded = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))
+        n = F.bit_count(folded.bitwiseAND(F.lit(0x1249249249249249)))
         out = n if out is None else out + n
     return out
 
 
+def _levelled(rows: DataFrame) -> DataFrame:
+    """(rid, text) with normalised texts, each read once before it meets its candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normalised(t) for t in batch.column(1).to_pylist()]
+            same = [rid == _rid(t) for rid, t in zip(batch.column(0).to_pylist(), texts, strict=True)]  # not so where a key has two texts at one clock
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["rid", "text"]).filter(pa.array(same, pa.bool_()))
+
+    return rows.select("rid", "text").mapInArrow(run, "rid long, text string")
+
+
+def _slices(batch: pa.RecordBatch, columns: tuple[int, ...], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about ``most`` bytes together, at least a row each."""
+    size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    part = (np.cumsum(size) - size) // most
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _verified(candidates: DataFrame, records: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the candidate texts that are similar enough."""
     ends = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     needed = stage(ends.join(keyed.groupBy("rid").agg(F.min(F.struct("key", "hlc", "site_id")).alias("k")), "rid").select("rid", "k.*"), "needed")
     few = needed.limit(_FEW_KEYS + 1).count() <= _FEW_KEYS
     on = ["key", "hlc", "site_id"]
-    texts = records.join(F.broadcast(needed) if few else needed, on).groupBy("rid").agg(F.max("text").alias("text"))
+    texts = _levelled(records.join(F.broadcast(needed) if few else needed, on)).groupBy("rid").agg(F.max("text").alias("text"))
     both = candidates.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+        for batch in (part for whole in batches for part in _slices(whole, (2, 3))):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             by_id = dict(zip(a, batch.column(2).to_pylist(), strict=True)) | dict(zip(b, batch.column(3).to_pylist(), strict=True))
-            found = {k: text_pieces(normalised(t)) for k, t in by_id.items()}
+            found = {k: text_pieces(t) for k, t in by_id.items()}
             near = np.array([shared(found[x], found[y], threshold) for x, y in zip(a, b, strict=True)], np.float64)
             keep = pa.array(near >= threshold) if len(near) else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["a", "b", "similarity"]).filter(keep)
@@ -395,7 +423,7 @@ def _verified(candidates: DataFrame, records: DataFrame, keyed: DataFrame, thres
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_texts(records: DataFrame, threshold: float = 0.7, layout: Layout | None = None, code_limit: int = 30) -> tuple[DataFrame, DataFrame]:
+def similar_texts(records: DataFrame, threshold: float = 0.7, layout: Layout | None = None, code_limit: int = 36) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) of different texts, a < b, and (key, rid, empty) of every key.
 
     Codes of a candidate may differ in ``code_limit`` of their coordinates.

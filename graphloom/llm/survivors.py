@@ -94,12 +94,11 @@ def _dependence(pairs: DataFrame, n_false: int, copy_rate: float, prior: float)
     """
     true, false = F.col("acc_a") * F.col("acc_b"), (1 - F.col("acc_a")) * (1 - F.col("acc_b")) / n_false
     mean = (F.col("acc_a") + F.col("acc_b")) / 2
-    differ = F.greatest(1 - true - false, F.lit(1e-6))
 
     def ratio(copied: Column, alone: Column) -> Column:
         return F.log(copy_rate * copied / alone + (1 - copy_rate))
 
-    gain = F.sum(F.col("same_true") * ratio(mean, true) + F.col("same_false") * ratio((1 - mean), false) + F.col("other") * F.log(F.lit(1 - copy_rate)) + 0 * differ)
+    gain = F.sum(F.col("same_true") * ratio(mean, true) + F.col("same_false") * ratio((1 - mean), false) + F.col("other") * F.log(F.lit(1 - copy_rate)))
     odds = F.lit(prior / (1 - prior)) * F.exp(F.least(gain, F.lit(50.0)))
     return pairs.groupBy("a", "b").agg((odds / (1 + odds)).alias("dep"))
 
@@ -121,7 +120,7 @@ def fused(nodes: DataFrame, source: str = "site_id", rounds: int = 4, n_false: i
     claims = stage(claims.join(size, "group", "left_semi"), "claims")
     trust = claims.select("source").distinct().withColumn("acc", F.lit(0.8))
     dep = None
-    judged, old = None, None
+    judged, old, last_trust = None, None, None
     for turn in range(rounds):
         known = claims.join(trust, "source")
         power = F.log(F.lit(float(n_false)) * F.col("acc") / (1 - F.col("acc")))
@@ -145,6 +144,8 @@ def fused(nodes: DataFrame, source: str = "site_id", rounds: int = 4, n_false: i
         unseen = F.greatest(F.lit(n_false + 1) - F.count("*").over(each), F.lit(0)) * F.exp(-top)
         mass = F.exp(F.col("score") - top)
         judged = stage(votes.withColumn("posterior", mass / (F.sum(mass).over(each) + unseen)).drop("score"), "judged")
+        if turn == rounds - 1:
+            break
         by_source = judged.select(*item, "value", "posterior", F.explode("sources").alias("source"))
         if turn:  # accuracies judged by copied votes would confirm the copies
             trust = stage(by_source.groupBy("source").agg(F.least(F.greatest(F.avg("posterior"), F.lit(0.05)), F.lit(0.95)).alias("acc")), "trust")
@@ -156,8 +157,9 @@ def fused(nodes: DataFrame, source: str = "site_id", rounds: int = 4, n_false: i
             "a", "b", "acc_a", "acc_b",
             F.when(same, told).otherwise(0.0).alias("same_true"), F.when(same, 1 - told).otherwise(0.0).alias("same_false"), F.when(same, 0.0).otherwise(1.0).alias("other"),
         )
-        dep = stage(_dependence(pairs, n_false, copy_rate, prior), "dependence")
-        release(old)
-        old = judged
+        last_dep, dep = dep, stage(_dependence(pairs, n_false, copy_rate, prior), "dependence")
+        release(old, last_dep, last_trust if turn else None)
+        old, last_trust = judged, trust
+    release(claims, dep, trust, old)
     best = F.row_number().over(Window.partitionBy(*item).orderBy(F.desc("posterior"), "value"))
     return judged.withColumn("best", best).where("best = 1").select(*(F.get_json_object("group", f"$.{c}").alias(c) for c in GROUP), "field", "value", "posterior")

@@ -30,21 +30,22 @@ def closure(edges: DataFrame) -> DataFrame:
 def closure_added(tree: DataFrame, child: str, parent: str) -> DataFrame:
     """Rows that a new link adds: the parent and its ancestors times the child and its descendants.
 
-    A record has at most ``MOST_DEPTH`` ancestors; they are the side that is broadcast.
+    The product is the operator's result; which side is sent is left to the planner,
+    which knows their sizes.
     """
     spark = tree.sparkSession
     own = spark.createDataFrame([(parent, 0)], "ancestor string, a int")
     ups = tree.where(F.col("descendant") == parent).select("ancestor", F.col("depth").alias("a")).unionByName(own)
     mine = spark.createDataFrame([(child, 0)], "descendant string, b int")
     downs = tree.where(F.col("ancestor") == child).select("descendant", F.col("depth").alias("b")).unionByName(mine)
-    return downs.crossJoin(F.broadcast(ups)).select("ancestor", "descendant", (F.col("a") + F.col("b") + 1).alias("depth"))
+    return downs.crossJoin(ups).select("ancestor", "descendant", (F.col("a") + F.col("b") + 1).alias("depth"))
 
 
 def closure_removed(tree: DataFrame, child: str) -> DataFrame:
     """The closure without what hangs on the link from ``child`` to its parent."""
     below = tree.where(F.col("ancestor") == child).select("descendant").union(tree.sparkSession.createDataFrame([(child,)], "descendant string"))
     above = tree.where(F.col("descendant") == child).select("ancestor")
-    gone = below.crossJoin(F.broadcast(above)).select("ancestor", "descendant")
+    gone = below.crossJoin(above).select("ancestor", "descendant")
     return tree.join(gone, ["ancestor", "descendant"], "left_anti")
 
 
@@ -88,36 +89,53 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, down: bool = True) ->
     return seen
 
 
-def acyclicity(edges: DataFrame, candidates: DataFrame, depth: int = 64, most: int = 512, rounds: int | None = None) -> DataFrame:
-    """(src, dst, verdict) of new edges: cycle if src can be reached from dst, else depth, reach or clear.
+def acyclicity(edges: DataFrame, candidates: DataFrame, depth: int = 64, most: int = 512) -> DataFrame:
+    """(src, dst, verdict, path) of new edges: cycle if src can be reached from dst, else depth, reach or clear.
 
-    ``depth`` and ``most`` bound the search per candidate as a guard of the
-    operation; what they cut is named in the verdict.
+    The search from a dst stops when it has met its src, after ``depth`` steps, or
+    once it has reached ``most`` ids; what cut it is named in the verdict.  ``path`` is
+    a shortest way from dst to src, the least of equal length, null without a cycle.
     """
-    found = reach(edges, candidates.select(F.col("dst").alias("start")), rounds or depth)
-    per = found.groupBy("start").agg(F.count("*").alias("reached"), F.max("depth").alias("deepest"))
-    hit = candidates.join(found.select(F.col("start").alias("dst"), F.col("id").alias("src"), F.lit(True).alias("hit")), ["src", "dst"], "left")
-    verdict = F.when(F.col("hit") | (F.col("src") == F.col("dst")), "cycle").when(F.col("deepest") >= depth, "depth").when(F.col("reached") > most, "reach").otherwise("clear")
-    return hit.join(per.withColumnRenamed("start", "dst"), "dst", "left").select("src", "dst", verdict.alias("verdict"))
+    asked = candidates.select("src", "dst").distinct()
+    seen = stage(asked.select("src", "dst", F.col("dst").alias("id"), F.array("dst").alias("path"), F.lit(0).alias("depth")), "search")
+    tables, fresh = [seen], seen
+    ways = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
+
+    def every() -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    for k in range(1, depth + 1):
+        ended = every().groupBy("src", "dst").agg(F.count("*").alias("n"), F.max(F.col("id") == F.col("src")).alias("hit")).where((F.col("n") >= most) | F.col("hit")).select("src", "dst")
+        going = fresh.join(ended, ["src", "dst"], "left_anti").join(ways, "id").groupBy("src", "dst", F.col("to").alias("id")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
+        fresh = stage(going.join(every().select("src", "dst", "id"), ["src", "dst", "id"], "left_anti").withColumn("depth", F.lit(k)), "search")
+        if not fresh.limit(1).count():
+            break
+        tables.append(fresh)
+    per = every().groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.min(F.when(F.col("id") == F.col("src"), F.col("path"))).alias("path"))
+    verdict = F.when(F.col("path").isNotNull(), "cycle").when(F.col("n") >= most, "reach").when(F.col("deepest") >= depth, "depth").otherwise("clear")
+    return per.select("src", "dst", verdict.alias("verdict"), "path")
 
 
 def dependency_rows(blocks: DataFrame, roots: DataFrame, nodes: DataFrame, depth: int = 4, down: bool = True) -> DataFrame:
     """(root, id, depth, path) of every way through unfinished records, each occurrence a row.
 
-    A path never comes back to one of its own ids.
+    An id that is on its own path already is shown once more as a leaf.
     """
     a, b = ("src", "dst") if down else ("dst", "src")
     shown = nodes.where(~F.col("status").isin(*CLOSED)).select(F.col("id").alias("to"))
     ways = blocks.select(F.col(a).alias("id"), F.col(b).alias("to")).join(shown, "to")
-    at = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"))
+    at = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(False).alias("leaf"))
     out = at
     for k in range(1, depth + 1):
-        step = at.join(ways, "id").where(~F.array_contains("path", F.col("to"))).select("root", F.col("to").alias("id"), F.lit(k).alias("depth"), F.concat("path", F.array("to")).alias("path"))
+        step = at.where("not leaf").join(ways, "id").select("root", F.col("to").alias("id"), F.lit(k).alias("depth"), F.concat("path", F.array("to")).alias("path"), F.array_contains("path", F.col("to")).alias("leaf"))
         at = stage(step, "ways")
         if not at.limit(1).count():
             break
         out = out.unionByName(at)
-    return out
+    return out.drop("leaf")
 
 
 def _kahn(n: int, older: np.ndarray, newer: np.ndarray) -> np.ndarray:
@@ -153,9 +171,11 @@ def _ordered_numbers(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def version_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(newer, older) by supersession edges and head pointers."""
-    s = edges.where("type = 'supersedes'").select(F.col("src").alias("newer"), F.col("dst").alias("older"))
-    return s.unionByName(nodes.where("head_id is not null and head_id <> '' and head_id <> id").select(F.col("head_id").alias("newer"), F.col("id").alias("older"))).distinct()
+    """(newer, older) by supersession edges and head pointers, both ends known records."""
+    s = edges.where("type = 'supersedes' and src <> dst").select(F.col("src").alias("newer"), F.col("dst").alias("older"))
+    every = s.unionByName(nodes.where("head_id is not null and head_id <> '' and head_id <> id").select(F.col("head_id").alias("newer"), F.col("id").alias("older"))).distinct()
+    known = nodes.select("id")
+    return every.join(known.withColumnRenamed("id", "newer"), "newer", "left_semi").join(known.withColumnRenamed("id", "older"), "older", "left_semi")
 
 
 def version_chains(edges: DataFrame, nodes: DataFrame, largest: int = 10_000) -> DataFrame:
@@ -182,12 +202,19 @@ def version_chains(edges: DataFrame, nodes: DataFrame, largest: int = 10_000) ->
 
 
 def version_heads(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(chain, id, votes, place): versions that none supersedes, by votes and clock; more than one is a fork."""
+    """(chain, id, votes, place): versions that none supersedes, by votes and clock; more than one is a fork.
+
+    Votes are head pointers of other members.  A chain in which all are superseded
+    (a loop) has all its members as heads.
+    """
     links = stage(version_links(edges, nodes), "versions")
     comp = connected_components(links).withColumnRenamed("comp", "chain")
-    votes = nodes.where("head_id is not null").groupBy(F.col("head_id").alias("id")).agg(F.count("*").alias("votes"))
-    heads = comp.join(links.select(F.col("older").alias("id")).distinct(), "id", "left_anti").join(nodes.select("id", "hlc", "site_id"), "id", "left").join(votes, "id", "left").fillna(0, ["votes"])
-    w = Window.partitionBy("chain").orderBy(F.desc("votes"), F.desc("hlc"), F.desc("site_id"), "id")
+    votes = nodes.where("head_id is not null and head_id <> id").groupBy(F.col("head_id").alias("id")).agg(F.count("*").alias("votes"))
+    older = links.select(F.col("older").alias("id"), F.lit(True).alias("old")).distinct()
+    marked = comp.join(older, "id", "left").withColumn("free", F.col("old").isNull())
+    some = F.max("free").over(Window.partitionBy("chain"))
+    heads = marked.withColumn("some", some).where("free or not some").join(nodes.select("id", "hlc", "site_id"), "id").join(votes, "id", "left").fillna(0, ["votes"])
+    w = Window.partitionBy("chain").orderBy(F.desc("votes"), F.desc("hlc"), F.desc("site_id"), F.desc("id"))
     return heads.select("chain", "id", "votes", F.row_number().over(w).alias("place"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.staging import release, stage
 
-RESULT = "link string, id string, root string, depth int, path string, state string"
+RESULT = "link string, id string, root string, depth int, ids array<string>, state string"
 
 
 def parent_links(edges: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def components(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         "links",
     )
     finished = [at.where("root is not null")]
-    left, known, old = at.where("root is null"), at, [at]
+    left, known = at.where("root is null"), at
     n_left = left.count()
     while n_left:
         up = known.select("link", F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("root").alias("found"))
@@ -79,7 +79,6 @@ def components(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         if n_rest == n_left:
             break
         finished.append(step.where("root is not null"))
-        old.append(step)
         left, n_left = rest, n_rest
         known = _union([*finished, rest])
     named = _union(finished).select("link", "id", "parent", F.col("root").alias("comp"))
@@ -125,35 +124,35 @@ def _name_loops(rows: DataFrame) -> DataFrame:
     return stage(named.join(seen, ["link", "id"], "left").select("link", "id", "parent", "comp", F.coalesce("hit", F.lit(False)).alias("on_loop")), "loop-names")
 
 
-def walk_component(ids: list[str], parents: list[str | None]) -> list[tuple[str, str, int, str, str]]:
-    """(id, root, depth, path, state) of each id of whole components.
+def walk_component(ids: list[str], parents: list[str | None]) -> list[tuple[str, str, int, tuple[str, ...], str]]:
+    """(id, root, depth, ids of the path, state) of each id of whole components.
 
     White ids haven't been seen, grey ones lie on the present walk, black ones
     are done.  A walk goes up until it ends or meets a black id; meeting a grey
     one is a back edge that closes a loop.
     """
     parent = dict(zip(ids, parents, strict=True))
-    done: dict[str, tuple[str, int, str, str]] = {}
+    done: dict[str, tuple[str, int, tuple[str, ...], str]] = {}
     for start in ids:
         stack, grey, at = [], set(), start
         while at not in done:
             if at in grey:
                 loop = stack[stack.index(at) :]
                 root = min(loop)
-                done.update((x, (root, 0, x, "cycle")) for x in loop)
+                done.update((x, (root, 0, (x,), "cycle")) for x in loop)
                 break
             stack.append(at)
             grey.add(at)
             up = parent.get(at)
             if up is None:
-                done[at] = (at, 0, at, "tree")
+                done[at] = (at, 0, (at,), "tree")
                 break
             at = up
         while stack:
             x = stack.pop()
             if x not in done:
                 root, depth, path, state = done[parent[x]]
-                done[x] = (root, depth + 1, f"{path}/{x}", "tree" if state == "tree" else "below")
+                done[x] = (root, depth + 1, (*path, x), "tree" if state == "tree" else "below")
     return [(x, *done[x]) for x in ids]
 
 
@@ -166,7 +165,7 @@ def _walk_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for link, part in rows.groupby("link", sort=False):
             walked = walk_component(part["id"].tolist(), [None if x is None or x != x else x for x in part["parent"]])
             found += [(link, *x) for x in walked]
-        return pd.DataFrame(found, columns=["link", "id", "root", "depth", "path", "state"])
+        return pd.DataFrame(found, columns=["link", "id", "root", "depth", "ids", "state"])
 
     for batch in batches:
         if not len(batch):
@@ -199,7 +198,7 @@ def _paths_by_doubling(rows: DataFrame, on_loop: DataFrame) -> DataFrame:
         cut.select(
             "link", "id", "comp", top.alias("done"), F.coalesce("looped", F.lit(False)).alias("looped"),
             F.when(top, F.col("id")).otherwise(F.col("parent")).alias("ptr"), F.when(top, 0).otherwise(1).alias("depth"),
-            F.when(top, F.lit("")).otherwise(F.concat(F.lit("/"), "id")).alias("piece"),
+            F.when(top, F.array().cast("array<string>")).otherwise(F.array("id")).alias("piece"),
         ),
         "pieces",
     )
@@ -217,11 +216,11 @@ def _paths_by_doubling(rows: DataFrame, on_loop: DataFrame) -> DataFrame:
     tops = at.where("looped").select("link", F.col("id").alias("ptr"), F.lit(True).alias("loop_top"))
     named = at.join(tops, ["link", "ptr"], "left")
     state = F.when(F.col("looped"), "cycle").when(F.col("loop_top"), "below").otherwise("tree")
-    return named.select("link", "id", F.col("comp").alias("root"), F.col("depth").cast("int").alias("depth"), F.concat("ptr", "piece").alias("path"), state.alias("state"))
+    return named.select("link", "id", F.col("comp").alias("root"), F.col("depth").cast("int").alias("depth"), F.concat(F.array("ptr"), "piece").alias("ids"), state.alias("state"))
 
 
 def hierarchies(links: DataFrame, largest: int = 100_000) -> DataFrame:
-    """link, id, root, depth, path, state of every id at an end of ``links``.
+    """link, id, root, depth, ids (the path as an array), state of every id at an end of ``links``.
 
     ``largest`` is the greatest number of nodes that one task gets at once.
     """
@@ -238,9 +237,14 @@ def hierarchies(links: DataFrame, largest: int = 100_000) -> DataFrame:
     return walked.unionByName(_paths_by_doubling(named.join(big, ["link", "comp"], "left_semi"), on_loop))
 
 
+def with_paths(found: DataFrame) -> DataFrame:
+    """The path as one text, its ids joined with ``/``."""
+    return found.select("link", "id", "root", "depth", F.array_join("ids", "/").alias("path"), "state")
+
+
 def descendants(found: DataFrame) -> DataFrame:
     """(link, ancestor, id, distance) of each id and every id above it."""
-    ups = found.where("depth > 0").select("link", "id", "depth", F.posexplode(F.split("path", "/")).alias("at", "ancestor"))
+    ups = found.where("depth > 0").select("link", "id", "depth", F.posexplode("ids").alias("at", "ancestor"))
     return ups.where("at < depth").select("link", "ancestor", "id", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
 
 

@@ -26,7 +26,7 @@ def closure(s: SparkSession, d: str) -> DataFrame:
     return graph.closure(table(s, d, "edges"))
 
 
-_TREE = f"tree AS (SELECT ancestor, id AS descendant, distance AS depth FROM ({_P3_DOWN_SQL.replace('FROM (SELECT *, string_split', 'FROM (SELECT *, string_split')}) WHERE link = 'parent' AND id IN (SELECT id FROM ({_P3_SQL}) WHERE link = 'parent' AND state = 'tree'))"
+_TREE = f"tree AS (SELECT ancestor, id AS descendant, distance AS depth FROM ({_P3_DOWN_SQL}) WHERE link = 'parent' AND id IN (SELECT id FROM ({_P3_SQL}) WHERE link = 'parent' AND state = 'tree'))"
 
 
 def _middle(tree: DataFrame) -> tuple[str, str]:
@@ -86,9 +86,9 @@ _ROOTS = "roots AS (SELECT src AS id FROM e WHERE type = 'blocks' GROUP BY 1 ORD
 
 
 def _ways_sql(a: str, b: str) -> str:
-    rec = f"""ways AS (SELECT id AS root, id, 0 AS depth, [id] AS path FROM roots UNION ALL
-      SELECT w.root, e.{b}, w.depth + 1, list_append(w.path, e.{b}) FROM ways w JOIN e ON e.{a} = w.id AND e.type = 'blocks' JOIN n ON n.id = e.{b}
-      WHERE n.status NOT IN {q.CLOSED} AND NOT list_contains(w.path, e.{b}) AND w.depth < 4)"""
+    rec = f"""ways AS (SELECT id AS root, id, 0 AS depth, [id] AS path, false AS leaf FROM roots UNION ALL
+      SELECT w.root, e.{b}, w.depth + 1, list_append(w.path, e.{b}), list_contains(w.path, e.{b}) FROM ways w JOIN e ON e.{a} = w.id AND e.type = 'blocks' JOIN n ON n.id = e.{b}
+      WHERE n.status NOT IN {q.CLOSED} AND NOT w.leaf AND w.depth < 4)"""
     return "WITH RECURSIVE " + ", ".join((q.N, q.E, _ROOTS, rec))
 
 
@@ -100,12 +100,12 @@ def _acyclic(s: SparkSession, d: str) -> DataFrame:
     """Each blocks edge of the stated roots, asked for backwards, and once more from records apart."""
     e = edges(s, d, "blocks").select("src", "dst")
     back = e.join(F.broadcast(_roots(s, d).withColumnRenamed("id", "src")), "src").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.acyclicity(e, back, rounds=64)
+    return graph.acyclicity(e, back).select("src", "dst", "verdict")
 
 
 _ACYC = ("WITH RECURSIVE " + ", ".join((q.N, q.E, _ROOTS, "cand AS (SELECT e.dst AS src, e.src AS dst FROM e JOIN roots r ON r.id = e.src WHERE type = 'blocks')",
   "r AS (SELECT DISTINCT dst AS start, dst AS id FROM cand UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.id AND e.type = 'blocks')"))
-  + " SELECT src, dst, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.start = cand.dst AND r.id = cand.src) THEN 'cycle' ELSE 'clear' END AS verdict FROM cand")
+  + " SELECT src, dst, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.start = cand.dst AND r.id = cand.src) THEN 'cycle' WHEN (SELECT count(*) FROM r WHERE r.start = cand.dst) >= 512 THEN 'reach' ELSE 'clear' END AS verdict FROM cand")
 
 
 def _move(s: SparkSession, d: str) -> DataFrame:
@@ -114,12 +114,13 @@ def _move(s: SparkSession, d: str) -> DataFrame:
     return graph.crossing(e, graph.move_set(starts, e, nodes(s, d))).groupBy("type").agg(F.count("*").alias("n"))
 
 
-_VL = "vl AS (SELECT src AS newer, dst AS older FROM e WHERE type = 'supersedes' UNION SELECT head_id, id FROM n WHERE head_id IS NOT NULL AND head_id <> '' AND head_id <> id)"
+_VL = "vl AS (SELECT * FROM (SELECT src AS newer, dst AS older FROM e WHERE type = 'supersedes' UNION SELECT head_id, id FROM n WHERE head_id <> '') WHERE newer <> older AND newer IN (SELECT id FROM n) AND older IN (SELECT id FROM n))"
 _MOVE = "WITH RECURSIVE " + ", ".join((q.N, q.E, _VL, "ln AS (SELECT newer AS a, older AS b FROM vl UNION SELECT older, newer FROM vl UNION SELECT src, dst FROM e WHERE type = 'blocks' UNION SELECT dst, src FROM e WHERE type = 'blocks')",
   "m AS (SELECT id FROM n WHERE scope = 'kiln-core' AND kind = 'task' UNION SELECT ln.b FROM m JOIN ln ON ln.a = m.id)")) + " SELECT type, count(*) AS n FROM e WHERE (src IN (SELECT id FROM m)) <> (dst IN (SELECT id FROM m)) GROUP BY 1"
 _COMP = "u AS (SELECT newer AS a, older AS b FROM vl UNION SELECT older, newer FROM vl), cc AS (SELECT a AS id, a AS r FROM u UNION SELECT u.b, cc.r FROM cc JOIN u ON u.a = cc.id), comp AS (SELECT id, min(r) AS chain FROM cc GROUP BY 1)"
-_HEADS = "WITH RECURSIVE " + ", ".join((q.N, q.E, _VL, _COMP)) + """ SELECT chain, id, votes, row_number() OVER (PARTITION BY chain ORDER BY votes DESC, hlc DESC NULLS LAST, site_id DESC NULLS LAST, id) AS place FROM (
-  SELECT chain, comp.id, coalesce(v, 0) AS votes, hlc, site_id FROM comp LEFT JOIN n ON n.id = comp.id LEFT JOIN (SELECT head_id, count(*) AS v FROM n WHERE head_id IS NOT NULL GROUP BY 1) h ON h.head_id = comp.id WHERE comp.id NOT IN (SELECT older FROM vl))"""
+_HEADS = "WITH RECURSIVE " + ", ".join((q.N, q.E, _VL, _COMP)) + """ SELECT chain, id, votes, row_number() OVER (PARTITION BY chain ORDER BY votes DESC, hlc DESC NULLS LAST, site_id DESC NULLS LAST, id DESC) AS place FROM (
+  SELECT chain, comp.id, (SELECT count(*) FROM n v WHERE v.head_id = comp.id AND v.id <> comp.id) AS votes, hlc, site_id FROM comp JOIN n ON n.id = comp.id
+  WHERE comp.id NOT IN (SELECT older FROM vl) OR chain NOT IN (SELECT chain FROM comp WHERE id NOT IN (SELECT older FROM vl)))"""
 
 
 def _decisions(s: SparkSession, d: str) -> DataFrame:

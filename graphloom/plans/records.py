@@ -3,21 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.operators import feed, hierarchy, references
 from graphloom.plans.registry import Query
 from graphloom.sources.tables import table
+from graphloom.staging import release, stage
 
 
 def _p1(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_references(table(spark, d, "edges"), table(spark, d, "nodes"))
 
 
+def _pieces(spark: SparkSession, d: str, pieces: int = 5) -> references.Picture:
+    """The picture after the tables came in shuffled batches, each folded by itself into what was stored."""
+    picture = None
+    for k in range(pieces):
+        part = [table(spark, d, t).where(F.pmod(F.xxhash64("hlc", "site_id", "created_at", *c), F.lit(pieces)) == k) for t, c in (("edges", ("src", "dst")), ("nodes", ("id",)))]
+        after = references.folded(picture, *part)
+        staged = references.Picture(stage(after.edges, "edge-states"), stage(after.nodes, "node-states"), stage(after.counts, "counts"))
+        if picture:
+            release(picture.edges, picture.nodes, picture.counts)
+        picture = staged
+    return picture
+
+
 def _p3(spark: SparkSession, d: str) -> DataFrame:
     links = hierarchy.parent_links(table(spark, d, "edges")).unionByName(hierarchy.head_links(table(spark, d, "nodes")))
     return hierarchy.hierarchies(links)
 
 
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.with_paths(_p3(spark, d))
+
+
 def _p4(spark: SparkSession, d: str) -> DataFrame:
     return feed.current_state(table(spark, d, "oplog"))
 
@@ -47,9 +66,11 @@ WITH e AS (
 SELECT src, type, dst, side, reason, period FROM c WHERE reason IS NOT NULL
 """
 
+_P1_KEYS_SQL = f"SELECT CASE WHEN side = 'src' THEN {_canon('src')} ELSE {_canon('dst')} END AS key, count(*) AS refs, reason FROM ({_P1_SQL}) WHERE reason <> 'late' GROUP BY ALL"
+
 _P1_REPORT_SQL = f"SELECT 'edges' AS table_name, side, reason, period, count(*) AS n FROM ({_P1_SQL}) GROUP BY ALL"
 
-_P3_SQL = """
+_P3_IDS = """
 WITH RECURSIVE e AS (
   SELECT src, dst, hlc, site_id FROM (
     SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hlc DESC, site_id DESC) rn FROM edges WHERE type = 'parent')
@@ -74,15 +95,16 @@ WITH RECURSIVE e AS (
 SELECT link, id,
   CASE WHEN closed THEN list_min(seen[lp:]) ELSE place END AS root,
   CAST(CASE WHEN closed THEN lp - 1 ELSE len(seen) - 1 END AS INTEGER) AS depth,
-  CASE WHEN NOT closed THEN array_to_string(list_reverse(seen), '/') WHEN lp = 1 THEN id ELSE array_to_string(list_reverse(seen[:lp]), '/') END AS path,
+  CASE WHEN NOT closed THEN list_reverse(seen) WHEN lp = 1 THEN [id] ELSE list_reverse(seen[:lp]) END AS ids,
   CASE WHEN NOT closed THEN 'tree' WHEN lp = 1 THEN 'cycle' ELSE 'below' END AS state
 FROM r
 """
 
+_P3_SQL = f"SELECT link, id, root, depth, array_to_string(ids, '/') AS path, state FROM ({_P3_IDS})"
+
 _P3_DOWN_SQL = f"""
 SELECT link, ancestor, id, CAST(depth - (i - 1) AS INTEGER) AS distance FROM (
-  SELECT link, id, depth, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS ancestor
-  FROM (SELECT *, string_split(path, '/') AS parts FROM ({_P3_SQL}))
+  SELECT link, id, depth, unnest(range(1, len(ids) + 1)) AS i, unnest(ids) AS ancestor FROM ({_P3_IDS})
 ) WHERE i - 1 < depth
 """
 
@@ -113,8 +135,10 @@ WHERE entity_id NOT IN (SELECT entity_id FROM dead)
 
 QUERIES = {
     "p1_found": Query(_p1, _P1_SQL),
+    "p1_folded": Query(lambda s, d: references.orphans(_pieces(s, d)), _P1_SQL),
+    "p1_keys": Query(lambda s, d: references.orphan_keys(_pieces(s, d)), _P1_KEYS_SQL),
     "p1_report": Query(lambda s, d: references.orphan_report(_p1(s, d)), _P1_REPORT_SQL),
-    "p3_found": Query(_p3, _P3_SQL),
+    "p3_found": Query(_p3_found, _P3_SQL),
     "p3_descendants": Query(lambda s, d: hierarchy.descendants(_p3(s, d)), _P3_DOWN_SQL),
     "p3_loops": Query(lambda s, d: hierarchy.loops(_p3(s, d)), _P3_LOOPS_SQL),
     "p4_found": Query(lambda s, d: _p4(s, d).drop("what"), f"SELECT entity_id, field, result FROM ({_P4_SQL})"),

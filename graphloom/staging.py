@@ -22,7 +22,7 @@ def shared_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # not local-cluster, which has several executors
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.applicationId not in _LOCAL:
         _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="graphloom-")

@@ -27,7 +27,7 @@ def brute(parents: dict[str, str]) -> dict[str, tuple]:
 
 def run(spark, parents: dict[str, str], largest: int) -> dict[str, tuple]:
     df = spark.createDataFrame([("parent", *x) for x in parents.items()], LINK)
-    rows = h.hierarchies(df, largest).collect()
+    rows = h.with_paths(h.hierarchies(df, largest)).collect()
     assert len(rows) == len({r["id"] for r in rows})
     return {r["id"]: (r["root"], r["depth"], r["path"], r["state"]) for r in rows}
 
@@ -85,3 +85,18 @@ def test_components_against_union_find(spark):
     got = {r["id"]: r["comp"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: root(x) for p in pairs if p[0] is not None for x in p}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("largest", [100_000, 2])
+def test_ids_with_slashes_keep_their_ancestors(spark, largest):
+    df = spark.createDataFrame([("parent", "x", "a/b"), ("parent", "a/b", "top/"), ("parent", "y", "a")], LINK)
+    got = {(r["ancestor"], r["id"], r["distance"]) for r in h.descendants(h.hierarchies(df, largest)).collect()}
+    assert got == {("a/b", "x", 1), ("top/", "x", 2), ("top/", "a/b", 1), ("a", "y", 1)}
+
+
+def test_component_beyond_the_bound_of_one_task(spark):
+    """More than 100 000 nodes in one tree: paths by doubling, depths as counted."""
+    n = 120_000
+    df = spark.range(1, n).selectExpr("'parent' as link", "cast(id as string) as id", "cast(id div 7 as string) as parent")
+    out = h.hierarchies(df).selectExpr("count(*) as n", "max(depth) as deep", "min(root) as low", "max(root) as high", "count_if(size(ids) = depth + 1 and element_at(ids, -1) = id) as whole").first()
+    assert (out["n"], out["deep"], out["low"], out["high"], out["whole"]) == (n, 7, "0", "0", n)

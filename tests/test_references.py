@@ -2,8 +2,6 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import functions as F
-
 from graphloom.functions.ids import prefix_range
 from graphloom.operators import references as r
 
@@ -45,16 +43,43 @@ def test_nulls_and_empty_tables(spark):
     assert [x[3:5] for x in got] == [("dst", "missing"), ("src", "missing")]
 
 
-def test_counts_fold_in_any_order(spark):
+def counts(spark, batches):
+    """(refs, exists) of each key after batches of (edge rows, node rows), each folded by itself."""
+    picture = None
+    for edges, nodes in batches:
+        e = spark.createDataFrame([(*x, "clash", "clash") for x in edges], EDGE)
+        n = spark.createDataFrame([(*x, 9) for x in nodes], NODE)
+        picture = r.folded(picture, e, n)
+    return {x["key"]: (x["refs"], x["exists"]) for x in picture.counts.collect()}, picture
+
+
+def test_batches_change_counts_by_what_they_turn(spark):
+    live, gone = (A, "t", D, 1, "s", None, 1), (A, "t", D, 2, "s", 8, 1)
+    node, dead = (A, 1, "s", None, 0), (A, 2, "s", 9, 0)
+    assert counts(spark, [([live], [node]), ([live], [node])])[0] == {A: (1, 1), D: (1, None)}
+    assert counts(spark, [([live], [node]), ([gone], [dead])])[0] == {A: (0, 0), D: (0, None)}
+    assert counts(spark, [([gone], [dead]), ([live], [node])])[0] == {A: (0, 0)}
+    assert counts(spark, [([], [dead]), ([live], [])])[0] == {A: (1, 0), D: (1, None)}
+
+
+def test_folding_equals_the_whole(spark):
     rng = random.Random(3)
-    rows = [(A, "t", B, i, "s", rng.choice([None, 1]), 1, "", "") for i in range(40)]
-    states = spark.createDataFrame(rows, EDGE).drop("delta", "key")
-    changes = r.signed_changes(states, ["src", "type", "dst"]).select("src", "hlc", F.col("delta").alias("n"))
-    live = 1 if rows[-1][5] is None else 0
-    for cut in (0, 11, 27, 40):
-        early, late = changes.where(f"hlc < {cut}"), changes.where(f"hlc >= {cut}")
-        for a, b in ((early, late), (late, early)):
-            assert sum(x["n"] for x in r.fold_counts(a, b, ["src"], "n").collect()) == live
+    ids = [f"kiln-{c * 12}" for c in "abcdefgh"]
+    edges = [(rng.choice(ids), "t", rng.choice(ids), rng.randrange(20), rng.choice("st"), rng.choice([None, None, 1]), 5) for _ in range(120)]
+    nodes = [(rng.choice(ids[:6]), rng.randrange(20), rng.choice("st"), rng.choice([None, None, 1]), rng.choice([0, 9])) for _ in range(40)]
+    whole = counts(spark, [(edges, nodes)])
+    for seed in (1, 2):
+        order = random.Random(seed)
+        parts = [([], []) for _ in range(4)]
+        for x in edges:
+            parts[order.randrange(4)][0].append(x)
+        for x in nodes:
+            parts[order.randrange(4)][1].append(x)
+        got = counts(spark, [*parts, (edges[:5], nodes[:5])])
+        assert got[0] == whole[0]
+        assert {tuple(x) for x in r.orphans(got[1]).collect()} == {tuple(x) for x in r.orphan_references(*(spark.createDataFrame(y, k) for y, k in (([(*x, "", "") for x in edges], EDGE), ([(*x, 9) for x in nodes], NODE)))).collect()}
+        keys = {x["key"]: (x["refs"], x["reason"]) for x in r.orphan_keys(got[1]).collect()}
+        assert keys == {k: (n, "missing" if e is None else "deleted") for k, (n, e) in whole[0].items() if n > 0 and not e}
 
 
 def test_prefix_range():

@@ -11,19 +11,18 @@ from pyspark.sql.functions import pandas_udf
 
 # Points of a verdict and what a caveat costs.
 VERDICTS = {"accepted": 1.0, "rework": 0.5, "rejected": 0.0}
-CAVEAT_COST = {"tests_weak": 0.4}
-OTHER_CAVEAT = 0.1
+CAVEAT_COST = {"coordinator_fixed": 0.35, "tests_weak": 0.4, "report_inaccurate": 0.25, "scope_missed": 0.3}
 FLOOR = 0.1
+LEAST_ATTEMPTS = 3
 
 
 def quality(verdict: Column, caveats: Column) -> Column:
-    """Verdict points less each different caveat's cost, at least the floor; rejected is 0, an unknown verdict null."""
+    """Verdict points less each different known caveat's cost, at least the floor; rejected is 0, an unknown verdict null."""
     base = F.when(verdict == "accepted", 1.0).when(verdict == "rework", 0.5).when(verdict == "rejected", 0.0)
-    price = F.lit(OTHER_CAVEAT)
     cost = F.aggregate(
         F.array_distinct(F.coalesce(caveats, F.array().cast("array<string>"))),
         F.lit(0.0),
-        lambda a, x: a + F.coalesce(*(F.when(x == k, F.lit(v)) for k, v in CAVEAT_COST.items()), price),
+        lambda a, x: a + F.coalesce(*(F.when(x == k, F.lit(v)) for k, v in CAVEAT_COST.items()), F.lit(0.0)),
     )
     return F.when(verdict == "rejected", 0.0).otherwise(F.greatest(F.lit(FLOOR), base - cost) + F.when(base.isNull(), F.lit(None)).otherwise(0.0))
 
@@ -96,15 +95,26 @@ def intervals(stats: DataFrame) -> DataFrame:
     return stats.withColumn("i", credible(F.col("total").cast("double"), F.col("n").cast("double"))).select("*", "i.low", "i.high").drop("i")
 
 
-def decisions(bounded: DataFrame) -> DataFrame:
-    """Per class the leader by mean, how many arms are as good (overlapping bounds), and the cheapest of those."""
+def decisions(bounded: DataFrame, least: int = LEAST_ATTEMPTS) -> DataFrame:
+    """Per class what the attempts say about its arms (model and effort).
+
+    Arms of fewer than ``least`` attempts don't take part.  The leader has the best
+    mean (ties: the smaller model and effort); as good as it are arms whose bounds
+    overlap its own; the cheapest is the cheapest of those with a known cost, and a
+    separation is pending while its mean is below the leader's.  ``answer`` is ok,
+    insufficient_attempts, single_arm or no_cost_data.
+    """
     w = Window.partitionBy("task_class")
-    order = F.struct("mean", "n", "model_id", "effort")
-    lead = F.max(F.struct(order.alias("o"), "low", "high")).over(w)
-    rows = bounded.where("n > 0").withColumn("lead", lead).withColumn("equal", F.col("high") >= F.col("lead.low"))
-    return rows.groupBy("task_class").agg(
-        F.first("lead.o.model_id").alias("leader"), F.count_if("equal").alias("equal"), F.count("*").alias("arms"),
-        F.min_by("model_id", F.struct((~F.col("equal")).alias("no"), F.col("mean_cost").isNull().alias("nc"), "mean_cost", "model_id", "effort")).alias("cheapest"),
+    lead = F.min(F.when(F.col("n") >= least, F.struct((-F.col("mean")).alias("m"), "model_id", "effort", "low", "high"))).over(w)
+    rows = bounded.withColumn("lead", lead).withColumn("fit", F.col("n") >= least)
+    equal = F.col("fit") & (F.col("high") >= F.col("lead.low")) & (F.col("lead.high") >= F.col("low"))
+    priced = F.when(equal & F.col("mean_cost").isNotNull(), F.struct("mean_cost", "model_id", "effort", "mean"))
+    per = rows.groupBy("task_class").agg(F.first("lead").alias("lead"), F.count("*").alias("arms"), F.count_if("fit").alias("fit"), F.count_if(equal).alias("equal"), F.min(priced).alias("cheap"))
+    answer = F.when(F.col("fit") == 0, "insufficient_attempts").when(F.col("fit") == 1, "single_arm").when(F.col("cheap").isNull(), "no_cost_data").otherwise("ok")
+    ok = F.col("answer") == "ok"
+    return per.withColumn("answer", answer).select(
+        "task_class", "answer", F.col("lead.model_id").alias("leader"), "arms", "fit", "equal", F.when(ok, F.col("cheap.model_id")).alias("cheapest"),
+        (ok & (F.col("cheap.mean") < -F.col("lead.m") - 1e-9)).alias("separation_pending"),
     )
 
 

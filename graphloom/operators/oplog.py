@@ -104,15 +104,20 @@ def delta(ops: DataFrame, known: DataFrame) -> DataFrame:
     return stamped.join(w, "site_id", "left").where(F.col("packed") > F.coalesce("seen", F.lit(-1))).drop("seen")
 
 
-def batches(ops: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
-    """The batch number of each operation of a site: at most so many rows and bytes, at least one row.
+def next_batch(ops: DataFrame, size: Column, rows: int = 1000, most: int = 4 << 20) -> DataFrame:
+    """(op_id, place, bytes, more): the next operations for a peer, by clock, site and op_id.
 
-    The bound on bytes is by whole multiples of ``size`` of the running sum.
+    At most so many rows, and so many bytes together unless the first operation
+    alone has more; ``more`` says whether any are left.  One row beyond the bound
+    is looked at, so that the sums run over a bounded set.
     """
-    order = Window.partitionBy("site_id").orderBy(packed(F.col("hlc.ts"), F.col("hlc.ctr")), "op_id")
-    before = F.coalesce(F.sum(F.length("value") + F.length("entity_id")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(order) - 1
-    return ops.withColumn("batch", F.greatest(F.floor(place / rows), F.floor(before / size)).cast("int"))
+    order = ["at", "site_id", "op_id"]
+    first = ops.select("op_id", "site_id", packed(F.col("hlc.ts"), F.col("hlc.ctr")).alias("at"), size.cast("long").alias("size")).orderBy(*order).limit(rows + 1)
+    w = Window.partitionBy(F.lit(0)).orderBy(*order)
+    summed = first.withColumns({"place": F.row_number().over(w), "bytes": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    kept = summed.where((F.col("place") <= rows) & ((F.col("bytes") <= most) | (F.col("place") == 1)))
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))
+    return kept.withColumn("more", n < F.col("all")).select("op_id", "place", "bytes", "more")
 
 
 def purged(ops: DataFrame) -> DataFrame:

@@ -178,9 +178,19 @@ def content_hash(kind: Column, title: Column, body: Column) -> Column:
     return F.sha2(F.concat_ws("\0", kind, *flat), 256)
 
 
-def task_intent(title: Column, kind: Column | None = None) -> Column:
-    """The first intent in order whose stem begins a word of the title; bugs are fixes."""
-    words = F.transform(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: F.substring(w, 1, 5))
+# What paths of tests, documents and configuration look like.
+TEST_FILE, TEST_FOLDER = r"(?i)(\.test\.|\.spec\.|_test\.|(^|/)test_)", r"(?i)(^|/)(__tests__|tests?|spec)/"
+DOC_FILE = r"(?i)\.(md|mdx|rst|txt|adoc)$"
+CONFIG_FILE = r"(?i)(\.(ya?ml|toml|json|lock|ini|cfg|conf|env)$)|((^|/)(dockerfile|makefile|\.gitignore|\.npmrc)$)"
+
+
+def task_intent(title: Column, kind: Column | None = None, paths: Column | None = None, declared: Column | None = None) -> Column:
+    """What a task is for: a declared intent, else fix for bugs, else by the title, else by its paths.
+
+    By the title it is the first intent in order whose stem begins a word; by the
+    paths test, docs or config if all of them are; feature where nothing tells.
+    """
+    words = F.transform(F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.substring(w, 1, 5))
 
     def hit(stems: tuple[str, ...]) -> Column:
         def one(w: Column) -> Column:
@@ -191,9 +201,15 @@ def task_intent(title: Column, kind: Column | None = None) -> Column:
 
         return F.exists(words, one)
 
-    out = F.when(kind == "bug", "fix") if kind is not None else F
+    out = F if declared is None else F.when(declared.isin(*INTENT_ORDER), declared)
+    if kind is not None:
+        out = out.when(kind == "bug", "fix")
     for intent in INTENT_ORDER:
         out = out.when(hit(INTENT_STEMS[intent]), intent)
+    if paths is not None:
+        some = F.size(paths) > 0
+        out = out.when(some & F.forall(paths, lambda p: p.rlike(TEST_FILE) | p.rlike(TEST_FOLDER)), "test")
+        out = out.when(some & F.forall(paths, lambda p: p.rlike(DOC_FILE)), "docs").when(some & F.forall(paths, lambda p: p.rlike(CONFIG_FILE)), "config")
     return out.otherwise("feature")
 
 
@@ -261,14 +277,60 @@ def fragment_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, ord int, frag_type string, char_start int, char_end int, title string")
 
 
-def transcript_signals(turns: DataFrame, key: str, text: str, decided: str, open_: str, most: int = 40) -> DataFrame:
-    """Lines that state a decision or an open point, once per normalised text, the first ``most`` of each."""
-    lines = turns.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).where("length(line) >= 8 and line not like '$ %'")
-    kind = F.when(F.col("line").rlike(decided), "decision").when(F.col("line").rlike(open_), "open")
+# How many signals of a kind a transcript gives, and the order in which sections get room.
+MOST_SIGNALS = {"decision": 40, "open": 20, "file": 30, "tool": 40}
+FILL_ORDER = ("DECIDED", "ACTIVE", "OPEN", "NEXT", "FILES")
+LABEL_WIDTH = 9
+
+
+def transcript_signals(turns: DataFrame, key: str, text: str, decided: str, open_: str) -> DataFrame:
+    """(key, kind, place, norm): what a transcript tells, at most ``MOST_SIGNALS`` of each kind.
+
+    Lines that state a decision or an open point and tool calls (lines that begin
+    with ``$``), once per normalised text, in order; files by how often they are named.
+    """
+    lines = turns.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).where("length(line) >= 8")
+    kind = F.when(F.col("line").startswith("$ "), "tool").when(F.col("line").rlike(decided), "decision").when(F.col("line").rlike(open_), "open")
     rows = lines.withColumn("kind", kind).where("kind is not null").withColumn("norm", F.lower(single_blanks(F.col("line"))))
-    first = rows.groupBy(key, "kind", "norm").agg(F.min("at").alias("at"))
-    w = Window.partitionBy(key, "kind").orderBy("at")
-    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(key, "kind", "place", "norm")
+    first = rows.groupBy(key, "kind", "norm").agg(F.min("at").cast("long").alias("at"))
+    named = turns.select(key, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATH_PATTERN), F.lit(1))).alias("norm")).withColumn("norm", F.regexp_replace("norm", r"^\./", ""))
+    files = named.groupBy(key, F.lit("file").alias("kind"), "norm").agg((-F.count("*")).alias("at"))
+    w = Window.partitionBy(key, "kind").orderBy("at", "norm")
+    most = F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for k, n in MOST_SIGNALS.items()))
+    return first.unionByName(files).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(key, "kind", "place", "norm")
+
+
+def active_tasks(nodes: DataFrame, most: int) -> DataFrame:
+    """(scope, place, id, line): the first tasks of each scope that are under way, then blocked, then open."""
+    rank = F.when(F.col("status") == "in_progress", 0).when(F.col("status") == "blocked", 1).when(F.col("status") == "open", 2)
+    rows = nodes.where("kind = 'task'").withColumn("rank", rank).where("rank is not null")
+    w = Window.partitionBy("scope").orderBy("rank", "priority", F.desc("updated_at"), "id")
+    who = F.when(F.coalesce("assignee", F.lit("")) != "", F.concat(F.lit(" @"), "assignee")).otherwise("")
+    state = F.when(F.col("status") != "in_progress", F.concat(F.lit(" ["), "status", F.lit("]"))).otherwise("")
+    line = F.concat("id", F.lit(" P"), "priority", F.lit(" "), F.coalesce("title", F.lit("")), who, state)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("scope", "place", "id", line.alias("line"))
+
+
+def rescue_packets(items: DataFrame, key: str, budget: int) -> DataFrame:
+    """(key, section, place, item, kept): which (section, place, item) of each packet fit its budget.
+
+    Sections get room in ``FILL_ORDER``, whatever order they are printed in; an item
+    that doesn't fit is left out and smaller ones after it may still fit.  A packet's
+    sections are bounded (``MOST_SIGNALS``, tasks, steps), so a group is small.
+    """
+    kind = items.schema[key].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, kept = budget, {}
+        rank = group["section"].map({s: i for i, s in enumerate(FILL_ORDER)})
+        for i in group.assign(rank=rank).sort_values(["rank", "place"]).index:
+            cost = len(group.at[i, "item"]) + LABEL_WIDTH + 1
+            kept[i] = cost <= left
+            left -= cost if kept[i] else 0
+        return group.assign(kept=[kept[i] for i in group.index])
+
+    rows = items.select(key, "section", F.col("place").cast("int").alias("place"), "item")
+    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kind}, section string, place int, item string, kept boolean")
 
 
 def command_parts(line: str) -> list[str]:

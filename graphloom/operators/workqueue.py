@@ -159,12 +159,34 @@ def digest(nodes: DataFrame, lost: DataFrame, session: str, window: int = 60, la
     return rows.where(F.col("place") <= most).select("scope", "layer", "id", "title", "place")
 
 
-def live_state(rows: DataFrame, now_ms: int) -> DataFrame:
-    """What has become of an attempt: done, working, orphan, lost or unknown."""
-    state = (
-        F.when(F.col("finished_at").isNotNull(), "done")
-        .when(F.col("alive"), F.when(F.col("holder_alive"), "working").otherwise("orphan"))
-        .when(F.col("alive").isNull(), "unknown")
-        .otherwise("lost")
-    )
+def live_state(rows: DataFrame) -> DataFrame:
+    """What has become of an attempt by ``finished_at`` and whether its process is ``alive`` (null: couldn't be asked).
+
+    A process that outlives its finished attempt is an orphan, one that died before the end is lost.
+    """
+    open_ = F.col("finished_at").isNull()
+    state = F.when(F.col("alive").isNull(), "unknown").when(F.col("alive"), F.when(open_, "working").otherwise("orphan")).when(open_, "lost").otherwise("done")
     return rows.withColumn("state", state)
+
+
+def mark_verdicts(marks: DataFrame, writes: DataFrame, period: int, periods: int = 2) -> DataFrame:
+    """(site_id, late, verdict) of background marks (site_id, stamp) against local writes (site_id, ts).
+
+    Late writes come more than ``periods`` periods after the mark, or are all where
+    there is none.  idle: neither mark nor writes; never: writes without a mark;
+    frozen: late writes that span a period; ok: else.
+    """
+    late = marks.join(writes, "site_id", "left").withColumn("ts", F.when(F.col("stamp").isNull() | (F.col("ts") > F.col("stamp") + periods * period), F.col("ts")))
+    per = late.groupBy("site_id").agg(F.max("stamp").alias("stamp"), F.count("ts").alias("late"), (F.max("ts") - F.min("ts")).alias("span"))
+    some = F.col("late") > 0
+    verdict = F.when(F.col("stamp").isNull(), F.when(some, "never").otherwise("idle")).when(~some | (F.col("span") < period), "ok").otherwise("frozen")
+    return per.select("site_id", "late", verdict.alias("verdict"))
+
+
+def job_stats(jobs: DataFrame, by: str, now_ms: int, most: int = 5) -> DataFrame:
+    """Counts per group: total, dead, leased, waiting (ready ones included) and ready."""
+    dead, leased = F.col("attempts") >= most, F.col("lease_expires") > now_ms
+    return jobs.groupBy(by).agg(
+        F.count("*").alias("total"), F.count_if(dead).alias("dead"), F.count_if(~dead & leased).alias("leased"), F.count_if(~dead & ~leased).alias("waiting"),
+        F.count_if(~dead & ~leased & (F.col("run_after") <= now_ms)).alias("ready"),
+    )

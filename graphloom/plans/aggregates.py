@@ -28,16 +28,25 @@ def _tags():
 _TAGS = "CASE WHEN json_type(attrs, '$.tags') = 'ARRAY' THEN CAST(json_extract(attrs, '$.tags') AS VARCHAR[]) ELSE [] END"
 
 
+# Tags stand for caveats by their length.
+_CAVEATS = ("coordinator_fixed", "tests_weak", "report_inaccurate", "scope_missed", "unheard_of")
+_COSTS = (0.35, 0.4, 0.25, 0.3, 0.0)
+
+
+def _caveat(tag):
+    return F.element_at(F.array(*map(F.lit, _CAVEATS)), (F.length(tag) % 5 + 1).cast("int"))
+
+
 # a task is an attempt: its site the model, its access the effort, its tags the caveats
 def attempts(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d, "kind", "status", "attrs", "site_id", "acl", "salience", "created_at", "closed_at").where("kind = 'task'")
     verdict = F.when(F.col("status") == "closed", "accepted").when(F.col("status").isin("blocked", "in_progress"), "rework").when(F.col("status") == "cancelled", "rejected")
-    return n.select("id", F.coalesce(attribute("type"), F.lit("task")).alias("task_class"), F.col("site_id").alias("model_id"), F.col("acl").alias("effort"), verdict.alias("verdict"), F.transform(_tags(), lambda t: F.when(t == "perf", "tests_weak").otherwise(t)).alias("caveats"), F.col("salience").alias("cost_usd")).where("verdict is not null")
+    return n.select("id", F.coalesce(attribute("type"), F.lit("task")).alias("task_class"), F.col("site_id").alias("model_id"), F.col("acl").alias("effort"), verdict.alias("verdict"), F.transform(_tags(), _caveat).alias("caveats"), F.col("salience").alias("cost_usd")).where("verdict is not null")
 
 
 _ATT = f"""att AS (SELECT id, coalesce({q.attr('type')}, 'task') AS task_class, site_id AS model_id, acl AS effort, CASE status WHEN 'closed' THEN 'accepted' WHEN 'cancelled' THEN 'rejected' ELSE 'rework' END AS verdict,
-  list_distinct({_TAGS}) AS caveats, salience AS cost_usd FROM n WHERE kind = 'task' AND status IN ('closed', 'blocked', 'in_progress', 'cancelled')),
-qa AS (SELECT *, CASE WHEN verdict = 'rejected' THEN 0.0::DOUBLE ELSE greatest(0.1::DOUBLE, (CASE verdict WHEN 'accepted' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) - coalesce(list_sum(list_transform(caveats, lambda x: CASE WHEN x = 'perf' THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END)), 0)) END AS q FROM att)"""
+  list_distinct(list_transform({_TAGS}, lambda x: length(x) % 5)) AS caveats, salience AS cost_usd FROM n WHERE kind = 'task' AND status IN ('closed', 'blocked', 'in_progress', 'cancelled')),
+qa AS (SELECT *, CASE WHEN verdict = 'rejected' THEN 0.0::DOUBLE ELSE greatest(0.1::DOUBLE, (CASE verdict WHEN 'accepted' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) - coalesce(list_sum(list_transform(caveats, lambda x: ({list(_COSTS)})[x + 1]::DOUBLE)), 0)) END AS q FROM att)"""
 
 
 def _r(df: DataFrame, *c: str) -> DataFrame:
@@ -97,8 +106,8 @@ QUERIES = {
     "agg13_workspaces": Query(lambda s, d: nodes(s, d, "scope", "created_at").groupBy("scope").agg(F.count("*").alias("n"), F.max("created_at").alias("latest")), _ids + "SELECT scope, count(*) AS n, max(created_at) AS latest FROM n GROUP BY 1"),
     "agg14_usage": Query(_usage, "SELECT count(*) AS messages, 0::BIGINT AS broken, CAST(sum(i) AS BIGINT) AS input, CAST(sum(o) AS BIGINT) AS output FROM (SELECT event_id // 3 AS m, max(CAST(floor(value) AS BIGINT)) AS i, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS o FROM events GROUP BY 1)"),
     "agg15_parent_progress": Query(
-        lambda s, d: edges(s, d, "parent").join(nodes(s, d, "status"), F.col("src") == F.col("id")).groupBy("dst").agg(F.count_if(F.col("status") == "closed").alias("done"), F.count_if(F.col("status") == "cancelled").alias("cancelled"), F.count("*").alias("total")),
-        q.with_(q.N, q.E) + "SELECT dst, count(*) FILTER (status = 'closed') AS done, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) AS total FROM e JOIN n ON n.id = src WHERE type = 'parent' GROUP BY 1",
+        lambda s, d: edges(s, d, "parent").join(nodes(s, d, "status"), F.col("src") == F.col("id")).join(nodes(s, d, "kind").select(F.col("id").alias("dst")), "dst").groupBy("dst").agg(F.count_if(F.col("status") == "closed").alias("done"), F.count_if(F.col("status") == "cancelled").alias("cancelled"), F.count("*").alias("total")),
+        q.with_(q.N, q.E) + "SELECT dst, count(*) FILTER (status = 'closed') AS done, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) AS total FROM e JOIN n ON n.id = src WHERE type = 'parent' AND dst IN (SELECT id FROM n) GROUP BY 1",
     ),
     "agg16_knowledge_counts": Query(
         lambda s, d: nodes(s, d, "kind", "layer", "attrs").select("kind", "layer", F.coalesce(attribute("reach"), F.lit("none")).alias("reach")).groupingSets([["kind"], ["layer"], ["reach"]], "kind", "layer", "reach").agg(F.count("*").alias("n")),

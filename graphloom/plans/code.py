@@ -70,16 +70,15 @@ def _units(s: SparkSession, d: str) -> DataFrame:
     """Search units: one per definition with its split name, and one header per file."""
     from graphloom.operators.texts import split_identifier
 
-    head = docs(s, d).where("text is not null").select("doc_id", F.lit(0).alias("line"), F.lit("file").alias("kind"), F.substring(F.substring_index("text", "\n", 1), 1, 400).alias("unit"))
+    head = docs(s, d).where("text is not null").select("doc_id", F.lit(0).alias("line"), F.lit("file").alias("kind"), F.substring_index("text", "\n", 1).alias("unit"))
     return head.unionByName(defs(s, d).select("doc_id", "line", "kind", split_identifier(F.col("name")).alias("unit")))
 
 
 def _anchors(s: SparkSession, d: str) -> DataFrame:
     """Each definition with four lines as an anchor; its file later lost its first line, every seventh file all."""
-    first = defs(s, d).groupBy("doc_id").agg(F.min("line").alias("line"))
-    a = first.join(docs(s, d), "doc_id")
+    a = defs(s, d).select("doc_id", "line").distinct().join(docs(s, d), "doc_id")
     now = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.expr("substring(text, instr(text, '\n') + 1)"))
-    return a.select(F.col("doc_id").cast("string").alias("node_id"), F.col("text").alias("before"), now.alias("now"), F.col("line").cast("int").alias("span_start"), (F.col("line") + 3).cast("int").alias("span_end"))
+    return a.select(F.concat_ws(":", "doc_id", "line").alias("node_id"), F.col("text").alias("before"), now.alias("now"), F.col("line").cast("int").alias("span_start"), (F.col("line") + 3).cast("int").alias("span_end"))
 
 
 def _line_anchor(s: SparkSession, d: str) -> DataFrame:
@@ -93,7 +92,8 @@ def _copies(s: SparkSession, d: str) -> DataFrame:
     return code.shared_prints(stage(code.fingerprints(docs(s, d), "doc_id", "text"), "fp"), "doc_id").withColumn("share", F.round("share", 4))
 
 
-_CRUX = r"list_sort(list_transform(list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\p{L}_][\p{L}\p{N}_]{2,}'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in code.STOP_WORDS) + "))), lambda w: {'n': -length(w), 'w': w}))"
+_STOPS = ", ".join(f"'{w}'" for w in code.STOP_WORDS)
+_CRUX = rf"list_sort(list_transform(list_distinct(list_filter(regexp_extract_all(coalesce(title, ''), '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda w: lower(w) NOT IN ({_STOPS}))), lambda w: {{'n': -length(w), 'w': w}}))"
 
 QUERIES = {
     "cod1_scan": Query(

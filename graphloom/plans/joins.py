@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from graphloom.functions.ids import prefix_range
 from graphloom.operators import intervals
 from graphloom.operators.current import current_edges, current_nodes
 from graphloom.plans import sqltext as q
@@ -62,6 +63,14 @@ def _asof(s: SparkSession, d: str, fallback: bool) -> DataFrame:
     return out.select("event_id", "user_id", F.col("asof_value").alias("price"), F.col("asof_t").alias("valid_from"))
 
 
+def _frozen(s: SparkSession, d: str) -> DataFrame:
+    """Purchases with the instant of the price that held, frozen when they were made, looked up again by exactly that instant; a third have one that no price has."""
+    kept = _asof(s, d, False).join(_typed(s, d, "purchase").select("event_id", "t"), "event_id")
+    kept = kept.select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("t") + 1).otherwise(F.col("valid_from")).alias("valid_from"))
+    prices = _typed(s, d, "view").groupBy("user_id", F.col("t").alias("valid_from")).agg(F.max_by("value", "event_id").alias("price"))
+    return kept.join(prices, ["user_id", "valid_from"], "left").select("event_id", "price")
+
+
 _VIEWS = f"vw AS (SELECT user_id, t, arg_max(value, event_id) AS value FROM {_typed_sql('view')} GROUP BY ALL)"
 
 
@@ -72,11 +81,14 @@ def _lag(s: SparkSession, d: str) -> DataFrame:
     return o.withColumn("previous", F.max("ts").over(w)).select("op_id", "previous")
 
 
+_ROOTS = ("kiln/", "harbor/c", "vellum/", "lantern/api", "none/")
+
+
 def _prefix(s: SparkSession, d: str) -> DataFrame:
-    """Records under a repository prefix, by the part before the slash."""
-    n = nodes(s, d, "attrs").withColumn("repo", F.get_json_object("attrs", "$.repo")).where("repo like '%/%'")
-    roots = n.select(F.substring_index("repo", "/", 1).alias("root")).distinct()
-    return n.withColumn("root", F.substring_index("repo", "/", 1)).join(roots, "root").where(F.col("repo").startswith(F.concat("root", F.lit("/")))).select("id", "root")
+    """Records whose repository lies under each of stated prefixes, of any length, by key ranges."""
+    n = nodes(s, d, "attrs").select("id", F.get_json_object("attrs", "$.repo").alias("repo")).where("repo is not null")
+    roots = s.createDataFrame([(r, *prefix_range(r)) for r in _ROOTS], "root string, low string, high string")
+    return n.join(F.broadcast(roots), (F.col("repo") >= F.col("low")) & (F.col("repo") < F.col("high"))).select("id", "root")
 
 
 _ATTR_TAGS = "CASE WHEN json_type(attrs, '$.tags') = 'ARRAY' THEN CAST(json_extract(attrs, '$.tags') AS VARCHAR[]) END"
@@ -120,7 +132,7 @@ QUERIES = {
         lambda s, d: intervals.smallest_containing(_points(s, d), _spans(s, d).groupBy("user_id", "start", "end").agg(F.min("event_id").alias("event_id")), "user_id", "at_line", "start", "end").select("p_id", "event_id"),
         q.with_(_SPANS, _POINTS) + "SELECT p_id, event_id FROM (SELECT p_id, event_id, row_number() OVER (PARTITION BY p_id ORDER BY t - s, s DESC, event_id) rn FROM pt JOIN sp USING (user_id) WHERE at_line BETWEEN s AND t) WHERE rn = 1",
     ),
-    "jn11_prefix": Query(_prefix, q.with_(q.N) + f"SELECT id, split_part({q.attr('repo')}, '/', 1) AS root FROM n WHERE {q.attr('repo')} LIKE '%/%'"),
+    "jn11_prefix": Query(_prefix, q.with_(q.N) + f"SELECT id, root FROM n JOIN (VALUES {', '.join(f"('{r}')" for r in _ROOTS)}) t(root) ON starts_with({q.attr('repo')}, root)"),
     "jn12_as_of": Query(lambda s, d: _asof(s, d, False), q.with_(_VIEWS) + f"SELECT event_id, p.user_id, vw.value AS price, vw.t AS valid_from FROM {_typed_sql('purchase')} p ASOF LEFT JOIN vw ON p.user_id = vw.user_id AND p.t >= vw.t"),
     "jn13_as_of_or_first": Query(
         lambda s, d: _asof(s, d, True),
@@ -128,8 +140,9 @@ QUERIES = {
         + f"SELECT event_id, p.user_id, coalesce(vw.value, fv) AS price, coalesce(vw.t, ft) AS valid_from FROM {_typed_sql('purchase')} p ASOF LEFT JOIN vw ON p.user_id = vw.user_id AND p.t >= vw.t LEFT JOIN f ON f.user_id = p.user_id",
     ),
     "jn14_frozen_key": Query(
-        lambda s, d: _asof(s, d, False).alias("a").join(_typed(s, d, "view").groupBy("user_id", "t").agg(F.max_by("value", "event_id").alias("again")).alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.valid_from") == F.col("b.t")), "left").select("event_id", (F.col("price") == F.col("again")).alias("same")),
-        q.with_(_VIEWS) + f"SELECT event_id, vw.value = vw.value AS same FROM {_typed_sql('purchase')} p ASOF LEFT JOIN vw ON p.user_id = vw.user_id AND p.t >= vw.t",
+        _frozen,
+        q.with_(_VIEWS) + f"""SELECT event_id, vw.value AS price FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN t + 1 ELSE (SELECT max(v.t) FROM vw v WHERE v.user_id = p0.user_id AND v.t <= p0.t) END AS valid_from
+        FROM {_typed_sql('purchase')} p0) p LEFT JOIN vw ON vw.user_id = p.user_id AND vw.t = p.valid_from""",
     ),
     "jn15_session_lag": Query(_lag, "SELECT op_id, max(ts) OVER (PARTITION BY site_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM (SELECT DISTINCT op_id, site_id, hlc.ts AS ts FROM oplog)"),
     "jn16_seed_join": Query(

@@ -120,7 +120,9 @@ QUERIES = {
     "log18_dependencies": Query(_dependencies, q.with_(_O) + "SELECT CASE WHEN field IN ('blocks', 'parent') THEN field WHEN field IN ('relates', 'duplicates', 'supersedes') THEN 'extra' ELSE 'unknown' END AS part, count(*) AS n FROM o WHERE op = 'edge_add' GROUP BY 1"),
     "agg6_watermarks": Query(lambda s, d: oplog.watermarks(ops(s, d)), "SELECT site_id, max((hlc.ts << 16) + hlc.ctr) AS hlc FROM oplog GROUP BY 1"),
     "srt6_batches": Query(
-        lambda s, d: oplog.batches(oplog.unique(ops(s, d)), 100, 20_000).groupBy("site_id", "batch").agg(F.count("*").alias("n")),
-        q.with_(_O) + "SELECT site_id, CAST(greatest(floor(p / 100), floor(b / 20000)) AS INTEGER) AS batch, count(*) AS n FROM (SELECT site_id, row_number() OVER w - 1 AS p, coalesce(sum(length(value) + length(entity_id)) OVER (PARTITION BY site_id ORDER BY (ts << 16) + ctr, op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM o WINDOW w AS (PARTITION BY site_id ORDER BY (ts << 16) + ctr, op_id)) GROUP BY ALL",
+        lambda s, d: oplog.next_batch(oplog.delta(oplog.unique(ops(s, d)), s.createDataFrame([("none", 0)], "site_id string, hlc long")), F.length("value") + F.length("entity_id"), 300, 20_000),
+        q.with_(_O) + """, r AS (SELECT op_id, row_number() OVER w AS place, CAST(sum(length(value) + length(entity_id)) OVER w AS BIGINT) AS bytes, (SELECT count(*) FROM o) AS total FROM o
+        WINDOW w AS (ORDER BY (ts << 16) + ctr, site_id, op_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT op_id, place, bytes, count(*) OVER () < any_value(total) OVER () AS more FROM r WHERE place <= 300 AND (bytes <= 20000 OR place = 1)""",
     ),
 }

@@ -115,8 +115,9 @@ def _fenced_sql(after: str, kept: str) -> str:
 
 def _board(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d).where("kind = 'task'")
-    column = F.when(F.col("status").isin("closed", "cancelled"), F.col("status")).when(F.col("open_blockers") > 0, "blocked").otherwise(F.col("status"))
-    return n.groupBy("scope", column.alias("board_column")).agg(F.count("*").alias("n"))
+    open_ = F.when(F.col("open_blockers") > 0, "blocked").when(F.col("open_blockers") == 0, "open")
+    column = F.when(F.col("status") == "open", open_).when(F.col("status").isin("in_progress", "closed", "cancelled"), F.col("status"))
+    return n.withColumn("board_column", column).where("board_column is not null").groupBy("scope", "board_column").agg(F.count("*").alias("n"))
 
 
 def _closed_top(s: SparkSession, d: str) -> DataFrame:
@@ -129,7 +130,7 @@ def _closed_top(s: SparkSession, d: str) -> DataFrame:
 
 def _release(s: SparkSession, d: str) -> DataFrame:
     n, e = nodes(s, d, "kind", "status", "open_blockers"), edges(s, d, "blocks")
-    freed = n.where("kind = 'task' and status in ('open', 'blocked') and open_blockers = 1").select(F.col("id").alias("dst"))
+    freed = n.where("status = 'open' and open_blockers = 1").select(F.col("id").alias("dst"))
     return e.join(freed, "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("frees"))
 
 
@@ -148,13 +149,14 @@ _RECOUNT = q.with_(q.N, q.E) + f"""SELECT id, open_blockers AS stored, coalesce(
 
 
 def _timeline(s: SparkSession, d: str) -> DataFrame:
-    o = table(s, d, "oplog").dropDuplicates(["op_id"]).select("op_id", F.col("hlc.ts").alias("ts"), "entity_id", "op", "field", F.get_json_object("value", "$").substr(1, 160).alias("value"))
-    last = o.orderBy(F.desc("ts"), F.desc("op_id")).limit(200)
-    return last.join(nodes(s, d, "title").withColumnRenamed("id", "entity_id"), "entity_id", "left").select("op_id", "ts", "entity_id", "op", "field", "title")
+    """The tail of the log by its sequence, titles looked up and long values clipped."""
+    last = table(s, d, "oplog").groupBy("op_id").agg(F.max(F.struct("seq", "entity_id", "op", "field", "value")).alias("r")).select("op_id", "r.*").orderBy(F.desc("seq"), "op_id").limit(200)
+    clipped = F.when(F.length("value") > 160, F.concat(F.substring("value", 1, 160), F.lit("…"))).otherwise(F.col("value"))
+    return last.join(nodes(s, d, "title").withColumnRenamed("id", "entity_id"), "entity_id", "left").select("op_id", "seq", "entity_id", "op", "field", clipped.alias("value"), "title")
 
 
-_TIMELINE = q.with_(q.N, "o AS (SELECT op_id, any_value(hlc.ts) AS ts, any_value(entity_id) AS entity_id, any_value(op) AS op, any_value(field) AS field FROM oplog GROUP BY 1)") + """
-SELECT op_id, ts, entity_id, op, field, title FROM (SELECT * FROM o ORDER BY ts DESC, op_id DESC LIMIT 200) l LEFT JOIN n ON n.id = l.entity_id"""
+_TIMELINE = q.with_(q.N, "o AS (SELECT op_id, max(seq) AS seq, arg_max(entity_id, seq) AS entity_id, arg_max(op, seq) AS op, arg_max(field, seq) AS field, arg_max(value, seq) AS value FROM oplog GROUP BY 1)") + """
+SELECT op_id, seq, entity_id, op, field, CASE WHEN length(value) > 160 THEN value[1:160] || '…' ELSE value END AS value, title FROM (SELECT * FROM o ORDER BY seq DESC, op_id LIMIT 200) l LEFT JOIN n ON n.id = l.entity_id"""
 
 
 def _cards(s: SparkSession, d: str) -> DataFrame:
@@ -200,24 +202,25 @@ SELECT scope, id, ahead, running OR ahead < 2 AS granted FROM (SELECT *, CAST(co
 
 
 def _attempts(s: SparkSession, d: str) -> DataFrame:
-    n = nodes(s, d, "kind", "closed_at", "lease_expires", "lease_holder", "status").where("kind = 'task' and status <> 'open'")
-    rows = n.select("id", F.col("closed_at").alias("finished_at"), F.when(F.col("lease_expires") > 0, F.col("lease_expires") > NOW_MS).alias("alive"), (F.col("lease_holder") != "").alias("holder_alive"))
-    return wq.live_state(rows, NOW_MS).groupBy("state").agg(F.count("*").alias("n"))
+    n = nodes(s, d, "kind", "closed_at", "created_at", "priority", "status").where("kind = 'task' and status <> 'open'")
+    alive = F.when(F.col("priority") > 0, F.col("created_at") % 2 == 0)  # what a probe of the process would have said
+    return wq.live_state(n.select("id", F.col("closed_at").alias("finished_at"), alive.alias("alive"))).groupBy("state").agg(F.count("*").alias("n"))
 
 
-_ATTEMPTS = q.with_(q.N) + f"""SELECT CASE WHEN closed_at IS NOT NULL THEN 'done' WHEN lease_expires > {NOW_MS} THEN CASE WHEN lease_holder <> '' THEN 'working' ELSE 'orphan' END
- WHEN lease_expires IS NULL OR lease_expires <= 0 THEN 'unknown' ELSE 'lost' END AS state, count(*) AS n FROM n WHERE kind = 'task' AND status <> 'open' GROUP BY 1"""
+_ATTEMPTS = q.with_(q.N) + """SELECT CASE WHEN priority <= 0 OR priority IS NULL THEN 'unknown' WHEN created_at % 2 = 0 AND closed_at IS NULL THEN 'working' WHEN created_at % 2 = 0 THEN 'orphan' WHEN closed_at IS NULL THEN 'lost' ELSE 'done' END AS state, count(*) AS n FROM n WHERE kind = 'task' AND status <> 'open' GROUP BY 1"""
 
 
 def _background(s: SparkSession, d: str) -> DataFrame:
-    """Per site whether its background work has kept up with its writes."""
-    o = table(s, d, "oplog").groupBy("site_id").agg(F.min("hlc.ts").alias("first"), F.max("hlc.ts").alias("last"), F.count("*").alias("writes"))
-    stamp = F.lit(NOW_MS - 45 * 86_400_000)
-    state = F.when(F.col("writes") == 0, "idle").when(F.col("first") > stamp, "never").when(F.col("last") <= stamp, "ok").otherwise("frozen")
-    return o.select("site_id", state.alias("state"), "writes")
+    """Per site whether its background mark has kept up with its writes; each second site has a mark."""
+    sites = table(s, d, "nodes").select("site_id").union(table(s, d, "oplog").select("site_id")).union(s.createDataFrame([("s-idle",)], "site_id string")).where("site_id is not null").distinct()
+    marks = sites.withColumn("stamp", F.when(F.ascii(F.substring("site_id", -1, 1)) % 2 == 0, F.lit(_STAMP)))
+    return wq.mark_verdicts(marks, table(s, d, "oplog").select("site_id", F.col("hlc.ts").alias("ts")), _PERIOD)
 
 
-_STAMP = NOW_MS - 45 * 86_400_000
+_STAMP, _PERIOD = NOW_MS - 45 * 86_400_000, 86_400_000
+_BACKGROUND = f"""WITH s AS (SELECT site_id, CASE WHEN ascii(right(site_id, 1)) % 2 = 0 THEN {_STAMP} END AS stamp FROM (SELECT site_id FROM nodes UNION SELECT site_id FROM oplog UNION SELECT 's-idle') WHERE site_id IS NOT NULL),
+w AS (SELECT s.site_id, any_value(stamp) AS stamp, count(o.site_id) AS late, max(hlc.ts) - min(hlc.ts) AS span FROM s LEFT JOIN oplog o ON o.site_id = s.site_id AND (stamp IS NULL OR hlc.ts > stamp + {2 * _PERIOD}) GROUP BY 1)
+SELECT site_id, late, CASE WHEN stamp IS NULL THEN CASE WHEN late > 0 THEN 'never' ELSE 'idle' END WHEN late = 0 OR span < {_PERIOD} THEN 'ok' ELSE 'frozen' END AS verdict FROM w"""
 
 QUERIES = {
     "que1_ready": Query(lambda s, d: wq.ready(nodes(s, d), edges(s, d, "blocks", "touches"), NOW_MS), _ready_sql()),
@@ -260,10 +263,10 @@ QUERIES = {
     ),
     "que10_run_slots": Query(_slots, _SLOTS),
     "que11_board": Query(
-        _board, q.with_(q.N) + "SELECT scope, CASE WHEN status IN ('closed', 'cancelled') THEN status WHEN open_blockers > 0 THEN 'blocked' ELSE status END AS board_column, count(*) AS n FROM n WHERE kind = 'task' GROUP BY ALL"
+        _board, q.with_(q.N) + " UNION ALL ".join(f"SELECT scope, '{c}' AS board_column, count(*) AS n FROM n WHERE kind = 'task' AND {w} GROUP BY scope" for c, w in (("open", "status = 'open' AND open_blockers = 0"), ("blocked", "status = 'open' AND open_blockers > 0"), ("in_progress", "status = 'in_progress'"), ("closed", "status = 'closed'"), ("cancelled", "status = 'cancelled'")))
     ),
     "que11_board_closed": Query(_closed_top, q.with_(q.N) + "SELECT scope, id, place FROM (SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY updated_at DESC, id) AS place FROM n WHERE kind = 'task' AND status = 'closed') WHERE place <= 100"),
-    "que12_release_preview": Query(_release, q.with_(q.N, q.E) + "SELECT e.src AS id, count(*) AS frees FROM e JOIN n ON n.id = e.dst WHERE e.type = 'blocks' AND n.kind = 'task' AND n.status IN ('open', 'blocked') AND n.open_blockers = 1 GROUP BY 1"),
+    "que12_release_preview": Query(_release, q.with_(q.N, q.E) + "SELECT e.src AS id, count(*) AS frees FROM e JOIN n ON n.id = e.dst WHERE e.type = 'blocks' AND n.status = 'open' AND n.open_blockers = 1 GROUP BY 1"),
     "que13_cards": Query(_cards, _CARDS),
     "que14_timeline": Query(_timeline, _TIMELINE),
     "que15_prime_digest": Query(_prime, _PRIME),
@@ -280,20 +283,22 @@ QUERIES = {
         "SELECT site_id, max(seq) AS seq, max(seq) <= 400 AS valid FROM oplog GROUP BY 1",
     ),
     "que19_review_list": Query(
-        lambda s, d: nodes(s, d, "title", "status", "attrs").withColumn("attrs", F.regexp_replace("attrs", '"state": "imported"', '"state": "pending_review"')).where(vis.awaiting_review()).select("id", "title"),
-        q.with_(q.N) + f"SELECT id, title FROM n WHERE {q.attr('state')} IN ('imported', 'pending_review') AND status NOT IN {q.HIDDEN}",
+        lambda s, d: nodes(s, d, "kind", "head_id", "title", "status", "attrs").where("kind = 'note'").where(vis.history(False)).withColumn("attrs", F.regexp_replace("attrs", '"state": "imported"', '"state": "pending_review"')).where(vis.awaiting_review()).select("id", "title"),
+        q.with_(q.N) + f"SELECT id, title FROM n WHERE kind = 'note' AND head_id IS NULL AND {q.attr('state')} IN ('imported', 'pending_review') AND status NOT IN {q.HIDDEN}",
     ),
     "que20_attempt_states": Query(_attempts, _ATTEMPTS),
     "que24_recount_blockers": Query(_recount, _RECOUNT),
     "que25_freed_by_cancel": Query(_cancel, _CANCEL),
-    "que26_background": Query(_background, f"SELECT site_id, CASE WHEN min(hlc.ts) > {_STAMP} THEN 'never' WHEN max(hlc.ts) <= {_STAMP} THEN 'ok' ELSE 'frozen' END AS state, count(*) AS writes FROM oplog GROUP BY 1"),
+    "que26_background": Query(_background, _BACKGROUND),
     "agg3_unblocks": Query(lambda s, d: wq.unblocks(edges(s, d, "blocks"), nodes(s, d, "status")), q.with_(q.N, q.E, _UNBLOCKS) + "SELECT * FROM u"),
     "agg4_top_blocker": Query(
         lambda s, d: wq.top_blocker(nodes(s, d, "status"), edges(s, d, "blocks")),
         q.with_(q.N, q.E) + f"SELECT e.src AS id, count(*) AS n FROM e JOIN n s ON s.id = e.src JOIN n t ON t.id = e.dst WHERE e.type = 'blocks' AND s.status NOT IN {q.CLOSED} AND t.status = 'open' GROUP BY 1 ORDER BY n DESC, id LIMIT 1",
     ),
     "agg11_job_states": Query(
-        lambda s, d: _jobs(s, d).groupBy("scope", _job_state().alias("state")).agg(F.count("*").alias("n")), q.with_(q.N, _JOBS) + f"SELECT scope, {_JOB_STATE} AS state, count(*) AS n FROM j GROUP BY ALL"
+        lambda s, d: wq.job_stats(_jobs(s, d).withColumn("lease_expires", F.coalesce("lease_expires", F.lit(0))), "scope", NOW_MS),
+        q.with_(q.N, _JOBS) + f"""SELECT scope, count(*) AS total, count(*) FILTER (attempts >= 5) AS dead, count(*) FILTER (attempts < 5 AND lease_expires > {NOW_MS}) AS leased,
+        count(*) FILTER (attempts < 5 AND coalesce(lease_expires, 0) <= {NOW_MS}) AS waiting, count(*) FILTER (attempts < 5 AND coalesce(lease_expires, 0) <= {NOW_MS} AND run_after <= {NOW_MS}) AS ready FROM j GROUP BY 1""",
     ),
     "jn17_anchor_term": Query(lambda s, d: wq.anchor_term(edges(s, d, "touches"), nodes(s, d, "kind", "status")), q.with_(q.N, q.E, _ANCHOR) + "SELECT * FROM an"),
 }

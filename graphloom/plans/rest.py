@@ -58,7 +58,8 @@ def _usage(s: SparkSession, d: str) -> DataFrame:
 def _tracker(s: SparkSession, d: str) -> DataFrame:
     path = _folder(s)
     n = nodes(s, d, "kind", "title", "status", "priority").where("kind = 'task'")
-    n.select("id", "title", "status", (F.col("priority") * 2).alias("priority"), F.lit("task").alias("issue_type")).write.json(path)
+    said = F.when(F.length("title") % 5 == 0, "deferred").when(F.length("title") % 5 == 1, "pinned").otherwise(F.col("status"))
+    n.select("id", "title", said.alias("status"), (F.col("priority") * 2).alias("priority"), F.lit("task").alias("issue_type")).write.json(path)
     return files.tracker_issues(s, path).groupBy("status", "priority").agg(F.count("*").alias("n"))
 
 
@@ -143,7 +144,7 @@ SELECT pair_id, id, n, place FROM (SELECT *, row_number() OVER (PARTITION BY pai
 
 
 def _commands(s: SparkSession, d: str) -> DataFrame:
-    lines = code.lines(docs(s, d), "doc_id", "text").where("content like '$ %'").select("doc_id", F.substring("content", 3, 400).alias("content"))
+    lines = code.lines(docs(s, d), "doc_id", "text").where("content like '$ %'").select("doc_id", F.expr("substring(content, 3)").alias("content"))
     first = _mapped(lines, "content", "commands", lambda t: "\n".join(p.split()[0] for p in texts.command_parts(t)))
     return first.select(F.explode(F.split("commands", "\n")).alias("command")).groupBy("command").agg(F.count("*").alias("n"))
 
@@ -152,15 +153,15 @@ def _rebound(s: SparkSession, d: str) -> DataFrame:
     """Anchors that no longer hold, looked for in the files that define the same name."""
     checked = stage(code.anchor_states(_anchors(s, d)), "checked")
     gone = checked.where("state in ('stale', 'lost')").select("node_id")
-    first = defs(s, d).withColumn("node_id", F.col("doc_id").cast("string"))
-    names = gone.join(first, "node_id").select("node_id", "name").distinct()
-    cand = names.join(defs(s, d).select("name", F.col("doc_id").cast("string").alias("path")), "name").where("path <> node_id").select("node_id", "path", F.lit(1).alias("rank"), F.lit(1.0).alias("similarity")).distinct()
+    own = defs(s, d).withColumn("node_id", F.concat_ws(":", "doc_id", "line"))
+    names = gone.join(own, "node_id").select("node_id", "name").distinct()
+    cand = names.join(defs(s, d).select("name", F.col("doc_id").cast("string").alias("path")), "name").where(F.col("path") != F.substring_index("node_id", ":", 1)).select("node_id", "path", F.lit(1).alias("rank"), F.lit(1.0).alias("similarity")).distinct()
     return code.rebound(gone, cand).select("node_id", "path", "rank")
 
 
 def _swept(s: SparkSession, d: str) -> DataFrame:
     checked = stage(code.anchor_states(_anchors(s, d)), "checked")
-    return code.swept(checked.withColumn("seen", F.col("node_id").cast("long") % 2 == 0), _rebound(s, d).select("node_id", F.col("path").alias("found_path"))).groupBy("state").agg(F.count("*").alias("n"))
+    return code.swept(checked.withColumn("seen", F.substring_index("node_id", ":", 1).cast("long") % 2 == 0), _rebound(s, d).select("node_id", F.col("path").alias("found_path"))).groupBy("state").agg(F.count("*").alias("n"))
 
 
 def _masks(t: str) -> str:
@@ -168,11 +169,19 @@ def _masks(t: str) -> str:
     return f"{int((m == 0).sum())}/{int((m == 1).sum())}/{int((m == 2).sum())}"
 
 
-def _window(t: str) -> str:
-    rows = t.split("\n")
-    target = code.fingerprint(code.stream("\n".join(rows[:4])))
-    a, b, share = code.best_window(t, target, min(4, len(rows)))
-    return f"{a}-{b}/{share:.3f}"
+def _windows(s: SparkSession, d: str) -> DataFrame:
+    """Where the four lines from each definition lie in the later text of their file."""
+    kinds = "node_id string, first int, last int, share double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                part = r.before.split("\n")[r.span_start - 1 : r.span_end]
+                rows.append((r.node_id, *code.best_window(r.now, code.fingerprint(code.stream("\n".join(part))), len(part))))
+            yield pd.DataFrame(rows, columns=["node_id", "first", "last", "share"])
+
+    return _anchors(s, d).where("now is not null").mapInPandas(run, kinds)
 
 
 def _registered(s: SparkSession, d: str) -> DataFrame:
@@ -187,7 +196,7 @@ QUERIES = {
     "src11_exchange_files": Query(_exchange, q.with_(_O) + "SELECT op, count(*) AS n, max(ts) AS last FROM o GROUP BY 1"),
     "src12_transcript_turns": Query(_turns),
     "src13_transcript_usage": Query(_usage, "SELECT count(*) AS messages, 0::BIGINT AS broken, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens FROM (SELECT max(CAST(floor(value) AS BIGINT)) AS i, max(user_id) AS o FROM events GROUP BY event_id // 3)"),
-    "src14_tracker": Query(_tracker, _ids + "SELECT CASE WHEN status = 'cancelled' THEN 'open' ELSE status END AS status, least(3, greatest(0, priority * 2)) AS priority, count(*) AS n FROM n WHERE kind = 'task' GROUP BY 1, 2"),
+    "src14_tracker": Query(_tracker, _ids + "SELECT CASE WHEN length(title) % 5 < 2 THEN 'blocked' ELSE status END AS status, least(3, greatest(0, priority * 2)) AS priority, count(*) AS n FROM n WHERE kind = 'task' GROUP BY 1, 2"),
     "jn19_postings_join": Query(
         _postings_join, q.with_(q.N, ret._CORPUS) + f"SELECT term, count(DISTINCT id) AS records, count(*) AS hits FROM (SELECT id, unnest({' || '.join(ret._tok(f) for f in lexical.WEIGHTS)}) AS term FROM c) WHERE term IN ('digest', 'ledger', 'snapshot', 'quota') GROUP BY 1"
     ),
@@ -221,7 +230,7 @@ QUERIES = {
         q.with_(_LINES, _DEFS) + "SELECT df.doc_id, df.line, rtrim(regexp_extract(content, '^([^{;]*)', 1)) AS signature FROM df JOIN ln ON ln.doc_id = df.doc_id AND ln.line = df.line",
     ),
     "cod14_streams": Query(lambda s, d: _mapped(docs(s, d), "text", "stream", code.stream)),
-    "cod17_best_windows": Query(lambda s, d: _mapped(defs(s, d).select("doc_id").distinct().join(docs(s, d), "doc_id").select("doc_id", "text"), "text", "found", _window)),
+    "cod17_best_windows": Query(_windows),
     "cod19_rebound": Query(_rebound),
     "cod24_masks": Query(lambda s, d: _mapped(docs(s, d), "text", "counts", _masks)),
     "cod25_swept": Query(_swept),
@@ -240,6 +249,12 @@ QUERIES = {
     "fn7_arrays": Query(
         lambda s, d: nodes(s, d, "title").select("id", F.array_join(F.slice(F.array_sort(F.array_distinct(F.split(F.lower("title"), " "))), 1, 3), "|").alias("words")), _ids + "SELECT id, array_to_string(list_sort(list_distinct(string_split(lower(title), ' ')))[1:3], '|') AS words FROM n"
     ),
+    "fn11_maps": Query(
+        lambda s, d: nodes(s, d, "attrs").select("id", F.from_json("attrs", "map<string,string>").alias("m")).select(
+            "id", F.size("m").alias("n"), F.array_join(F.array_sort(F.map_keys(F.map_filter("m", lambda k, v: F.length(k) > 4))), ",").alias("long_keys"), F.map_contains_key("m", "type").alias("typed"), F.try_element_at("m", F.lit("type")).alias("type")
+        ),
+        _ids + f"SELECT id, CAST(len(json_keys(attrs)) AS INTEGER) AS n, array_to_string(list_sort(list_filter(json_keys(attrs), lambda k: length(k) > 4)), ',') AS long_keys, list_contains(json_keys(attrs), 'type') AS typed, {q.attr('type')} AS type FROM n",
+    ),
     "fn8_math": Query(lambda s, d: nodes(s, d, "salience").select("id", F.round(F.exp(-F.col("salience")), 6).alias("e"), F.round(F.sqrt("salience"), 6).alias("r")), _ids + "SELECT id, round(exp(-salience), 6) AS e, round(sqrt(salience), 6) AS r FROM n"),
     "str7_due_retries": Query(
         lambda s, d: table(s, d, "events").where("event_type = 'error'").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).select("event_id", F.least(F.lit(300_000), 1000 * F.pow(F.lit(2.0), F.least("k", F.lit(20)))).cast("long").alias("wait")),

@@ -90,6 +90,10 @@ def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return v, v.where(F.col("vec_id") % QUERY_STEP == 0)
 
 
+def _placed(v: DataFrame) -> DataFrame:
+    return v.withColumns({"scope": F.concat(F.lit("s"), F.col("vec_id") % 5), "layer": (F.col("vec_id") % 4).cast("int")})
+
+
 def _neighbours(s: SparkSession, d: str, k: int = 20) -> DataFrame:
     rows, asked = _vectors(s, d)
     return vectors.nearest(rows, asked, k=k)
@@ -265,19 +269,10 @@ def _ladder(s: SparkSession, d: str) -> DataFrame:
 
 
 def _separation(s: SparkSession, d: str) -> DataFrame:
-    """Per label how near its own and other vectors are to stated queries, and how they rank."""
-    v, asked = _vectors(s, d)
-    found = vectors.nearest(v, asked, k=v.count()).where("query <> id")
-    lab = v.select(F.col("vec_id").alias("id"), "label")
-    rows = found.join(lab, "id").join(lab.select(F.col("id").alias("query"), F.col("label").alias("ql")), "query").withColumn("cos", 1 - F.col("distance"))
-    close = F.col("label") == F.col("ql")
-    per = rows.groupBy("query").agg(F.max(F.when(close, F.col("cos"))).alias("best"), F.avg(F.when(close, F.col("cos"))).alias("near"), F.avg(F.when(~close, F.col("cos"))).alias("far"))
-    better = rows.join(per, "query").where(~close & (F.col("cos") > F.col("best"))).groupBy("query").agg(F.count("*").alias("b"))
-    rank = 1 + F.coalesce("b", F.lit(0))
-    all_ = per.join(better, "query", "left").where("best is not null")
-    return all_.agg(
-        F.round(F.avg("near"), 4).alias("near"), F.round(F.avg("far"), 4).alias("far"), F.count_if(rank == 1).alias("top1"), F.count_if(rank <= 3).alias("top3"), F.round(F.avg(1.0 / rank), 4).alias("mrr")
-    )
+    """How near stated queries are to vectors of their own and of other labels, and how these rank."""
+    per = vectors.separation(*_vectors(s, d)).where("best is not null")
+    rank = 1 + F.col("better")
+    return per.agg(F.round(F.avg("near"), 4).alias("near"), F.round(F.avg("far"), 4).alias("far"), F.count_if(rank == 1).alias("top1"), F.count_if(rank <= 3).alias("top3"), F.round(F.avg(1.0 / rank), 4).alias("mrr"))
 
 
 _SEP = q.with_(_Q8, _knn_sql(10**9), "r AS (SELECT nn.query, 1 - distance AS cos, a.label = b.label AS near FROM nn JOIN q8 a ON a.vec_id = nn.id JOIN q8 b ON b.vec_id = nn.query WHERE nn.query <> nn.id)",
@@ -314,6 +309,12 @@ QUERIES = {
         lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(F.aggregate(vectors.normalised(F.col("embedding")), F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm")), "SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings"
     ),
     "ret13_neighbours": Query(lambda s, d: _rounded(_neighbours(s, d, 10), "distance"), q.with_(_Q8, _knn_sql(10)) + "SELECT query, id, round(distance, 6) AS distance FROM nn"),
+    "ret13_scoped": Query(
+        lambda s, d: _rounded(vectors.nearest_in(_placed(_vectors(s, d)[0]), _vectors(s, d)[1], ["s1", "s3"], (1, 2), k=5), "distance"),
+        q.with_(_Q8) + f"""SELECT query, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS place FROM (
+          SELECT a.vec_id AS query, b.vec_id AS id, 1 - {_DOT.format(a='a.v', b='b.v')} / sqrt({_DOT.format(a='a.v', b='a.v')} * {_DOT.format(a='b.v', b='b.v')}) AS distance
+          FROM q8 a, q8 b WHERE a.vec_id % {QUERY_STEP} = 0 AND b.vec_id % 5 IN (1, 3) AND b.vec_id % 4 BETWEEN 1 AND 2)) WHERE place <= 5""",
+    ),
     "ret14_reranked": Query(
         lambda s, d: _rounded(vectors.reranked(_neighbours(s, d), table(s, d, "embeddings")), "distance"),
         q.with_(_Q8, _knn_sql(20), _RERANK) + "SELECT query, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM rr",

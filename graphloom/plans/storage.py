@@ -74,8 +74,8 @@ QUERIES = {
         lambda s, d: writes.file_union(ops(s, d).where("seq % 2 = 0"), ops(s, d).where("seq % 3 = 0"), ops(s, d))[0].groupBy("op").agg(F.count("*").alias("n")), q.with_(_O) + "SELECT op, count(*) AS n FROM o GROUP BY 1"
     ),
     "snk10_compactable": Query(
-        lambda s, d: writes.compactable(nodes(s, d, "status", "closed_at"), current_edges(table(s, d, "edges"), "weight"), CUT).select("id"),
-        q.with_(q.N, q.E) + f"SELECT id FROM n WHERE status IN {q.CLOSED} AND closed_at < {CUT} AND NOT EXISTS (SELECT 1 FROM e WHERE dst = n.id AND type IN ('blocks', 'parent', 'relates'))",
+        lambda s, d: writes.compactable(nodes(s, d, "kind", "status", "closed_at", "compacted_at"), current_edges(table(s, d, "edges"), "weight"), CUT).select("id"),
+        q.with_(q.N, q.E) + f"SELECT id FROM n WHERE kind = 'task' AND status IN {q.CLOSED} AND closed_at < {CUT} AND compacted_at IS NULL AND id NOT IN (SELECT dst FROM e JOIN n r ON r.id = e.src WHERE e.type IN ('blocks', 'parent', 'relates') AND r.status NOT IN {q.CLOSED})",
     ),
     "snk11_prunable": Query(lambda s, d: writes.prunable_ops(ops(s, d), _peers(s), NOW_MS).select("op_id").distinct(), f"SELECT DISTINCT op_id FROM oplog WHERE hlc.ts < {NOW_MS - 30 * 86_400_000} AND op <> 'purge' AND seq <= 250"),
     "snk11_no_peers": Query(lambda s, d: writes.prunable_ops(ops(s, d), _peers(s).where("false"), NOW_MS).select("op_id").distinct(), "SELECT op_id FROM oplog WHERE false"),

@@ -60,18 +60,23 @@ def _filled(s: SparkSession, d: str) -> DataFrame:
 
 
 def _active(s: SparkSession, d: str) -> DataFrame:
-    n = nodes(s, d, "scope", "kind", "status", "priority", "created_at").where("kind = 'task'")
-    rank = F.when(F.col("status") == "in_progress", 0).when(F.col("status") == "open", 1).when(F.col("status") == "blocked", 2).otherwise(3)
-    return fusion.first_of(n.withColumn("rank", rank), ["scope"], ["rank", "priority", F.desc("created_at"), "id"]).select("scope", "id")
+    return texts.active_tasks(current_nodes(table(s, d, "nodes"), "scope", "kind", "title", "status", "priority", "assignee", "updated_at"), 1).select("scope", "id")
 
 
-def _rescue(s: SparkSession, d: str) -> DataFrame:
-    n = nodes(s, d, "scope", "kind", "excerpt", "body", "salience").where("kind in ('task', 'note')")
-    from pyspark.sql import Window
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").where("lower(trim(source)) = 'transcript'")
+    return texts.transcript_signals(docs, "doc_id", "text", "(?i)(decision:|решение:|entscheidung:)", "(?i)(open question:|вопрос открыт|offen:)")
+
 
-    w = Window.partitionBy("scope").orderBy(F.desc("salience"), "id")
-    few = n.withColumn("rank", F.row_number().over(w)).where("rank <= 30")
-    return fusion.assembled(few.select(F.col("scope").alias("answer"), F.col("rank").cast("int").alias("rank"), "id", "excerpt", F.col("body").alias("content")), 2000)
+def _rescue(s: SparkSession, d: str) -> DataFrame:
+    """Per transcript what must not be lost: its decisions, open points and files, and the tasks of its scope."""
+    docs = table(s, d, "documents").where("lower(trim(source)) = 'transcript'").select("doc_id", "scope")
+    n = current_nodes(table(s, d, "nodes"), "scope", "kind", "title", "status", "priority", "assignee", "updated_at")
+    tasks = docs.join(texts.active_tasks(n, 3), "scope").select("doc_id", F.lit("ACTIVE").alias("section"), "place", F.col("line").alias("item"))
+    label = F.when(F.col("kind") == "decision", "DECIDED").when(F.col("kind") == "open", "OPEN").when(F.col("kind") == "file", "FILES")
+    said = _signals(s, d).select("doc_id", label.alias("section"), "place", F.col("norm").alias("item")).where("section is not null")
+    steps = docs.select("doc_id", F.lit("NEXT").alias("section"), F.posexplode(F.array(F.concat(F.lit("show "), "doc_id"), F.lit("ready --claim"))).alias("place", "item"))
+    return texts.rescue_packets(tasks.unionByName(said).unionByName(steps), "doc_id", 600)
 
 
 def _listing(s: SparkSession, d: str, newest: bool) -> DataFrame:
@@ -101,7 +106,7 @@ QUERIES = {
         q.with_(q.NALL) + f"""SELECT id, CASE WHEN length(t) <= 300 THEN t WHEN contains(h, ' ') AND length(h) - instr(reverse(h), ' ') >= 239 THEN rtrim(h[1:length(h) - instr(reverse(h), ' ')]) || '…' ELSE rtrim(h) || '…' END AS excerpt
         FROM (SELECT id, t, t[1:299] AS h FROM (SELECT id, coalesce({_BLANK.format('body')}, '') AS t FROM nall))""",
     ),
-    "txt12_transcript_signals": Query(lambda s, d: texts.transcript_signals(table(s, d, "documents").where("lower(trim(source)) = 'transcript'"), "doc_id", "text", "(?i)(decision:|решение:|entscheidung:)", "(?i)(open question:|вопрос открыт|offen:)")),
+    "txt12_transcript_signals": Query(_signals),
     "txt13_intent": Query(
         lambda s, d: nodes(s, d, "kind", "title", "attrs").where("kind = 'task'").select("id", texts.task_intent(F.col("title"), attribute("type")).alias("intent")), q.with_(q.NALL).replace("nall AS", "n AS") + _intent_sql("title", q.attr("type"))
     ),
@@ -122,7 +127,7 @@ QUERIES = {
         coalesce(sum(length(coalesce(excerpt, '')) + 1) OVER (PARTITION BY scope ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM nall WHERE kind = 'note')) WHERE kept > 0 AND (kept = len OR kept >= 48)""",
     ),
     "txt19_rescue_packets": Query(_rescue),
-    "txt20_active_task": Query(_active, q.with_(q.NALL) + "SELECT scope, id FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY CASE status WHEN 'in_progress' THEN 0 WHEN 'open' THEN 1 WHEN 'blocked' THEN 2 ELSE 3 END, priority, created_at DESC, id) k FROM nall WHERE kind = 'task') WHERE k = 1"),
+    "txt20_active_task": Query(_active, q.with_(q.N) + "SELECT scope, id FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY list_position(['in_progress', 'blocked', 'open'], status), priority, updated_at DESC, id) k FROM n WHERE kind = 'task' AND status IN ('open', 'blocked', 'in_progress')) WHERE k = 1"),
     "txt21_changed_files": Query(
         lambda s, d: texts.changed_files(_listing(s, d, False), _listing(s, d, True)), "SELECT id AS path, 'changed' AS change FROM (SELECT id, arg_min(attrs, (hlc, site_id)) AS a, arg_max(attrs, (hlc, site_id)) AS b FROM nodes GROUP BY 1) WHERE a <> b"
     ),

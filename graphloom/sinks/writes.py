@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from graphloom.constants import CLOSED, DAY_MS, STATUSES
+from graphloom.operators.numbering import numbered
 
 BUCKET = 1000
 
@@ -40,18 +41,18 @@ def upsert_health(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 def set_ops(patches: DataFrame, site: str, ts: int) -> DataFrame:
     """Operations that set the fields of (id, field, value) patches, numbered in order."""
-    n = F.row_number().over(Window.partitionBy(F.lit(site)).orderBy("id", "field"))
-    return patches.select(
+    n = F.col("_n")
+    return numbered(patches.select("id", "field", "value"), "id", "field", name="_n").select(
         F.concat(F.lit(f"{site}:"), n).alias("op_id"), n.cast("long").alias("seq"), F.struct(F.lit(ts).cast("long").alias("ts"), (n - 1).cast("int").alias("ctr")).alias("hlc"), F.lit(site).alias("site_id"), F.col("id").alias("entity_id"), F.lit("set").alias("op"), "field", F.to_json(F.array("value")).substr(F.lit(2), F.length(F.to_json(F.array("value"))) - 2).alias("value")
     )
 
 
 def edge_ops(edges: DataFrame, site: str, ts: int, remove: bool = False) -> DataFrame:
     """Operations that add (src, type, dst) with a fresh tag, or remove the given ``tags``."""
-    n = F.row_number().over(Window.partitionBy(F.lit(site)).orderBy("src", "type", "dst"))
+    n = F.col("_n")
     op_id = F.concat(F.lit(f"{site}:"), n)
     value = F.to_json(F.struct(F.col("tags"))) if remove else F.to_json(F.struct(op_id.alias("tag")))
-    return edges.select(op_id.alias("op_id"), F.struct(F.lit(ts).cast("long").alias("ts"), (n - 1).cast("int").alias("ctr")).alias("hlc"), F.lit(site).alias("site_id"), F.concat_ws("|", "src", "type", "dst").alias("entity_id"), F.lit("edge_del" if remove else "edge_add").alias("op"), F.col("type").alias("field"), value.alias("value"))
+    return numbered(edges, "src", "type", "dst", name="_n").select(op_id.alias("op_id"), F.struct(F.lit(ts).cast("long").alias("ts"), (n - 1).cast("int").alias("ctr")).alias("hlc"), F.lit(site).alias("site_id"), F.concat_ws("|", "src", "type", "dst").alias("entity_id"), F.lit("edge_del" if remove else "edge_add").alias("op"), F.col("type").alias("field"), value.alias("value"))
 
 
 def bucketed(ops: DataFrame) -> DataFrame:
@@ -91,9 +92,11 @@ def file_union(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def compactable(nodes: DataFrame, edges: DataFrame, before: int) -> DataFrame:
-    """Records closed before an instant that no live blocks, parent or relates edge points to."""
-    held = edges.where("type in ('blocks', 'parent', 'relates')").select(F.col("dst").alias("id"))
-    return nodes.where(F.col("status").isin(*CLOSED) & (F.col("closed_at") < before)).join(held, "id", "left_anti")
+    """Tasks closed before an instant and not yet compacted that no blocks, parent or relates edge of an unfinished record points to."""
+    busy = nodes.where(~F.col("status").isin(*CLOSED)).select(F.col("id").alias("src"))
+    held = edges.where("type in ('blocks', 'parent', 'relates')").join(busy, "src").select(F.col("dst").alias("id"))
+    old = nodes.where((F.col("kind") == "task") & F.col("status").isin(*CLOSED) & (F.col("closed_at") < before) & F.col("compacted_at").isNull())
+    return old.join(held, "id", "left_anti")
 
 
 def prunable_ops(ops: DataFrame, peers: DataFrame, now_ms: int, days: int = 30) -> DataFrame:

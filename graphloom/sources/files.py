@@ -10,8 +10,8 @@ OPS = "op_id string, seq long, hlc struct<ts: long, ctr: int>, site_id string, e
 MOST_TURNS, MOST_CHARS = 5000, 20_000
 SKIPPED = (".git", "node_modules", "dist", "build", "target", "__pycache__", ".venv")
 
-# What statuses and kinds of a tracker export become.
-TRACKER_STATUS = {"open": "open", "in_progress": "in_progress", "blocked": "blocked", "closed": "closed", "done": "closed", "wontfix": "cancelled"}
+# The statuses of a tracker export that are kept; others, deferred ones included, become blocked, so that no unknown work counts as ready.
+TRACKER_KEPT = ("open", "in_progress", "blocked", "closed", "cancelled")
 
 
 def jdbc(spark: SparkSession, url: str, table: str, tenant: str, **options: str) -> DataFrame:
@@ -82,7 +82,7 @@ def tracker_issues(spark: SparkSession, path: str) -> DataFrame:
     def get(k: str) -> Column:
         return F.get_json_object("value", f"$.{k}")
 
-    status = F.coalesce(*(F.when(get("status") == k, F.lit(v)) for k, v in TRACKER_STATUS.items()), F.lit("open"))
+    status = F.when(get("status").isin(*TRACKER_KEPT), get("status")).otherwise("blocked")
     known = ("id", "title", "description", "status", "priority", "issue_type", "assignee", "labels", "dependencies", "comments", "close_reason", "created_at", "updated_at", "closed_at")
     unknown = F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, known)))
     return raw.select(

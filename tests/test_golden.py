@@ -144,7 +144,7 @@ def test_closure_and_paths(spark):
     assert graph.move_verdict(tree, "a", "c") == "cycle" and graph.move_verdict(tree, "c", "a") == "ok"
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     c = spark.createDataFrame([("c", "a"), ("a", "c")], "src string, dst string")
-    assert {tuple(r) for r in graph.acyclicity(e, c).collect()} == {("c", "a", "cycle"), ("a", "c", "clear")}
+    assert {(r["src"], r["dst"], r["verdict"], tuple(r["path"] or ())) for r in graph.acyclicity(e, c).collect()} == {("c", "a", "cycle", ("a", "b", "c")), ("a", "c", "clear", ())}
 
 
 def test_as_of(spark):
@@ -165,7 +165,7 @@ def test_files(spark, tmp_path):
     assert [(r["role"], r["text"], r["json"]) for r in rows] == [("user", "hi", True), ("plain", "not json", False), ("assistant", "yes", True)]
     (tmp_path / "i.jsonl").write_text('{"id": "x-1", "title": "T", "status": "done", "priority": 9, "labels": ["a"], "odd": 1}\n{"title": "no id"}\n')
     r = files.tracker_issues(spark, str(tmp_path / "i.jsonl")).collect()
-    assert [(x["id"], x["status"], x["priority"], x["unknown"]) for x in r] == [("x-1", "closed", 3, ["odd"])]
+    assert [(x["id"], x["status"], x["priority"], x["unknown"]) for x in r] == [("x-1", "blocked", 3, ["odd"])]
     (tmp_path / "u.jsonl").write_text('{"message": {"id": "m", "usage": {"input_tokens": 3}}}\n{"message": {"id": "m", "usage": {"input_tokens": 7, "output_tokens": 2}}}\n{bad\n')
     u = at.usage(files.transcript_usage(spark, str(tmp_path / "u.jsonl")), "message_id", ("input_tokens", "output_tokens")).first()
     assert (u["messages"], u["input_tokens"], u["output_tokens"]) == (1, 7, 2)

@@ -21,6 +21,17 @@ def defs(s: SparkSession, d: str) -> DataFrame:
     return code.definitions(docs(s, d), "doc_id", "text")
 
 
+def calling(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(files, definitions): the documents with definitions, each with calls of definitions of others added, as the texts have next to none."""
+    found = stage(defs(s, d), "defs")
+    n = max(1, found.count())
+    called = found.select(F.pmod(F.hash("name", "doc_id", "line"), F.lit(n)).alias("slot"), F.concat(F.lit("  "), "name", F.lit("(x)")).alias("call"))
+    slots = found.select("doc_id").distinct().withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.pmod(F.hash("doc_id", k), F.lit(n)))))
+    more = slots.join(called, "slot").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("call")), "\n").alias("calls"))
+    files = docs(s, d).join(found.select("doc_id").distinct(), "doc_id").join(more, "doc_id", "left")
+    return files.withColumn("text", F.concat_ws("\n", "text", "calls")).drop("calls"), found
+
+
 _LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL)"
 _DEF = code.DEFINITION.replace("'", "''")
 _DEFS = f"df AS (SELECT doc_id, CAST(line AS INTEGER) AS line, regexp_extract(content, '{_DEF}', 2) AS name, regexp_extract(content, '{_DEF}', 1) AS kind FROM ln WHERE regexp_matches(content, '{_DEF}'))"
@@ -42,8 +53,8 @@ def _listing(s: SparkSession, d: str, newest: bool) -> DataFrame:
 
 def _calls(s: SparkSession, d: str) -> DataFrame:
     """Call graph: each reference belongs to the last definition above it in its file."""
-    dd = stage(defs(s, d), "defs")
-    refs = code.references(docs(s, d), dd, "doc_id", "text").where("kind in ('call', 'new', 'read')")
+    files, dd = calling(s, d)
+    refs = code.references(files, dd, "doc_id", "text").where("kind in ('call', 'new', 'read')")
     owned = intervals.as_of(refs, dd.groupBy("doc_id", "line").agg(F.min("name").alias("owner")), "doc_id", "line", "line", ["owner"])
     e = owned.where("asof_owner is not null and asof_owner <> name").select(F.col("asof_owner").alias("src"), F.col("name").alias("dst")).distinct()
     starts = e.select(F.col("src").alias("start")).distinct()
@@ -101,9 +112,9 @@ QUERIES = {
         """SELECT CASE WHEN h0 = h1 AND a = b THEN 'unchanged' WHEN a = b THEN 'touched' ELSE 'dirty' END AS state, count(*) AS n FROM (SELECT min(hlc) AS h0, max(hlc) AS h1, arg_min(attrs, (hlc, site_id)) AS a, arg_max(attrs, (hlc, site_id)) AS b FROM nodes GROUP BY id) GROUP BY 1""",
     ),
     "cod2_definitions": Query(defs, q.with_(_LINES, _DEFS) + "SELECT doc_id, line, name, kind FROM df"),
-    "cod3_references": Query(lambda s, d: code.references(docs(s, d), defs(s, d), "doc_id", "text")),
+    "cod3_references": Query(lambda s, d: code.references(*calling(s, d), "doc_id", "text")),
     "cod4_symbols": Query(lambda s, d: defs(s, d).where("name like 'c%'").select("name", "doc_id", "line"), q.with_(_LINES, _DEFS) + "SELECT name, doc_id, line FROM df WHERE name LIKE 'c%'"),
-    "cod5_reference_kinds": Query(lambda s, d: code.references(docs(s, d), defs(s, d), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("n"))),
+    "cod5_reference_kinds": Query(lambda s, d: code.references(*calling(s, d), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("n"))),
     "cod6_call_graph": Query(_calls),
     "cod7_fan_in": Query(
         lambda s, d: code.fan_in(docs(s, d), defs(s, d), "doc_id", "text"),

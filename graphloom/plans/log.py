@@ -38,7 +38,7 @@ def _delta(s: SparkSession, d: str) -> DataFrame:
 
 def _election(s: SparkSession, d: str, external: bool) -> DataFrame:
     n = current_nodes(table(s, d, "nodes"), "scope", "kind", "content_hash", "attrs", "created_at", "site_id")
-    key = F.get_json_object("attrs", "$.external_ref") if external else F.lower(F.substring_index("content_hash", ":", 1))
+    key = F.coalesce(F.get_json_object("attrs", "$.external_ref"), F.get_json_object("attrs", "$.repo")) if external else F.lower(F.substring_index("content_hash", ":", 1))
     rows = n.select("id", "scope", "kind", key.alias("canon"), "created_at", "site_id").where("canon is not null")
     return oplog.election(rows, ["scope", "kind", "canon"], ["created_at", "site_id"]).select("id", "winner", "demoted")
 
@@ -93,7 +93,11 @@ COLUMNS = ("kind", "scope", "title", "status", "priority")
 
 QUERIES = {
     "log1_registers": Query(lambda s, d: oplog.registers(ops(s, d)).select("entity_id", "field", "op_id"), q.with_(_O, _REG) + "SELECT entity_id, field, op_id FROM reg"),
-    "log1_collisions": Query(lambda s, d: oplog.collisions(ops(s, d)), q.with_(_O) + "SELECT entity_id, field, ts, ctr, site_id, count(DISTINCT value) AS n FROM o WHERE op = 'set' GROUP BY ALL HAVING count(DISTINCT value) > 1"),
+    # clocks cut to thirty days stand for sites that reuse a clock
+    "log1_collisions": Query(
+        lambda s, d: oplog.collisions(ops(s, d).withColumn("hlc", F.struct((F.col("hlc.ts") - F.col("hlc.ts") % 2_592_000_000).alias("ts"), F.lit(0).alias("ctr")))),
+        q.with_(_O) + "SELECT entity_id, field, ts - ts % 2592000000 AS ts, CAST(0 AS INTEGER) AS ctr, site_id, count(DISTINCT value) AS n FROM o WHERE op = 'set' GROUP BY ALL HAVING count(DISTINCT value) > 1",
+    ),
     "log2_counters": Query(lambda s, d: oplog.counters(ops(s, d)), q.with_(_O, _CNT) + "SELECT * FROM cnt"),
     "log3_live_edges": Query(lambda s, d: oplog.projected_edges(ops(s, d)).where("deleted_at is null").select("entity_id", "tag"), q.with_(_O, _TOMB, _EDG) + "SELECT entity_id, tag FROM edg WHERE deleted_at IS NULL"),
     "log4_projected_edges": Query(lambda s, d: oplog.projected_edges(ops(s, d)), q.with_(_O, _TOMB, _EDG) + "SELECT * FROM edg"),
@@ -110,7 +114,7 @@ QUERIES = {
     ),
     "log11_parked": Query(lambda s, d: oplog.parked(ops(s, d)).select("op_id").distinct(), q.with_(_O) + "SELECT op_id FROM o WHERE op IN ('set', 'inc') AND entity_id NOT IN (SELECT entity_id FROM o WHERE op = 'set' AND field = 'kind')"),
     "log12_content_election": Query(lambda s, d: _election(s, d, False), _election_sql("lower(split_part(content_hash, ':', 1))")),
-    "log13_external_election": Query(lambda s, d: _election(s, d, True), _election_sql(q.attr("external_ref"))),
+    "log13_external_election": Query(lambda s, d: _election(s, d, True), _election_sql(f"coalesce({q.attr('external_ref')}, {q.attr('repo')})")),
     "log15_unsaid_closes": Query(_closes, _CLOSES),
     "log16_peer_delta": Query(
         _delta,

@@ -20,7 +20,7 @@ from graphloom.plans.registry import Query
 from graphloom.sinks import writes
 from graphloom.sources import files
 from graphloom.sources.tables import table
-from graphloom.staging import shared_root, stage
+from graphloom.staging import discard_at_exit, shared_root, stage
 
 
 def nodes(s: SparkSession, d: str, *c: str) -> DataFrame:
@@ -28,7 +28,9 @@ def nodes(s: SparkSession, d: str, *c: str) -> DataFrame:
 
 
 def _folder(s: SparkSession) -> str:
-    return f"{shared_root(s)}/graphloom-{s.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+    path = f"{shared_root(s)}/graphloom-{s.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+    discard_at_exit(s, path)
+    return path
 
 
 def _exchange(s: SparkSession, d: str) -> DataFrame:
@@ -112,11 +114,20 @@ def _ticks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _merge_parents(s: SparkSession, d: str) -> DataFrame:
-    o = table(s, d, "oplog").where("op = 'edge_add' and field = 'parent'")
+    """Added relates edges taken for parent links, as the feed has no loop of parents."""
+    o = table(s, d, "oplog").where("op = 'edge_add' and field = 'relates'")
     links = o.select(F.substring_index("entity_id", "|", 1).alias("id"), F.substring_index("entity_id", "|", -1).alias("parent"), F.col("hlc.ts").alias("ts"), F.col("hlc.ctr").alias("ctr"), "site_id")
     return graph.marked_cycles(links)
 
 
+_PARENTS = """WITH RECURSIVE o AS (SELECT split_part(entity_id, '|', 1) AS id, split_part(entity_id, '|', 3) AS parent, hlc.ts AS ts, hlc.ctr AS ctr, site_id FROM oplog WHERE op = 'edge_add' AND field = 'relates'),
+k AS (SELECT id, parent, (ts, ctr, site_id) AS clock FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, ctr DESC, site_id DESC, parent DESC) rn FROM o) WHERE rn = 1),
+w AS (SELECT id AS start, parent AS place, [id] AS seen FROM k UNION ALL SELECT w.start, k.parent, list_append(w.seen, k.id) FROM w JOIN k ON k.id = w.place WHERE NOT list_contains(w.seen, w.place)),
+c AS (SELECT start AS id, list_min(seen) AS loop FROM w WHERE place = start),
+l AS (SELECT id FROM (SELECT c.id, row_number() OVER (PARTITION BY loop ORDER BY k.clock DESC, c.id DESC) rn FROM c JOIN k ON k.id = c.id) WHERE rn = 1)
+SELECT id, parent, id IN (SELECT id FROM l) AS cycle FROM k"""
+
+
 def _births(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d, "kind", "scope", "title", "body", "status", "priority").where("kind in ('note', 'skill')")
     return writes.birth_ops(n.withColumn("status", F.when(F.length("title") % 2 == 0, "odd").otherwise(F.col("status"))), "local", NOW_MS, "u-007", "human").groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("value") == '"active"').alias("active"))
@@ -150,13 +161,12 @@ def _commands(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rebound(s: SparkSession, d: str) -> DataFrame:
-    """Anchors that no longer hold, looked for in the files that define the same name."""
+    """Anchors that no longer hold, looked for in all other files by text, name and words, each place verified."""
     checked = stage(code.anchor_states(_anchors(s, d)), "checked")
-    gone = checked.where("state in ('stale', 'lost')").select("node_id")
-    own = defs(s, d).withColumn("node_id", F.concat_ws(":", "doc_id", "line"))
-    names = gone.join(own, "node_id").select("node_id", "name").distinct()
-    cand = names.join(defs(s, d).select("name", F.col("doc_id").cast("string").alias("path")), "name").where(F.col("path") != F.substring_index("node_id", ":", 1)).select("node_id", "path", F.lit(1).alias("rank"), F.lit(1.0).alias("similarity")).distinct()
-    return code.rebound(gone, cand).select("node_id", "path", "rank")
+    named = defs(s, d).select(F.concat_ws(":", "doc_id", "line").alias("node_id"), F.col("doc_id").alias("own"), "name")
+    gone = _anchors(s, d).join(checked.where("state in ('stale', 'lost')").select("node_id"), "node_id").join(named, "node_id")
+    cand = code.rebind_candidates(gone, docs(s, d), defs(s, d), "doc_id", "text")
+    return code.rebound(gone.select("node_id"), cand).select("node_id", "path", "rank", F.round("similarity", 4).alias("similarity"))
 
 
 def _swept(s: SparkSession, d: str) -> DataFrame:
@@ -217,7 +227,7 @@ QUERIES = {
     "log8_ticks": Query(
         _ticks, "SELECT site_id, max(wall) AS last, max(c) - 1 AS top FROM (SELECT site_id, wall, count(*) AS c FROM (SELECT op_id, any_value(site_id) AS site_id, min(epoch_us(arrived_at) // 1000) AS wall FROM oplog GROUP BY 1) GROUP BY 1, 2) GROUP BY 1"
     ),
-    "log14_merged_parents": Query(_merge_parents),
+    "log14_merged_parents": Query(_merge_parents, _PARENTS),
     "log19_birth_operations": Query(_births, _BIRTHS),
     "txt4_candidates": Query(_candidates, _CAND),
     "txt8_absorb_edges": Query(

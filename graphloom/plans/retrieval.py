@@ -129,8 +129,9 @@ def _vector_ranks(s: SparkSession, d: str, c: DataFrame) -> DataFrame:
 
 def _fused(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The corpus, the fused list with scores, and the lexical pool."""
-    c = corpus(s, d).select("id", "title", "body", "tags", "priority", "updated_at", "layer")
-    pool = stage(_pool(s, d).select("id", "rank"), "pool")
+    c = stage(corpus(s, d).select("id", "title", "body", "tags", "priority", "updated_at", "layer"), "corpus")
+    terms = lexical.parse(TEXT)
+    pool = stage(lexical.ranked(lexical.scores(c.select("id", "title", "body", "tags"), terms), len(terms), ("or",)).select("id", "rank"), "pool")
     both = pool.join(_vector_ranks(s, d, c), "id", "full")
     rows = both.join(c.select("id", "priority", "updated_at", "layer"), "id")
     fused = rows.withColumn("rrf", fusion.rrf(F.col("rank"), F.col("vec_rank"), _S)).withColumn("score", F.col("rrf") * fusion.boost(NOW_MS, _S))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,16 @@ from graphloom.plans import sqltext as q
 from graphloom.plans.log import _CNT, _O
 from graphloom.plans.registry import Query
 from graphloom.sources.tables import table
+from graphloom.staging import discard_at_exit, shared_root
 from graphloom.streaming import log, timers
 
 
 def _stream(s: SparkSession, d: str, name: str, merge: log.Merge) -> DataFrame:
-    return log.merged(s, f"{d}/oplog.parquet", name, merge)
+    """The feed as five files in mixed order, of which each micro-batch reads one."""
+    path = f"{shared_root(s)}/graphloom-{s.sparkContext.applicationId}/feed-{uuid.uuid4().hex}"
+    table(s, d, "oplog").repartition(5, F.xxhash64("op_id", "arrived_at")).write.parquet(path)
+    discard_at_exit(s, path)
+    return log.merged(s, path, name, merge)
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:

@@ -35,13 +35,18 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of files when the session ends."""
+    fs, target = _fs(spark, path)
+    fs.deleteOnExit(target)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back with no lineage."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/graphloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    fs, target = _fs(spark, path)
-    fs.deleteOnExit(target)
+    discard_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

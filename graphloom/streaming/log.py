@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import oplog
-from graphloom.staging import _fs, shared_root
+from graphloom.staging import _fs, discard_at_exit, shared_root
 
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
@@ -121,6 +121,7 @@ def merge_delta(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 def merged(spark: SparkSession, path: str, name: str, merge: Merge) -> DataFrame:
     """The table after streaming all of ``path`` through ``merge``."""
     table = StateTable(spark, f"{name}-{uuid.uuid4().hex}")
+    discard_at_exit(spark, table.path)
     run(source(spark, path), table.fold(merge), f"{table.path}/checkpoint")
     out = table.read()
     return out if out is not None else merge(None, spark.read.parquet(path))

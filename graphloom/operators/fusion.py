@@ -165,6 +165,12 @@ def prefix_filled(rows: DataFrame, group: str, order: str, cost: Column, budget:
     return rows.withColumns({"kept": kept, "clipped": kept < cost}).where((F.col("kept") > 0) & (~F.col("clipped") | (F.col("kept") >= least)))
 
 
+def page(ranked: DataFrame, limit: int, after: tuple[float, str] | None = None) -> DataFrame:
+    """The next ``limit`` rows of (id, rank), after a cursor: the rank and id of the last row of the page before."""
+    rows = ranked if after is None else ranked.where((F.col("rank") > after[0]) | ((F.col("rank") == after[0]) & (F.col("id") > after[1])))
+    return rows.orderBy("rank", "id").limit(limit)
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by ``order``."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

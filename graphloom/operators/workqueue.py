@@ -190,3 +190,34 @@ def job_stats(jobs: DataFrame, by: str, now_ms: int, most: int = 5) -> DataFrame
         F.count("*").alias("total"), F.count_if(dead).alias("dead"), F.count_if(~dead & leased).alias("leased"), F.count_if(~dead & ~leased).alias("waiting"),
         F.count_if(~dead & ~leased & (F.col("run_after") <= now_ms)).alias("ready"),
     )
+
+
+def enqueued(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Jobs with new ones of (kind, entity_id) pairs that aren't waiting yet, each pair once; jobs without entity always join."""
+    own = new.where("entity_id is null")
+    first = new.where("entity_id is not null").groupBy("kind", "entity_id").agg(F.min("id").alias("id")).select("id", "kind", "entity_id")
+    return stored.unionByName(first.join(stored.select("kind", "entity_id"), ["kind", "entity_id"], "left_anti").select(*stored.columns)).unionByName(own.select(*stored.columns))
+
+
+def failed(jobs: DataFrame, failures: DataFrame, now_ms: int) -> DataFrame:
+    """Jobs after failures (id, holder, error): only the holder's count; one more attempt, no lease, a later start."""
+    both = jobs.join(failures.select("id", F.col("holder").alias("_h"), "error"), "id", "left")
+    hit = (F.col("_h") == F.col("lease_holder")) & (F.col("lease_holder") != "")
+    return _tried(both, F.coalesce(hit, F.lit(False)), F.col("error"), now_ms).drop("_h", "error")
+
+
+def swept_jobs(jobs: DataFrame, now_ms: int) -> DataFrame:
+    """Jobs whose lease has run out are tried again later."""
+    return _tried(jobs, (F.col("lease_holder") != "") & (F.col("lease_expires") <= now_ms), F.lit("lease expired"), now_ms)
+
+
+def completed(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """Jobs without those that their holder has finished."""
+    return jobs.join(done.select("id", F.col("holder").alias("lease_holder")).where("lease_holder <> ''"), ["id", "lease_holder"], "left_anti").select(*jobs.columns)
+
+
+def _tried(jobs: DataFrame, hit: Column, error: Column, now_ms: int) -> DataFrame:
+    return jobs.withColumn("_hit", hit).withColumns({
+        "run_after": F.when(F.col("_hit"), now_ms + job_backoff(F.col("attempts"))).otherwise(F.col("run_after")), "attempts": F.when(F.col("_hit"), F.col("attempts") + 1).otherwise(F.col("attempts")),
+        "last_error": F.when(F.col("_hit"), error).otherwise(F.col("last_error")), "lease_holder": F.when(F.col("_hit"), "").otherwise(F.col("lease_holder")), "lease_expires": F.when(F.col("_hit"), 0).otherwise(F.col("lease_expires")),
+    }).drop("_hit")

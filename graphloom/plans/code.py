@@ -62,27 +62,37 @@ def _calls(s: SparkSession, d: str) -> DataFrame:
 
 
 def _search(s: SparkSession, d: str) -> DataFrame:
-    """Ranked lists of stages from strict to wide, their reciprocal ranks added, the best of each source."""
-    text = "snapshot ledger compactor"
-    terms = lexical.parse(text)
-    rows = docs(s, d).select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), F.lit("").alias("tags"))
-    scored = stage(lexical.scores(rows, terms, {"title": 4.0, "body": 1.0, "tags": 1.0}).withColumn("stage", lexical.stage_of(len(terms))), "scored")
-    out = None
-    for k in range(5):
-        top = scored.where(F.col("stage") <= k).orderBy(F.desc("score"), "id").limit(80)
-        from pyspark.sql import Window
-
-        part = top.select("id", (1.0 / (10 + F.row_number().over(Window.orderBy(F.desc("score"), "id")))).alias("r"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("id").agg(F.round(F.sum("r"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(40)
+    units = code.search_units(docs(s, d), "doc_id", "text").join(docs(s, d).select("doc_id", F.coalesce("source", F.lit("")).alias("place")), "doc_id")
+    return code.search(units, "doc_id", "digest_ledger sweep", 40).withColumns({c: F.round(c, 6) for c in ("score", "header_score")})
 
 
 def _units(s: SparkSession, d: str) -> DataFrame:
-    """Search units: one per definition with its split name, and one header per file."""
-    from graphloom.operators.texts import split_identifier
-
-    head = docs(s, d).where("text is not null").select("doc_id", F.lit(0).alias("line"), F.lit("file").alias("kind"), F.substring_index("text", "\n", 1).alias("unit"))
-    return head.unionByName(defs(s, d).select("doc_id", "line", "kind", split_identifier(F.col("name")).alias("unit")))
+    return code.search_units(docs(s, d), "doc_id", "text")
+
+
+def _imports(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paths that texts name as files, each defining its stem and (every third) the stem's first three letters; each text, as a file of its source, imports what it names."""
+    uses = _uses(s, d)
+    stem = F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1)
+    paths = uses.select("path").distinct()
+    defs_ = paths.select("path", stem.alias("name")).unionByName(paths.where(F.length("path") % 3 == 0).select("path", F.substring(stem, 1, 3).alias("name")))
+    by = F.concat_ws("/", F.lit("docs"), F.coalesce(F.lower(F.trim("source")), F.lit("none")), F.col("user").cast("string"))
+    refs = uses.join(docs(s, d).select(F.col("doc_id").alias("user"), "source"), "user").select(by.alias("path"), F.when(F.length("path") % 2 == 0, stem).otherwise(F.substring(stem, 1, 3)).alias("name"), F.lit("import").alias("kind"))
+    return paths.unionByName(refs.select("path").distinct()), defs_, refs
+
+
+_IMPORTS = rf"""WITH us0 AS (SELECT doc_id, lower(trim(source)) AS source, unnest(regexp_extract_all(text, '{_PATH}')) AS path FROM documents),
+st AS (SELECT DISTINCT path, regexp_extract(path, '([^/]+)\.[a-z]+$', 1) AS stem FROM us0),
+df AS (SELECT path, stem AS name FROM st UNION ALL SELECT path, stem[1:3] FROM st WHERE length(path) % 3 = 0),
+rf AS (SELECT 'docs/' || coalesce(source, 'none') || '/' || doc_id AS path, CASE WHEN length(path) % 2 = 0 THEN regexp_extract(path, '([^/]+)\.[a-z]+$', 1) ELSE regexp_extract(path, '([^/]+)\.[a-z]+$', 1)[1:3] END AS name FROM us0),
+fl AS (SELECT path FROM st UNION ALL SELECT DISTINCT path FROM rf),
+pl AS (SELECT name, min(path) AS target, count(DISTINCT path) AS c FROM df GROUP BY 1),
+ed AS (SELECT rf.name, rf.path, target, count(*) AS n FROM rf JOIN pl ON pl.name = rf.name AND c = 1 WHERE target <> rf.path GROUP BY ALL)"""
+_DIR = "array_to_string(string_split({0}, '/')[1:least(3, len(string_split({0}, '/')) - 1)], '/')"
+_MAP = _IMPORTS + f""", hb AS (SELECT dir, string_agg(name || '=' || refs, ',' ORDER BY k) AS hubs FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY refs DESC, name) AS k FROM (SELECT {_DIR.format('target')} AS dir, name, CAST(sum(n) AS BIGINT) AS refs FROM ed GROUP BY 1, 2)) WHERE k <= 3 GROUP BY 1),
+ub AS (SELECT dir, string_agg(u || '=' || refs, ',' ORDER BY k) AS used_by FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY refs DESC, u) AS k FROM (SELECT {_DIR.format('target')} AS dir, {_DIR.format('path')} AS u, CAST(sum(n) AS BIGINT) AS refs FROM ed GROUP BY 1, 2) WHERE dir <> u) WHERE k <= 3 GROUP BY 1),
+sz AS (SELECT dir, CAST(sum(f) AS BIGINT) AS files, CAST(sum(d) AS BIGINT) AS defs FROM (SELECT {_DIR.format('path')} AS dir, 1 AS f, 0 AS d FROM fl UNION ALL SELECT {_DIR.format('path')}, 0, 1 FROM df) GROUP BY 1)
+SELECT dir, files, defs, coalesce(hubs, '') AS hubs, coalesce(used_by, '') AS used_by FROM sz LEFT JOIN hb USING (dir) LEFT JOIN ub USING (dir)"""
 
 
 def _anchors(s: SparkSession, d: str) -> DataFrame:
@@ -126,9 +136,10 @@ QUERIES = {
         q.with_(_LINES, _DEFS, "w AS (SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents) WHERE name IN (SELECT name FROM df) GROUP BY ALL)", "o AS (SELECT doc_id, name, count(*) AS own FROM df GROUP BY ALL)")
         + "SELECT DISTINCT name FROM df WHERE name NOT IN (SELECT name FROM w LEFT JOIN o USING (doc_id, name) WHERE n - coalesce(own, 0) > 0)",
     ),
-    "cod9_repo_map": Query(
-        lambda s, d: code.repo_map(_uses(s, d)).select("dir", "path", "used_by", "files", "place"),
-        q.with_(_USES) + "SELECT dir, path, used_by, files, place FROM (SELECT *, count(*) OVER (PARTITION BY dir) AS files, row_number() OVER (PARTITION BY dir ORDER BY used_by DESC, path) AS place FROM (SELECT path, regexp_extract(path, '^[^/]+/[^/]+/[^/]+') AS dir, count(DISTINCT user) AS used_by FROM us GROUP BY 1)) WHERE place <= 3",
+    "cod9_repo_map": Query(lambda s, d: code.cluster_map(*_imports(s, d)), _MAP),
+    "cod9_import_states": Query(
+        lambda s, d: code.import_edges(*_imports(s, d)[1:]).groupBy("state").agg(F.sum("n").alias("n")),
+        _IMPORTS + " SELECT CASE WHEN c > 1 THEN 'ambiguous' WHEN target = rf.path THEN 'own' ELSE 'edge' END AS state, count(*) AS n FROM rf JOIN pl USING (name) GROUP BY 1",
     ),
     "cod10_search": Query(_search),
     "cod11_units": Query(_units),

@@ -77,6 +77,17 @@ _JOBS = """j AS (SELECT id, scope, least(seen_count, 9) AS attempts, lease_expir
   created_at + least(300000, 1000 * CAST(pow(2, least(least(seen_count, 9), 20)) AS BIGINT)) AS run_after FROM n WHERE kind = 'task')"""
 
 
+def _leased(s: SparkSession, d: str) -> DataFrame:
+    held = nodes(s, d, "kind", "lease_holder").select("id", F.coalesce("lease_holder", F.lit("")).alias("lease_holder"))
+    return _jobs(s, d).join(held, "id").withColumns({"lease_expires": F.coalesce("lease_expires", F.lit(0)), "last_error": F.lit(None).cast("string")})
+
+
+def _new_jobs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n = nodes(s, d, "kind", "scope", "priority")
+    stored = n.where("kind in ('note', 'doc')").select("id", "kind", F.col("scope").alias("entity_id"))
+    return stored, n.where("kind in ('doc', 'task')").select("id", "kind", F.when(F.col("priority") == 0, None).otherwise(F.col("scope")).alias("entity_id"))
+
+
 def _job_state():
     return F.when(F.col("attempts") >= 5, "dead").when(F.col("lease_expires") > NOW_MS, "leased").when(F.col("run_after") > NOW_MS, "waiting").otherwise("ready")
 
@@ -267,6 +278,17 @@ QUERIES = {
         lambda s, d: _jobs(s, d).where(_job_state() == "ready").orderBy("priority", "run_after", "id").limit(50).select("id", "priority", "run_after"),
         q.with_(q.N, _JOBS) + f"SELECT id, priority, run_after FROM j WHERE {_JOB_STATE} = 'ready' ORDER BY priority, run_after, id LIMIT 50",
     ),
+    "que9_job_sweep": Query(
+        lambda s, d: wq.swept_jobs(_leased(s, d), NOW_MS).select("id", "attempts", "run_after", "lease_holder", "last_error"),
+        q.with_(q.N, _JOBS) + f"""SELECT id, CAST(CASE WHEN h THEN attempts + 1 ELSE attempts END AS BIGINT) AS attempts, CASE WHEN h THEN {NOW_MS} + least(300000, 1000 * CAST(pow(2, least(attempts, 20)) AS BIGINT)) ELSE run_after END AS run_after,
+        CASE WHEN h THEN '' ELSE lease_holder END AS lease_holder, CASE WHEN h THEN 'lease expired' END AS last_error FROM (SELECT j.*, n.lease_holder, n.lease_holder <> '' AND coalesce(n.lease_expires, 0) <= {NOW_MS} AS h FROM j JOIN n USING (id))""",
+    ),
+    "que9_job_enqueue": Query(
+        lambda s, d: wq.enqueued(*_new_jobs(s, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("entities")),
+        q.with_(q.N) + """, st AS (SELECT id, kind, scope AS entity_id FROM n WHERE kind IN ('note', 'doc')), nw AS (SELECT id, kind, CASE WHEN priority = 0 THEN NULL ELSE scope END AS entity_id FROM n WHERE kind IN ('doc', 'task')),
+        al AS (SELECT kind, entity_id FROM st UNION ALL SELECT kind, NULL FROM nw WHERE entity_id IS NULL UNION ALL SELECT DISTINCT kind, entity_id FROM nw WHERE entity_id IS NOT NULL AND (kind, entity_id) NOT IN (SELECT (kind, entity_id) FROM st))
+        SELECT kind, count(*) AS n, count(DISTINCT entity_id) AS entities FROM al GROUP BY 1""",
+    ),
     "que10_run_slots": Query(_slots, _SLOTS),
     "que11_board": Query(
         _board, q.with_(q.N) + " UNION ALL ".join(f"SELECT scope, '{c}' AS board_column, count(*) AS n FROM n WHERE kind = 'task' AND {w} GROUP BY scope" for c, w in (("open", "status = 'open' AND open_blockers = 0"), ("blocked", "status = 'open' AND open_blockers > 0"), ("in_progress", "status = 'in_progress'"), ("closed", "status = 'closed'"), ("cancelled", "status = 'cancelled'")))

@@ -17,6 +17,7 @@ from graphloom.plans import sqltext as q
 from graphloom.plans.code import _DEFS, _LINES, _anchors, defs, docs
 from graphloom.plans.log import _O
 from graphloom.plans.registry import Query
+from graphloom.functions.versions import release_order
 from graphloom.sinks import writes
 from graphloom.sources import files
 from graphloom.sources.tables import table
@@ -259,6 +260,10 @@ QUERIES = {
     "fn7_arrays": Query(
         lambda s, d: nodes(s, d, "title").select("id", F.array_join(F.slice(F.array_sort(F.array_distinct(F.split(F.lower("title"), " "))), 1, 3), "|").alias("words")), _ids + "SELECT id, array_to_string(list_sort(list_distinct(string_split(lower(title), ' ')))[1:3], '|') AS words FROM n"
     ),
+    "fn10_versions": Query(
+        lambda s, d: docs(s, d).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(v\d+\.\d+\.\d+)"), F.lit(1))).alias("v")).groupBy("v").agg(F.count("*").alias("n")).withColumn("place", F.rank().over(Window.orderBy(F.desc(release_order(F.col("v")))))).where("place <= 50").select("v", "n", "place"),
+        r"SELECT v, n, place FROM (SELECT v, n, CAST(rank() OVER (ORDER BY list_transform(string_split(v[2:], '.'), lambda x: x::INT) DESC) AS INTEGER) AS place FROM (SELECT v, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, 'v\d+\.\d+\.\d+')) AS v FROM documents) GROUP BY 1)) WHERE place <= 50",
+    ),
     "fn11_maps": Query(
         lambda s, d: nodes(s, d, "attrs").select("id", F.from_json("attrs", "map<string,string>").alias("m")).select(
             "id", F.size("m").alias("n"), F.array_join(F.array_sort(F.map_keys(F.map_filter("m", lambda k, v: F.length(k) > 4))), ",").alias("long_keys"), F.map_contains_key("m", "type").alias("typed"), F.try_element_at("m", F.lit("type")).alias("type")

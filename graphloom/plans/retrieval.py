@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.constants import NOW_MS
-from graphloom.operators import fusion, lexical, vectors
+from graphloom.operators import caching, fusion, lexical, vectors
 from graphloom.operators import visibility as vis
 from graphloom.operators.current import current_edges, current_nodes
 from graphloom.plans import sqltext as q
@@ -255,6 +255,23 @@ def _dedup(s: SparkSession, d: str) -> DataFrame:
     return fusion.first_of(rows, ["kind", "name"], ["rank", "id"]).select("id", "kind", "rank")
 
 
+def _second_page(s: SparkSession, d: str) -> DataFrame:
+    """The page after the first ten hits by its cursor, titles looked up for its rows alone."""
+    pool = stage(_pool(s, d).select("id", "rank"), "pool")
+    last = fusion.page(pool, 10).orderBy(F.desc("rank"), F.desc("id")).first()
+    rows = fusion.page(pool, 10, (last["rank"], last["id"]) if last else None)
+    return corpus(s, d).select("id", "title").join(F.broadcast(rows), "id").select("id", "rank", "title")
+
+
+def _cached(s: SparkSession, d: str) -> DataFrame:
+    """A question asked twice with the log unchanged: the second answer is the kept one."""
+    cache = caching.ResultCache(lambda: 0.0)
+    seq = caching.log_position(table(s, d, "oplog"))
+    for asked in (TEXT, f"  {TEXT.upper()} "):
+        rows = cache.get(caching.result_key(asked, ["all"], {}, {}), seq, lambda: (_pool(s, d).orderBy("rank", "id").limit(12).select("id", "rank").collect(), False))  # a page of 12
+    return s.createDataFrame([(r["id"], int(r["rank"]), cache.hits, cache.misses) for r in rows], "id string, rank int, hits long, misses long")
+
+
 def _changed(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "oplog").where("seq > 300").select("entity_id").distinct()
 
@@ -357,5 +374,9 @@ QUERIES = {
     "ret38_deduplicated": Query(
         _dedup, _POOLED + "SELECT id, kind, rank FROM (SELECT p.id, c.kind, p.rank, row_number() OVER (PARTITION BY c.kind, lower(c.title) ORDER BY p.rank, p.id) rn FROM pool p JOIN c ON c.id = p.id) WHERE rn = 1"
     ),
+    "ret38_second_page": Query(
+        _second_page, _POOLED + "SELECT p.id, p.rank, c.title FROM (SELECT id, rank FROM pool ORDER BY rank, id LIMIT 10 OFFSET 10) p JOIN c ON c.id = p.id"
+    ),
+    "ret34_cached": Query(_cached, _POOLED + "SELECT id, rank, 1::BIGINT AS hits, 1::BIGINT AS misses FROM pool ORDER BY rank, id LIMIT 12"),
     "agg28_separation": Query(_separation, _SEP),
 }

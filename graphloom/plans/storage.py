@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.constants import NOW_MS
 from graphloom.functions.ids import canonical_id
+from graphloom.operators import oplog
 from graphloom.operators.current import current_edges, current_nodes
 from graphloom.plans import sqltext as q
 from graphloom.plans.log import _O
@@ -14,6 +15,7 @@ from graphloom.plans.registry import Query
 from graphloom.sinks import writes
 from graphloom.sources import files
 from graphloom.sources.tables import table
+from graphloom.staging import stage
 
 CUT = NOW_MS - 200 * 86_400_000
 
@@ -42,7 +44,26 @@ def _donors(s: SparkSession, d: str) -> DataFrame:
     return writes.donors(n, n)
 
 
+def _lifecycle(s: SparkSession, d: str) -> DataFrame:
+    """All tasks deleted, the open ones restored, the cancelled ones purged; then what the log says of each."""
+    n = nodes(s, d, "kind", "status").where("kind = 'task'").select("id", "status")
+    ops_ = writes.removed(n, "w1", 1000).unionByName(writes.restored(n.where("status = 'open'"), "w2", 2000)).unionByName(writes.purge_ops(n.where("status = 'cancelled'"), "w3", 500))
+    return oplog.without_purged(oplog.registers(ops_), ops_).groupBy("field", F.when(F.coalesce("value", F.lit("null")) == "null", "live").otherwise("deleted").alias("state")).agg(F.count("*").alias("n"))
+
+
+def _removals(s: SparkSession, d: str) -> DataFrame:
+    """Edges added by operations and those of every second source removed by the tags that were added: what is left."""
+    e = current_edges(table(s, d, "edges"), "weight").where("type in ('blocks', 'relates')").select("src", "type", "dst")
+    added = stage(writes.edge_ops(e, "w1", 1000), "added")
+    tags = added.select(F.substring_index("entity_id", "|", 1).alias("src"), "field", F.substring_index("entity_id", "|", -1).alias("dst"), F.array(F.get_json_object("value", "$.tag")).alias("tags"))
+    gone = writes.edge_ops(tags.where(F.ascii(F.substring("src", -1, 1)) % 2 == 0).withColumnRenamed("field", "type"), "w2", 2000, remove=True)
+    left = oplog.projected_edges(added.unionByName(gone))
+    return left.select(F.substring_index(F.substring_index("entity_id", "|", 2), "|", -1).alias("type"), F.col("deleted_at").isNull().alias("live")).groupBy("type", "live").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "snk5_lifecycle": Query(_lifecycle, q.with_(q.N) + "SELECT 'deleted_at' AS field, CASE WHEN status = 'open' THEN 'live' ELSE 'deleted' END AS state, count(*) AS n FROM n WHERE kind = 'task' AND status <> 'cancelled' GROUP BY 2"),
+    "snk6_removals": Query(_removals, q.with_(q.E) + "SELECT type, ascii(right(src, 1)) % 2 = 1 AS live, count(*) AS n FROM e WHERE type IN ('blocks', 'relates') GROUP BY 1, 2"),
     "src4_point_lookup": Query(lambda s, d: nodes(s, d, "kind").orderBy("id").limit(1).select("id", "kind"), q.with_(q.N) + "SELECT id, kind FROM n ORDER BY id LIMIT 1"),
     "src5_key_range": Query(lambda s, d: files.by_prefix(nodes(s, d, "scope"), "scope", "kiln-").select("id", "scope"), q.with_(q.N) + "SELECT id, scope FROM n WHERE starts_with(scope, 'kiln-')"),
     "src6_id_prefix": Query(lambda s, d: files.by_prefix(table(s, d, "nodes").select("id").distinct(), "id", "kiln-a"), "SELECT DISTINCT id FROM nodes WHERE starts_with(id, 'kiln-a')"),

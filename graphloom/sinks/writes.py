@@ -55,6 +55,25 @@ def edge_ops(edges: DataFrame, site: str, ts: int, remove: bool = False) -> Data
     return numbered(edges, "src", "type", "dst", name="_n").select(op_id.alias("op_id"), F.struct(F.lit(ts).cast("long").alias("ts"), (n - 1).cast("int").alias("ctr")).alias("hlc"), F.lit(site).alias("site_id"), F.concat_ws("|", "src", "type", "dst").alias("entity_id"), F.lit("edge_del" if remove else "edge_add").alias("op"), F.col("type").alias("field"), value.alias("value"))
 
 
+def removed(ids: DataFrame, site: str, ts: int) -> DataFrame:
+    """Operations that delete records: ``deleted_at`` is set to the instant."""
+    return set_ops(ids.select("id", F.lit("deleted_at").alias("field"), F.lit(ts).cast("long").alias("value")), site, ts)
+
+
+def restored(ids: DataFrame, site: str, ts: int) -> DataFrame:
+    """Operations that bring deleted records back: ``deleted_at`` is set to null."""
+    return set_ops(ids.select("id", F.lit("deleted_at").alias("field"), F.lit(None).cast("long").alias("value")), site, ts)
+
+
+def purge_ops(ids: DataFrame, site: str, ts: int) -> DataFrame:
+    """Operations that erase records for good."""
+    n = F.col("_n")
+    return numbered(ids.select("id"), "id", name="_n").select(
+        F.concat(F.lit(f"{site}:"), n).alias("op_id"), n.cast("long").alias("seq"), F.struct(F.lit(ts).cast("long").alias("ts"), (n - 1).cast("int").alias("ctr")).alias("hlc"), F.lit(site).alias("site_id"),
+        F.col("id").alias("entity_id"), F.lit("purge").alias("op"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"),
+    )
+
+
 def bucketed(ops: DataFrame) -> DataFrame:
     return ops.withColumn("bucket", F.floor(F.col("seq") / BUCKET).cast("long"))
 

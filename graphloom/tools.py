@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +40,24 @@ class Store:
 
     create = update
 
-    def recall(self, text: str, limit: int = 12, viewer: vis.Viewer = vis.Viewer()) -> DataFrame:
-        """Best records for a question: strict matches, or else looser ones."""
+    def recall(self, text: str, limit: int = 12, viewer: vis.Viewer = vis.Viewer(), embed: Callable[[str], list[float] | None] | None = None, neighbours: Callable[[list[float]], DataFrame] | None = None) -> DataFrame:
+        """Best records for a question: strict matches, or else looser ones.
+
+        ``embed`` gives the question's vector or None, and ``neighbours`` the (id, rank)
+        of records near it; with both, the two lists are fused.
+        """
         shown = self.nodes.withColumn("granted", F.lit(False)).where(vis.history(False) & vis.live_status() & vis.not_pending() & vis.access_core(viewer))
         rows = shown.withColumn("tags", F.array_join(F.from_json(F.get_json_object("attrs", "$.tags"), "array<string>"), " "))
         terms = lexical.parse(text)
         if not terms:
             return rows.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), "title").where("false")
         found = lexical.ranked(lexical.scores(rows.select("id", "title", "body", "tags"), terms), len(terms), ("and", "prefix_and", "prefix_relaxed", "prefix_relaxed2", "or", "prefix_or"))
-        both = found.join(rows.select("id", "title", "priority", "updated_at", "layer"), "id").withColumn("score", fusion.rrf(F.col("rank"), F.lit(None)) * fusion.boost(self.now_ms))
+        vector = embed(text) if embed and neighbours else None
+        if vector is None:
+            found = found.withColumn("near", F.lit(None).cast("int"))
+        else:
+            found = found.select("id", "rank").join(neighbours(vector).select("id", F.col("rank").alias("near")), "id", "full")
+        both = found.join(rows.select("id", "title", "priority", "updated_at", "layer"), "id").withColumn("score", fusion.rrf(F.col("rank"), F.col("near")) * fusion.boost(self.now_ms))
         return both.orderBy(F.desc("score"), "id").limit(limit).select("id", "score", "rank", "title")
 
     def remember(self, incoming: DataFrame) -> DataFrame:
@@ -74,9 +85,10 @@ class Store:
 class CodeIndex:
     """Files (path, text) with their definitions."""
 
-    def __init__(self, files: DataFrame) -> None:
+    def __init__(self, files: DataFrame, parse: Callable[[str, str | None], list[tuple[int, str, str]]] | None = None) -> None:
+        """``parse`` gives (line, name, kind) of a text and its language in place of the line patterns."""
         self.files = files
-        self.defs = code.definitions(files, "path", "text")
+        self.defs = code.definitions(files, "path", "text") if parse is None else code.parsed_definitions(files, "path", "text", parse)
 
     def search(self, text: str, limit: int = 20) -> DataFrame:
         rows = self.files.select(F.col("path").alias("id"), texts.split_identifier(F.col("path")).alias("title"), F.col("text").alias("body"), F.lit("").alias("tags"))

@@ -185,3 +185,74 @@ def test_separation_against_all_pairs(spark, vecs):
             far = [cos[i, j] for j in range(300) if j % 4 != i % 4]
             assert got[i]["best"] == pytest.approx(max(near)) and got[i]["near"] == pytest.approx(np.mean(near)) and got[i]["far"] == pytest.approx(np.mean(far))
             assert got[i]["better"] == sum(x > max(near) for x in far)
+
+
+SOURCE = """// Keeps the digest of a ledger.
+// One per scope.
+import { x } from "y";
+
+/** Sweeps old entries. */
+export function sweepLedger(a, b) {
+  return a;
+}
+# counts rows
+def countRows(x):
+    return x
+class Plain {}"""
+
+
+def test_units_of_a_file():
+    assert code.units_of(SOURCE) == [
+        (0, "file", "", "sweepLedger countRows Plain", "Keeps the digest of a ledger. One per scope."),
+        (6, "function", "sweepLedger", "export function sweepLedger(a, b) { return a; }", "Sweeps old entries."),
+        (10, "def", "countRows", "def countRows(x): return x", "counts rows"),
+        (12, "class", "Plain", "class Plain {}", ""),
+    ]
+    assert code.units_of("") == [(0, "file", "", "", "")]
+
+
+def test_search_folds_units_to_files(spark):
+    files = spark.createDataFrame([("a.ts", SOURCE), ("b.ts", "// sweep of the ledger\nconst x = 1"), ("c.ts", "nothing"), ("d.ts", None)], "path string, text string")
+    units = code.search_units(files, "path", "text").withColumn("place", F.lit("src"))
+    got = {r["path"]: r for r in code.search(units, "path", "sweep-ledger").collect()}
+    assert set(got) == {"a.ts", "b.ts"} and got["b.ts"]["units"] == 0 and got["b.ts"]["score"] == got["b.ts"]["header_score"] > 0
+    assert got["a.ts"]["units"] == 1 and got["a.ts"]["score"] > got["b.ts"]["score"] and code.search(units, "path", "...").count() == 0
+
+
+def test_cluster_map_resolves_unique_names(spark):
+    files = spark.createDataFrame([(p,) for p in ("a/x/1.ts", "a/x/2.ts", "b/y/3.ts", "top.ts")], "path string")
+    defs = spark.createDataFrame([("a/x/1.ts", "one"), ("a/x/2.ts", "both"), ("b/y/3.ts", "both"), ("b/y/3.ts", "three")], "path string, name string")
+    refs = spark.createDataFrame([("b/y/3.ts", "one", "import"), ("b/y/3.ts", "one", "import"), ("a/x/2.ts", "one", "import"), ("a/x/1.ts", "one", "import"), ("top.ts", "both", "import"), ("top.ts", "three", "import"), ("top.ts", "three", "call"), ("top.ts", "none", "import")], "path string, name string, kind string")
+    assert {(r["state"], r["n"]) for r in code.import_edges(defs, refs).groupBy("state").agg(F.sum("n").alias("n")).collect()} == {("edge", 4), ("own", 1), ("ambiguous", 1)}
+    assert rows(code.cluster_map(files, defs, refs)) == {("a/x", 2, 2, "one=3", "b/y=2"), ("b/y", 1, 2, "three=1", ".=1"), (".", 1, 0, "", "")}
+
+
+def test_rebinding_verifies_its_candidates(spark):
+    body = "def compactLedger(rows):\n    total = sum(r.weight for r in rows)\n    return total / len(rows)"
+    files = spark.createDataFrame([("old.py", None), ("new.py", "import os\n" + body), ("twin.py", body), ("fake.py", "def compactLedger(other):\n    pass")], "path string, text string")
+    gone = spark.createDataFrame([("n", "old.py", "compactLedger", body, 1, 3)], "node_id string, own string, name string, before string, span_start int, span_end int")
+    cand = code.rebind_candidates(gone, files, code.definitions(files, "path", "text"), "path", "text")
+    got = {r["path"]: (r["rank"], r["similarity"]) for r in cand.collect()}
+    assert got["twin.py"] == (0, 1.0) and got["new.py"][0] == 1 and got["new.py"][1] > 0.9 and got["fake.py"][1] < 0.5
+    best = code.rebound(gone.select("node_id"), cand.where("path <> 'twin.py'")).collect()
+    assert [r["path"] for r in best] == ["new.py"]
+
+
+def test_jobs_fail_complete_and_join(spark):
+    j = spark.createDataFrame([("a", "k", "e", 1, 0, "me", 500, None), ("b", "k", "f", 0, 0, "me", 50, None), ("c", "k", None, 0, 0, "", 0, None)], "id string, kind string, entity_id string, attempts int, run_after long, lease_holder string, lease_expires long, last_error string")
+    f = spark.createDataFrame([("a", "me", "boom"), ("b", "other", "x"), ("c", "", "x")], "id string, holder string, error string")
+    assert {r["id"]: (r["attempts"], r["run_after"], r["lease_holder"], r["last_error"]) for r in workqueue.failed(j, f, 100).collect()} == {"a": (2, 2100, "", "boom"), "b": (0, 0, "me", None), "c": (0, 0, "", None)}
+    assert {r["id"]: (r["attempts"], r["lease_holder"]) for r in workqueue.swept_jobs(j, 100).collect()} == {"a": (1, "me"), "b": (1, ""), "c": (0, "")}
+    assert {r["id"] for r in workqueue.completed(j, f).collect()} == {"b", "c"}
+    new = spark.createDataFrame([("x", "k", "e"), ("y", "k", "g"), ("z", "k", "g"), ("w", "k", None)], "id string, kind string, entity_id string")
+    assert {r["id"] for r in workqueue.enqueued(j.select("id", "kind", "entity_id"), new).collect()} == {"a", "b", "c", "y", "w"}
+
+
+def test_callers_parser_and_versions(spark):
+    from graphloom.functions.versions import release_order
+    from graphloom.tools import CodeIndex
+
+    files = spark.createDataFrame([("a.go", "x"), ("b", None)], "path string, text string")
+    assert rows(CodeIndex(files, lambda text, lang: [(1, f"{text}-{lang}", "def")]).defs) == {("a.go", 1, "x-go", "def")}
+    v = spark.createDataFrame([(x,) for x in ("v1.10.0", "1.9.3+b", "1.9", "v2", "x")], "v string")
+    assert [r["v"] for r in v.orderBy(release_order(F.col("v")).asc_nulls_first()).collect()] == ["x", "1.9", "1.9.3+b", "v1.10.0", "v2"]

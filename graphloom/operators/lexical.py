@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.numbering import numbered
 from graphloom.staging import stage
 
 WEIGHTS = {"title": 10.0, "body": 1.0, "tags": 1.0}
@@ -169,6 +173,105 @@ def postings(records: DataFrame, fields: tuple[str, ...] = tuple(WEIGHTS)) -> Da
     return out.groupBy("term", "id", "field").agg(F.count("*").alias("tf"))
 
 
+#: Records whose postings lie in one row, and postings of such a block from which a term has a table of its records.
+BLOCK, DENSE = 1 << 16, 1 << 11
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of a list column."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+
+
+def _best_of_block(best: np.ndarray, keep: int, terms: np.ndarray, bounds: np.ndarray, posts: np.ndarray, first: int) -> None:
+    """Take the records of one block into ``best``, per question the least ``keep`` keys (-count, record).
+
+    A record has to share more terms than the worst one kept, or as many with an
+    earlier number; as it can't do so by the commonest terms alone, these are
+    looked up for the records that the rarer ones leave.
+    """
+    term, at = posts >> 16, (posts & (BLOCK - 1)).astype(np.intp)
+    start = np.r_[0, np.cumsum(np.bincount(term, minlength=int(terms.max(initial=0)) + 2))]
+    low, high = start[terms], start[terms + 1]
+    counts = np.zeros(BLOCK, np.uint8 if np.diff(bounds).max() < 255 else np.int32)
+    tables: dict[int, np.ndarray] = {}
+    free = np.iinfo(np.int64).max
+    for q in range(len(best)):
+        a, b = bounds[q], bounds[q + 1]
+        worst = best[q, keep - 1]
+        need = 1 if worst == free else -(worst >> 32) + (first > (worst & 0xFFFFFFFF))
+        if need > b - a:
+            continue
+        hot = b
+        while b - hot < need - 1 and high[hot - 1] - low[hot - 1] >= DENSE:
+            hot -= 1
+        counts[:] = 0
+        for x, y in zip(low[a:hot].tolist(), high[a:hot].tolist(), strict=True):
+            if x < y:
+                counts[at[x:y]] += 1
+        some = np.flatnonzero(counts >= need - (b - hot))
+        if not len(some):
+            continue
+        n = counts[some].astype(np.int64)
+        for i in range(hot, b):
+            t = int(terms[i])
+            if t not in tables:
+                tables[t] = np.zeros(BLOCK, bool)
+                tables[t][at[low[i] : high[i]]] = True
+            n += tables[t][some]
+        fit = n >= need
+        keys = np.r_[best[q], (-n[fit] << 32) | (first + some[fit])]
+        if len(keys) > 4 * keep:
+            keys = np.partition(keys, keep - 1)[:keep]
+        best[q] = np.sort(keys)[:keep]
+
+
+def most_shared(asked: DataFrame, records: DataFrame, key: str, keep: int = 24, block: int = 16_384) -> DataFrame:
+    """(key, id, n, place): per question the ``keep`` records that share most of its terms, then by id.
+
+    ``asked`` is (key, term); ``records`` is (id, terms), an id once, terms of a
+    record distinct.  Terms are numbered from the rarest, records by id.  A task takes
+    the questions of a block through the postings of all records, ``BLOCK`` records at
+    a time, and keeps the best ones: what moves is the postings of asked terms, not
+    the meetings of questions with records.
+    """
+    spark = asked.sparkSession
+    asked = stage(asked.distinct(), "asked")
+    records = stage(records.withColumn("m", F.monotonically_increasing_id()), "records")  # written, so that a record keeps its m
+    placed = numbered(records.select("id", "m"), "id", name="r")
+    post = records.select("m", F.explode("terms").alias("term"))
+    used = post.groupBy("term").agg(F.count("*").alias("df")).join(asked.select("term").distinct(), "term")
+    known = numbered(used, "df", "term", name="k").select("term", "k")
+    r, size = F.col("r") - 1, F.lit(BLOCK)
+    packed = post.join(known, "term").select("m", "k").join(placed.select("m", "r"), "m").groupBy(F.floor(r / size).alias("block"))
+    blocks = stage(packed.agg(F.sort_array(F.collect_list(F.shiftleft("k", 16) + F.pmod(r, size))).alias("posts")), "postings")
+    questions = stage(numbered(asked.join(known, "term").groupBy(key).agg(F.sort_array(F.collect_list("k")).alias("ks")), "ks", name="q"), "questions")
+    n = questions.count()
+    size = max(1, min(block, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    parts = questions.groupBy(F.floor((F.col("q") - 1) / size).alias("part")).agg(F.collect_list("q").alias("qs"), F.collect_list("ks").alias("terms"))
+    both = blocks.coalesce(1).crossJoin(parts.repartitionByRange(max(1, -(-n // size)), "part").hint("shuffle_replicate_nl"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for b in batches:
+            for i in range(len(b)):
+                row = b.slice(i, 1)
+                part = row["part"][0].as_py()
+                if part not in held:
+                    terms, bounds = _lists(row["terms"].flatten())
+                    held[part] = (_lists(row["qs"])[0], terms, bounds, np.full((len(bounds) - 1, keep), np.iinfo(np.int64).max))
+                _, terms, bounds, best = held[part]
+                _best_of_block(best, keep, terms, bounds, _lists(row["posts"])[0], row["block"][0].as_py() * BLOCK)
+        for qs, _, _, best in held.values():
+            at, slot = np.nonzero(best != np.iinfo(np.int64).max)
+            found = best[at, slot]
+            yield pa.RecordBatch.from_arrays([pa.array(qs[at]), pa.array(found & 0xFFFFFFFF), pa.array(-(found >> 32))], ["q", "r", "n"])
+
+    hits = both.mapInArrow(run, "q long, r long, n long")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("n"), "r"))
+    kept = hits.withColumn("place", place).where(F.col("place") <= keep)
+    return kept.join(placed.select((F.col("r") - 1).alias("r"), "id"), "r").join(questions.select("q", key), "q").select(key, "id", "n", "place")
+
+
 def spread(scored: DataFrame, least: int = 3) -> DataFrame:
     """One row: hits, and how far the best score stands above the median; null for few hits."""
     order = F.sort_array(F.collect_list("score"), asc=False)

@@ -144,10 +144,8 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
     new = table(s, d, "absorb_pairs").where("new is not null and new not like '{%'")
     words = F.array_sort(F.transform(F.array_distinct(lexical.tokens(F.col("new"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     asked = new.select("pair_id", F.explode(F.slice(words, 1, 12)).alias("x")).select("pair_id", F.col("x.w").alias("term"))
-    p = lexical.postings(nodes(s, d, "title", "body").withColumn("tags", F.lit("")).select("id", "title", "body", "tags")).groupBy("term", "id").agg(F.sum("tf").alias("tf"))
-    hits = asked.join(p, "term").groupBy("pair_id", "id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("pair_id").orderBy(F.desc("n"), "id")
-    return hits.withColumn("place", F.row_number().over(w)).where("place <= 24").select("pair_id", "id", "n", "place")
+    records = nodes(s, d, "title", "body").select("id", F.array_distinct(F.concat(lexical.tokens(F.col("title")), lexical.tokens(F.col("body")))).alias("terms"))
+    return lexical.most_shared(asked, records, "pair_id")
 
 
 _CAND = q.with_(q.N) + f""", a AS (SELECT DISTINCT pair_id, unnest(list_transform(list_sort(list_transform(list_distinct({ret._tok('new')}), lambda w: {{'n': -length(w), 'w': w}}))[1:12], lambda x: x.w)) AS term FROM absorb_pairs WHERE new IS NOT NULL AND new NOT LIKE '{{%'),

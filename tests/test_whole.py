@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import code, graph
+from graphloom.operators import code, graph, lexical
 from graphloom.plans import all_queries
 
 NO_NODES = "id string, head_id string, hlc long, site_id string"
@@ -74,3 +75,18 @@ def test_shared_prints_of_all_pairs(spark, tmp_path):
         if share > 0:
             want[b, a] = round(share, 4)
     assert got == pytest.approx(want, abs=1.1e-4) and len({prints[i][0] for i in (0, 2, 6)}) > 1
+
+
+@pytest.mark.parametrize("block", [16_384, 7])
+def test_most_shared_keeps_every_records_chance(spark, monkeypatch, block):
+    """Small blocks of records and questions give the rows of comparing all, ties by id, where nearly all records share a term; a key in two rows, terms without records."""
+    monkeypatch.setattr(lexical, "BLOCK", 64)
+    monkeypatch.setattr(lexical, "DENSE", 8)
+    draw = random.Random(5)
+    terms = {f"r{i * 37 % 400:03}": {"all"} | {f"t{int(40 * draw.random() ** 2)}" for _ in range(9)} for i in range(400)}
+    asked = {k: {"all", "absent"} | {f"t{draw.randrange(45)}" for _ in range(8)} for k in range(60)} | {None: {"all"}, 99: {"absent"}, 100: {"t1", "t2"}}
+    pairs = [(k, t) for k, ts in asked.items() for t in ts] + [(100, "t1")]
+    got = lexical.most_shared(spark.createDataFrame(pairs, "key long, term string"), spark.createDataFrame([(i, sorted(t)) for i, t in terms.items()], "id string, terms array<string>"), "key", 24, block)
+    want = {(k, i, n, place) for k, ts in asked.items() for place, (n, i) in enumerate(sorted((-len(ts & t), i) for i, t in terms.items() if ts & t)[:24], 1)}
+    assert {(r["key"], r["id"], -r["n"], r["place"]) for r in got.collect()} == want
+    assert "CartesianProduct" in got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))

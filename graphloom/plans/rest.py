@@ -159,12 +159,13 @@ def _commands(s: SparkSession, d: str) -> DataFrame:
     return first.select(F.explode(F.split("commands", "\n")).alias("command")).groupBy("command").agg(F.count("*").alias("n"))
 
 
-def _rebound(s: SparkSession, d: str) -> DataFrame:
+def _rebound(s: SparkSession, d: str, checked: DataFrame | None = None) -> DataFrame:
     """Anchors that no longer hold, looked for in all other files by text, name and words, each place verified."""
-    checked = stage(code.anchor_states(_anchors(s, d)), "checked")
+    if checked is None:
+        checked = stage(code.anchor_states(_anchors(s, d)), "checked")
     named = defs(s, d).select(F.concat_ws(":", "doc_id", "line").alias("node_id"), F.col("doc_id").alias("own"), "name")
     gone = _anchors(s, d).join(checked.where("state in ('stale', 'lost')").select("node_id"), "node_id").join(named, "node_id")
-    cand = code.rebind_candidates(gone, docs(s, d), defs(s, d), "doc_id", "text")
+    cand = code.rebind_candidates(gone, docs(s, d), defs(s, d), "doc_id", "text", best=True)
     return code.rebound(gone.select("node_id"), cand).select("node_id", "path", "rank", F.round("similarity", 4).alias("similarity"))
 
 

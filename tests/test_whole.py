@@ -90,3 +90,28 @@ def test_most_shared_keeps_every_records_chance(spark, monkeypatch, block):
     want = {(k, i, n, place) for k, ts in asked.items() for place, (n, i) in enumerate(sorted((-len(ts & t), i) for i, t in terms.items() if ts & t)[:24], 1)}
     assert {(r["key"], r["id"], -r["n"], r["place"]) for r in got.collect()} == want
     assert "CartesianProduct" in got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_rebinding_compares_as_one_pair_at_a_time(spark):
+    """Spans of several heights, one without words, a copied file, long and short files: each place as by best_window; the best ones are those of all candidates, in one block or more."""
+    draw = random.Random(11)
+
+    def source(name, rows):
+        return "\n".join([f"def {name}(rows, ledger):", *(f"    {draw.choice(['total', 'weight', 'ledger'])} = rows[{draw.randrange(5)}].{draw.choice(['weight', 'total', 'clock'])}" for _ in range(rows))])
+
+    texts = [(f"f{i:02}", source(f"name{i % 17}", draw.choice([0, 1, 3, 4, 9]))) for i in range(40)] + [("none", None), ("empty", ""), ("few", "x = 1")]
+    texts += [("copy", texts[3][1]), ("joined", texts[4][1] + "\n\n" + texts[8][1])]
+    gone = [(f"{p}:{h}", p, t.split("(")[0][4:], t, 1, h) for p, t in texts[:9] for h in (1, 4)] + [("few:1", "few", "x", "x = 1", 1, 1)]
+    files = spark.createDataFrame(texts, "path string, text string")
+    anchors = spark.createDataFrame(gone, "node_id string, own string, name string, before string, span_start int, span_end int")
+    defs = code.definitions(files, "path", "text")
+    cand = code.rebind_candidates(anchors, files, defs, "path", "text")
+    got, known = {(r["node_id"], r["path"]): (r["rank"], r["similarity"]) for r in cand.collect()}, dict(texts)
+    assert len(got) > 200 and {r for r, _ in got.values()} == {0, 1, 4} and got["f03:4", "copy"] == (0, 1.0)
+    for (node, path), (rank, share) in got.items():
+        part = "\n".join(known[node.split(":")[0]].split("\n")[: int(node.split(":")[1])])
+        assert share == (1.0 if rank == 0 else code.best_window(known[path], code.fingerprint(code.stream(part)), part.count("\n") + 1)[2]), (node, path)
+    want = {tuple(r) for r in code.rebound(anchors.select("node_id"), cand).collect()}
+    for block in (20_000, 4):
+        best = code.rebind_candidates(anchors, files, defs, "path", "text", best=True, block=block)
+        assert {tuple(r) for r in code.rebound(anchors.select("node_id"), best).collect()} == want

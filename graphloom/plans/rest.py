@@ -171,7 +171,7 @@ def _rebound(s: SparkSession, d: str, checked: DataFrame | None = None) -> DataF
 
 def _swept(s: SparkSession, d: str) -> DataFrame:
     checked = stage(code.anchor_states(_anchors(s, d)), "checked")
-    return code.swept(checked.withColumn("seen", F.substring_index("node_id", ":", 1).cast("long") % 2 == 0), _rebound(s, d).select("node_id", F.col("path").alias("found_path"))).groupBy("state").agg(F.count("*").alias("n"))
+    return code.swept(checked.withColumn("seen", F.substring_index("node_id", ":", 1).cast("long") % 2 == 0), _rebound(s, d, checked).select("node_id", F.col("path").alias("found_path"))).groupBy("state").agg(F.count("*").alias("n"))
 
 
 def _masks(t: str) -> str:

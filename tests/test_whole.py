@@ -115,3 +115,10 @@ def test_rebinding_compares_as_one_pair_at_a_time(spark):
     for block in (20_000, 4):
         best = code.rebind_candidates(anchors, files, defs, "path", "text", best=True, block=block)
         assert {tuple(r) for r in code.rebound(anchors.select("node_id"), best).collect()} == want
+
+
+def test_sweep_checks_its_anchors_once(spark, small, monkeypatch):
+    calls, states = [], code.anchor_states
+    monkeypatch.setattr(code, "anchor_states", lambda anchors: calls.append(1) or states(anchors))
+    counts = {r["state"]: r["n"] for r in all_queries()["cod25_swept"].run(spark, small).collect()}
+    assert calls == [1] and counts == {r["state"]: r["count"] for r in all_queries()["cod18_anchor_states"].run(spark, small).groupBy("state").count().collect()}

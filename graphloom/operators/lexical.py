@@ -182,17 +182,17 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
 
 
-def _best_of_block(best: np.ndarray, keep: int, terms: np.ndarray, bounds: np.ndarray, posts: np.ndarray, first: int) -> None:
+def _best_of_block(best: np.ndarray, keep: int, terms: np.ndarray, bounds: np.ndarray, posts: np.ndarray, first: int, size: int = BLOCK, dense: int = DENSE) -> None:
     """Take the records of one block into ``best``, per question the least ``keep`` keys (-count, record).
 
     A record has to share more terms than the worst one kept, or as many with an
     earlier number; as it can't do so by the commonest terms alone, these are
     looked up for the records that the rarer ones leave.
     """
-    term, at = posts >> 16, (posts & (BLOCK - 1)).astype(np.intp)
+    term, at = posts >> 16, (posts & 0xFFFF).astype(np.intp)
     start = np.r_[0, np.cumsum(np.bincount(term, minlength=int(terms.max(initial=0)) + 2))]
     low, high = start[terms], start[terms + 1]
-    counts = np.zeros(BLOCK, np.uint8 if np.diff(bounds).max() < 255 else np.int32)
+    counts = np.zeros(size, np.uint8 if np.diff(bounds).max() < 255 else np.int32)
     tables: dict[int, np.ndarray] = {}
     free = np.iinfo(np.int64).max
     for q in range(len(best)):
@@ -202,7 +202,7 @@ def _best_of_block(best: np.ndarray, keep: int, terms: np.ndarray, bounds: np.nd
         if need > b - a:
             continue
         hot = b
-        while b - hot < need - 1 and high[hot - 1] - low[hot - 1] >= DENSE:
+        while b - hot < need - 1 and high[hot - 1] - low[hot - 1] >= dense:
             hot -= 1
         counts[:] = 0
         for x, y in zip(low[a:hot].tolist(), high[a:hot].tolist(), strict=True):
@@ -215,7 +215,7 @@ def _best_of_block(best: np.ndarray, keep: int, terms: np.ndarray, bounds: np.nd
         for i in range(hot, b):
             t = int(terms[i])
             if t not in tables:
-                tables[t] = np.zeros(BLOCK, bool)
+                tables[t] = np.zeros(size, bool)
                 tables[t][at[low[i] : high[i]]] = True
             n += tables[t][some]
         fit = n >= need
@@ -225,13 +225,13 @@ def _best_of_block(best: np.ndarray, keep: int, terms: np.ndarray, bounds: np.nd
         best[q] = np.sort(keys)[:keep]
 
 
-def most_shared(asked: DataFrame, records: DataFrame, key: str, keep: int = 24, block: int = 16_384) -> DataFrame:
+def most_shared(asked: DataFrame, records: DataFrame, key: str, keep: int = 24, block: int = 16_384, size: int = BLOCK, dense: int = DENSE) -> DataFrame:
     """(key, id, n, place): per question the ``keep`` records that share most of its terms, then by id.
 
     ``asked`` is (key, term); ``records`` is (id, terms), an id once, terms of a
     record distinct.  Terms are numbered from the rarest, records by id.  A task takes
-    the questions of a block through the postings of all records, ``BLOCK`` records at
-    a time, and keeps the best ones: what moves is the postings of asked terms, not
+    the questions of a block through the postings of all records, ``size`` records (up to
+    ``BLOCK``) at a time, and keeps the best ones: what moves is the postings of asked terms, not
     the meetings of questions with records.
     """
     spark = asked.sparkSession
@@ -241,14 +241,14 @@ def most_shared(asked: DataFrame, records: DataFrame, key: str, keep: int = 24,
     post = records.select("m", F.explode("terms").alias("term"))
     used = post.groupBy("term").agg(F.count("*").alias("df")).join(asked.select("term").distinct(), "term")
     known = numbered(used, "df", "term", name="k").select("term", "k")
-    r, size = F.col("r") - 1, F.lit(BLOCK)
+    r = F.col("r") - 1
     packed = post.join(known, "term").select("m", "k").join(placed.select("m", "r"), "m").groupBy(F.floor(r / size).alias("block"))
-    blocks = stage(packed.agg(F.sort_array(F.collect_list(F.shiftleft("k", 16) + F.pmod(r, size))).alias("posts")), "postings")
+    blocks = stage(packed.agg(F.sort_array(F.collect_list(F.shiftleft("k", 16) + F.pmod(r, F.lit(size)))).alias("posts")), "postings")
     questions = stage(numbered(asked.join(known, "term").groupBy(key).agg(F.sort_array(F.collect_list("k")).alias("ks")), "ks", name="q"), "questions")
     n = questions.count()
-    size = max(1, min(block, -(-n // (2 * spark.sparkContext.defaultParallelism))))
-    parts = questions.groupBy(F.floor((F.col("q") - 1) / size).alias("part")).agg(F.collect_list("q").alias("qs"), F.collect_list("ks").alias("terms"))
-    both = blocks.coalesce(1).crossJoin(parts.repartitionByRange(max(1, -(-n // size)), "part").hint("shuffle_replicate_nl"))
+    block = max(1, min(block, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    parts = questions.groupBy(F.floor((F.col("q") - 1) / block).alias("part")).agg(F.collect_list("q").alias("qs"), F.collect_list("ks").alias("terms"))
+    both = blocks.coalesce(1).crossJoin(parts.repartitionByRange(max(1, -(-n // block)), "part").hint("shuffle_replicate_nl"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
@@ -260,7 +260,7 @@ def most_shared(asked: DataFrame, records: DataFrame, key: str, keep: int = 24,
                     terms, bounds = _lists(row["terms"].flatten())
                     held[part] = (_lists(row["qs"])[0], terms, bounds, np.full((len(bounds) - 1, keep), np.iinfo(np.int64).max))
                 _, terms, bounds, best = held[part]
-                _best_of_block(best, keep, terms, bounds, _lists(row["posts"])[0], row["block"][0].as_py() * BLOCK)
+                _best_of_block(best, keep, terms, bounds, _lists(row["posts"])[0], row["block"][0].as_py() * size, size, dense)
         for qs, _, _, best in held.values():
             at, slot = np.nonzero(best != np.iinfo(np.int64).max)
             found = best[at, slot]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,15 +79,13 @@ def test_shared_prints_of_all_pairs(spark, tmp_path):
 
 
 @pytest.mark.parametrize("block", [16_384, 7])
-def test_most_shared_keeps_every_records_chance(spark, monkeypatch, block):
+def test_most_shared_keeps_every_records_chance(spark, block):
     """Small blocks of records and questions give the rows of comparing all, ties by id, where nearly all records share a term; a key in two rows, terms without records."""
-    monkeypatch.setattr(lexical, "BLOCK", 64)
-    monkeypatch.setattr(lexical, "DENSE", 8)
     draw = random.Random(5)
     terms = {f"r{i * 37 % 400:03}": {"all"} | {f"t{int(40 * draw.random() ** 2)}" for _ in range(9)} for i in range(400)}
     asked = {k: {"all", "absent"} | {f"t{draw.randrange(45)}" for _ in range(8)} for k in range(60)} | {None: {"all"}, 99: {"absent"}, 100: {"t1", "t2"}}
     pairs = [(k, t) for k, ts in asked.items() for t in ts] + [(100, "t1")]
-    got = lexical.most_shared(spark.createDataFrame(pairs, "key long, term string"), spark.createDataFrame([(i, sorted(t)) for i, t in terms.items()], "id string, terms array<string>"), "key", 24, block)
+    got = lexical.most_shared(spark.createDataFrame(pairs, "key long, term string"), spark.createDataFrame([(i, sorted(t)) for i, t in terms.items()], "id string, terms array<string>"), "key", 24, block, size=64, dense=8)
     want = {(k, i, n, place) for k, ts in asked.items() for place, (n, i) in enumerate(sorted((-len(ts & t), i) for i, t in terms.items() if ts & t)[:24], 1)}
     assert {(r["key"], r["id"], -r["n"], r["place"]) for r in got.collect()} == want
     assert "CartesianProduct" in got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
@@ -122,3 +121,20 @@ def test_sweep_checks_its_anchors_once(spark, small, monkeypatch):
     monkeypatch.setattr(code, "anchor_states", lambda anchors: calls.append(1) or states(anchors))
     counts = {r["state"]: r["n"] for r in all_queries()["cod25_swept"].run(spark, small).collect()}
     assert calls == [1] and counts == {r["state"]: r["count"] for r in all_queries()["cod18_anchor_states"].run(spark, small).groupBy("state").count().collect()}
+
+
+@pytest.mark.parametrize("later", [2048, 3])
+def test_shared_prints_in_small_blocks(spark, later):
+    """Short and full fingerprints over blocks of eight, each pair by comparing two, with no shuffle of pairs."""
+    draw = random.Random(3)
+    prints = {f"d{i:02}": sorted(draw.sample(range(90), draw.choice([1, 5, 31, 32, 32]))) for i in range(45)} | {"none": []}
+    prints |= {"d03": [1 << 31, (1 << 32) - 1], "d04": [7, (1 << 32) - 1], "e-copy": prints["d07"]}
+    df = code.shared_prints(spark.createDataFrame(list(prints.items()), "id string, fp array<long>"), "id", digits=4, later=later, local=3)
+    want = {("e-copy", "d07"): 1.0}
+    for a, b in itertools.combinations([i for i in sorted(prints) if i not in ("none", "e-copy")], 2):
+        if (share := code.fingerprint_similarity(np.array(prints[a]), np.array(prints[b]))) > 0:
+            want[b, a] = share
+    got = {(r["id"], r["first_id"]): r["share"] for r in df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.5001e-4 for k in want) and df.count() == len(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Distinct" not in plan

@@ -138,3 +138,14 @@ def test_shared_prints_in_small_blocks(spark, later):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.5001e-4 for k in want) and df.count() == len(want)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Distinct" not in plan
+
+
+def test_shared_prints_fill_little_disk(spark, tmp_path):
+    """All pairs of texts that share some of 40 hashes, each once, in an order that a file holds in less than 1.6 bytes a row."""
+    draw = np.random.default_rng(9)
+    has = np.stack([np.isin(np.arange(40), draw.integers(0, 40, 6)) for _ in range(1600)])
+    prints = [(7919 * i, [*np.flatnonzero(x).tolist(), *range(1000 + 32 * i, 1032 + 32 * i - int(x.sum()))]) for i, x in enumerate(has)]
+    code.shared_prints(spark.createDataFrame(prints, "id long, fp array<long>"), "id", digits=4).write.parquet(str(tmp_path / "pairs"))
+    size, got = sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")), spark.read.parquet(str(tmp_path / "pairs"))
+    want = (np.triu(has.astype(int) @ has.T, 1) > 0).sum()
+    assert got.count() == want == got.select("id", "first_id").distinct().count() and size < 1.6 * want
